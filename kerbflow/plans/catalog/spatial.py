@@ -34,9 +34,10 @@ _HEX = f"""WITH p AS (
   FROM events WHERE event_type <> 'error'),
 c AS (SELECT event_type, (x * {math.sqrt(3.0) / 3.0!r}::DOUBLE - y / 3.0::DOUBLE) / 180.0::DOUBLE
         AS q, y * {2.0 / 3.0!r}::DOUBLE / 180.0::DOUBLE AS r FROM p),
+d AS (SELECT *, -q - r AS s FROM c),
 f AS (SELECT *, floor(q + 0.5::DOUBLE) AS rq, floor(r + 0.5::DOUBLE) AS rr,
-             floor(-q - r + 0.5::DOUBLE) AS rs FROM c),
-e AS (SELECT *, abs(rq - q) AS eq, abs(rr - r) AS er, abs(rs + q + r) AS es FROM f)
+             floor(s + 0.5::DOUBLE) AS rs FROM d),
+e AS (SELECT *, abs(rq - q) AS eq, abs(rr - r) AS er, abs(rs - s) AS es FROM f)
 SELECT CAST(CASE WHEN eq > er AND eq > es THEN -rr - rs ELSE rq END AS BIGINT) AS q,
        CAST(CASE WHEN NOT (eq > er AND eq > es) AND er > es THEN -rq - rs ELSE rr END AS BIGINT)
          AS r, COUNT(*) AS points
