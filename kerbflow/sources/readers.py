@@ -98,11 +98,11 @@ def read_optional(
         return spark.createDataFrame([], schema)
 
 
-def read_month_shards(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
+def read_month_shards(spark: SparkSession, paths: Sequence[Paths], fmt: str = "csv") -> DataFrame:
     """Month files whose column sets and orders differ, united by name.
 
-    Paths are grouped by the caller into one entry per layout; empty files add no
-    rows. All columns are text until cast by a table schema.
+    Each entry of ``paths`` holds files of one layout; empty files add no rows.
+    All columns are text until cast by a table schema.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
