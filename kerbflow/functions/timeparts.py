@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 PERIOD_UNITS = {"week": "WEEK", "month": "MM", "year": "YEAR"}
 PERIOD_FORMATS = {
     "day": "MMM dd, yyyy",
@@ -19,7 +20,12 @@ def month_label(day: Column) -> Column:
 
 
 def weekday_name(day: Column) -> Column:
-    return F.date_format(day, "EEEE")
+    return weekday_label(F.weekday(day))
+
+
+def weekday_label(number: Column) -> Column:
+    """Name of a weekday number (0 = Monday); an array lookup, no formatter."""
+    return F.array(*[F.lit(d) for d in WEEKDAYS])[number]
 
 
 def with_time_parts(df: DataFrame, ts: str = "pickup_datetime") -> DataFrame:

@@ -125,9 +125,11 @@ def area_daily(df: DataFrame) -> DataFrame:
 def demand_series(by_area: DataFrame, areas: Sequence[str] = CORE_AREAS) -> DataFrame:
     """(series, date, trips, total): one series per listed area and 'ALL'.
 
-    One aggregation per day with a sum per listed area, then unfolded; an area
-    without rows on a day has no entry there.
+    ``by_area`` is any rollup with a day and an area. One aggregation per day with
+    a sum per listed area, then unfolded; an area without rows on a day has no
+    entry there, and rows without an area count nowhere.
     """
+    by_area = by_area.dropna(subset=["pickup_date", "borough"])
     sums = [F.sum(F.when(F.col("borough") == a, F.col("trips"))) for a in areas]
     wide = by_area.groupBy(F.col("pickup_date").alias("date")).agg(
         F.sum("trips").alias("total"), F.array(*sums).alias("parts")

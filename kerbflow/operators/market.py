@@ -21,7 +21,8 @@ def competitor_rank(supply: DataFrame, operator: str) -> DataFrame:
     """Operators ranked by trips, equal volumes sharing a rank.
 
     The rank of a volume is 1 + the operators above it. It is taken over distinct
-    volumes and joined back, so no task has to sort all operators.
+    volumes and joined back, so no task has to sort all operators: v distinct
+    volumes add up to at least v * v / 2 trips, which bounds v by a square root.
     """
     totals = supply.groupBy(operator).agg(
         F.sum("trips").alias("trips"), F.sum("vehicles").alias("vehicles")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.functions.timeparts import month_label, weekday_name
+from kerbflow.functions.timeparts import month_label, weekday_label, weekday_name
 
 # Measure columns of trip records and the names of their sums.
 MEASURES = {
@@ -100,11 +100,11 @@ def with_zone_names(
     return named.fillna(fill, ["borough", "zone"]) if fill is not None else named
 
 
-def to_grain(base: DataFrame, grain: str, entity: Sequence[str] = ("company",)) -> DataFrame:
-    """One of the five grains from a base rollup (with zone names if needed)."""
+def to_grain(rollup: DataFrame, grain: str, entity: Sequence[str] = ("company",)) -> DataFrame:
+    """One of the five grains from a finer rollup (with zone names if needed)."""
     keys = GRAINS[grain]
-    out = base
-    if "pickup_month" in keys and "pickup_month" not in base.columns:
+    out = rollup
+    if "pickup_month" in keys and "pickup_month" not in rollup.columns:
         out = out.withColumn("pickup_month", month_label(F.col("pickup_date")))
     if "weekday" in keys:
         out = out.withColumns(
@@ -117,6 +117,34 @@ def to_grain(base: DataFrame, grain: str, entity: Sequence[str] = ("company",))
     return re_sum(out.drop(*drop), [*keys, *entity])
 
 
+def one_grain(
+    trips: DataFrame, grain: str, zones: DataFrame | None = None,
+    entity: Sequence[str] = ("company",), fill: str | None = None,
+) -> DataFrame:
+    """A single grain straight from the trips: one shuffle of partial counts.
+
+    Place grains count per location first and look names up on the counts.
+    """
+    keys = GRAINS[grain]
+    months = ["pickup_month"] if "pickup_month" in trips.columns else []
+    keyed = trips.withColumn("pickup_date", F.to_date("pickup_datetime"))
+    if "hour" in keys:
+        keyed = keyed.withColumn("hour", F.hour("pickup_datetime"))
+    if "weekday_num" in keys:
+        keyed = keyed.withColumn("weekday_num", F.weekday("pickup_date"))
+        counts = count_trips(keyed, ["weekday_num", "hour", *entity])
+        return counts.withColumn("weekday", weekday_label(F.col("weekday_num")))
+    place = ["location_id"] if "borough" in keys else []
+    hour = ["hour"] if "hour" in keys else []
+    counts = count_trips(keyed, ["pickup_date", *months, *hour, *place, *entity])
+    if not months:
+        counts = counts.withColumn("pickup_month", month_label(F.col("pickup_date")))
+    if not place:
+        return counts
+    named = with_zone_names(counts, zones, fill)
+    return named if grain == "daily_by_zone" else to_grain(named, grain, entity)
+
+
 def five_grains(
     base: DataFrame,
     zones: DataFrame,
@@ -218,24 +246,19 @@ def hourly_profile(hourly: DataFrame) -> DataFrame:
 
 
 def weekday_profile(daily: DataFrame) -> DataFrame:
-    day = F.col("pickup_date")
-    return (
-        daily.groupBy("pickup_date")
-        .agg(F.sum("trips").alias("trips"))
-        .groupBy(F.weekday(day).alias("weekday_num"), weekday_name(day).alias("weekday"))
-        .agg(F.sum("trips").alias("trips"))
+    sums = daily.groupBy(F.weekday("pickup_date").alias("weekday_num")).agg(
+        F.sum("trips").alias("trips")
     )
+    return sums.withColumn("weekday", weekday_label(F.col("weekday_num")))
 
 
 def heatmap(hourly: DataFrame) -> DataFrame:
     """Weekday rows by 24 hour columns ``h00``..``h23``; a missing cell is 0."""
-    day = F.col("pickup_date")
-    wide = (
-        hourly.groupBy("pickup_date", "hour")
-        .agg(F.sum("trips").alias("trips"))
-        .groupBy(F.weekday(day).alias("weekday_num"), weekday_name(day).alias("weekday"))
-        .pivot("hour", list(range(24)))
-        .agg(F.sum("trips"))
-        .fillna(0)
-    )
-    return wide.withColumnsRenamed({str(h): f"h{h:02d}" for h in range(24)})
+    cells = {
+        f"h{h:02d}": F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("trips"))), F.lit(0))
+        for h in range(24)
+    }
+    if "weekday_num" not in hourly.columns:
+        hourly = hourly.withColumn("weekday_num", F.weekday("pickup_date"))
+    wide = hourly.groupBy("weekday_num").agg(*[c.alias(n) for n, c in cells.items()])
+    return wide.select("weekday_num", weekday_label(F.col("weekday_num")).alias("weekday"), *cells)

@@ -200,9 +200,7 @@ def _impact(spark, folder):
     events = calendar(spark, folder)
     start, end = (F.lit(d).cast("date") for d in ("1996-01-01", "2001-08-01"))
     shown = ev.events_in_scope(events, start, end)
-    return ev.event_impact(
-        ev.area_daily(named_demand(spark, folder)), shown, events, HALF_WIDTH, AREAS
-    )
+    return ev.event_impact(named_demand(spark, folder), shown, events, HALF_WIDTH, AREAS)
 
 
 @query("event_impact", f"""{_IMPACT}

@@ -24,18 +24,18 @@ from kerbflow.sources.sinks import manifest
 from kerbflow.streaming import hourly
 
 
-@query("link_discovery", r"""WITH a AS (
-  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html,
+@query("link_discovery", r"""WITH l AS (
+  SELECT page_id, regexp_extract_all(regexp_replace(html,
     '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
-    '(?is)<a\s[^>]*>.*?</a\s*>')) AS anchor FROM pages)
-SELECT page_id, regexp_extract(anchor, '(?i)href="([^"]*)"', 1) AS href,
+    '(?is)<a\s[^>]*>.*?</a\s*>') AS anchors FROM pages),
+a AS (SELECT page_id, unnest(anchors) AS anchor,
+             CAST(unnest(range(len(anchors))) AS INTEGER) AS position FROM l)
+SELECT page_id, position, regexp_extract(anchor, '(?i)href="([^"]*)"', 1) AS href,
        trim(regexp_replace(regexp_extract(anchor, '(?is)>(.*)</a', 1), '<[^>]*>', ' ', 'g'))
-         AS label, COUNT(*) AS anchors
-FROM a GROUP BY ALL""")
+         AS label FROM a""")
 def link_discovery(spark, folder):
-    """Every anchor of every page."""
-    found = links.page_links(table(spark, folder, "pages"))
-    return found.groupBy("page_id", "href", "label").agg(F.count(F.lit(1)).alias("anchors"))
+    """Every anchor of every page; a scan without a shuffle."""
+    return links.page_links(table(spark, folder, "pages"))
 
 
 _FOLDER = "https://data.example/trip-data/"

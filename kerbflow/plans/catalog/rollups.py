@@ -29,10 +29,15 @@ def _grains(spark, folder, fill=None, skip_zone=False):
                               skip_zone=skip_zone)
 
 
+def _one(spark, folder, grain, fill=None):
+    trips = event_trips(spark, folder).drop("event_id", "value")
+    return rollup.one_grain(trips, grain, zones(spark, folder), fill=fill)
+
+
 @query("rollup_daily_company", f"""WITH {TRIPS}
 SELECT pickup_date, pickup_month, company, COUNT(*) AS trips FROM trips GROUP BY ALL""")
 def rollup_daily_company(spark, folder):
-    return _grains(spark, folder)["daily_by_company"]
+    return _one(spark, folder, "daily_by_company")
 
 
 @query("rollup_daily_area", f"""WITH {TRIPS}, {ZONES}
@@ -40,7 +45,7 @@ SELECT pickup_date, pickup_month, borough, company, COUNT(*) AS trips
 FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL""")
 def rollup_daily_area(spark, folder):
     """Unmatched zones form a null borough."""
-    return _grains(spark, folder)["daily_by_borough"]
+    return _one(spark, folder, "daily_by_borough")
 
 
 @query("rollup_daily_zone", f"""WITH {TRIPS}, {ZONES}
@@ -49,19 +54,19 @@ SELECT pickup_date, pickup_month, location_id, coalesce(borough, 'Unknown') AS b
 FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL""")
 def rollup_daily_zone(spark, folder):
     """Unmatched zones are named 'Unknown'."""
-    return _grains(spark, folder, fill="Unknown")["daily_by_zone"]
+    return _one(spark, folder, "daily_by_zone", "Unknown")
 
 
 @query("rollup_hourly", f"""WITH {TRIPS}
 SELECT pickup_date, pickup_month, hour, company, COUNT(*) AS trips FROM trips GROUP BY ALL""")
 def rollup_hourly(spark, folder):
-    return _grains(spark, folder)["hourly_by_company"]
+    return _one(spark, folder, "hourly_by_company")
 
 
 @query("rollup_weekday_hour", f"""WITH {TRIPS}
 SELECT weekday_num, weekday, hour, company, COUNT(*) AS trips FROM trips GROUP BY ALL""")
 def rollup_weekday_hour(spark, folder):
-    return _grains(spark, folder)["weekday_hour_by_company"]
+    return _one(spark, folder, "weekday_hour_by_company")
 
 
 @query("rollup_skip_zone", f"""WITH {TRIPS}, {ZONES}, named AS (
@@ -181,7 +186,7 @@ def daily_unknown_area(spark, folder):
 @query("hourly_profile", f"""WITH {TRIPS}
 SELECT hour, COUNT(*) AS trips FROM trips GROUP BY 1""")
 def hourly_profile(spark, folder):
-    return rollup.hourly_profile(_grains(spark, folder)["hourly_by_company"])
+    return rollup.hourly_profile(_one(spark, folder, "hourly_by_company"))
 
 
 @query("weekday_profile", """
@@ -200,7 +205,7 @@ _CELLS = ",\n  ".join(
 @query("heatmap", f"""WITH {TRIPS}
 SELECT weekday_num, weekday, {_CELLS} FROM trips GROUP BY 1, 2""")
 def heatmap(spark, folder):
-    return rollup.heatmap(_grains(spark, folder)["hourly_by_company"])
+    return rollup.heatmap(_one(spark, folder, "weekday_hour_by_company"))
 
 
 def _supply(spark, folder):
@@ -225,13 +230,37 @@ def supply_per_vehicle(spark, folder):
 
 @query("competitor_rank", """
 SELECT base, trips, vehicles, RANK() OVER (ORDER BY trips DESC) AS rank FROM (
-  SELECT l_suppkey AS base, COUNT(*) AS trips, COUNT(DISTINCT l_partkey) AS vehicles
+  SELECT l_suppkey AS base, COUNT(*) AS trips, COUNT(DISTINCT l_shipdate) AS vehicles
   FROM lineitem GROUP BY 1)""")
 def rank_competitors(spark, folder):
-    pairs = table(spark, folder, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+    """Suppliers by lines; their ship days stand in for vehicles."""
+    days = table(spark, folder, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(
         F.count(F.lit(1)).alias("trips")
     )
-    supply = pairs.groupBy(F.col("l_suppkey").alias("base")).agg(
+    supply = days.groupBy(F.col("l_suppkey").alias("base")).agg(
         F.sum("trips").alias("trips"), F.count(F.lit(1)).alias("vehicles")
     )
     return competitor_rank(supply, "base")
+
+
+@query("rollup_five_grains", f"""WITH {TRIPS}, {ZONES}, n AS (
+  SELECT trips.*, borough, zone FROM trips LEFT JOIN zones USING (location_id))
+SELECT 'daily_by_company' AS grain, pickup_date, NULL::INTEGER AS weekday_num,
+       NULL::INTEGER AS hour, NULL::BIGINT AS location_id, NULL AS borough, company,
+       COUNT(*) AS trips FROM n GROUP BY ALL
+UNION ALL SELECT 'daily_by_borough', pickup_date, NULL, NULL, NULL, borough, company, COUNT(*)
+FROM n GROUP BY ALL
+UNION ALL SELECT 'daily_by_zone', pickup_date, NULL, NULL, location_id, borough, company, COUNT(*)
+FROM n GROUP BY ALL
+UNION ALL SELECT 'hourly_by_company', pickup_date, NULL, hour, NULL, NULL, company, COUNT(*)
+FROM n GROUP BY ALL
+UNION ALL SELECT 'weekday_hour_by_company', NULL, weekday_num, hour, NULL, NULL, company, COUNT(*)
+FROM n GROUP BY ALL""")
+def rollup_five_grains(spark, folder):
+    """All five grains of one base rollup, stacked."""
+    keys = ["pickup_date", "weekday_num", "hour", "location_id", "borough", "company", "trips"]
+    parts = [
+        df.select(F.lit(name).alias("grain"), *[c for c in keys if c in df.columns])
+        for name, df in _grains(spark, folder).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
