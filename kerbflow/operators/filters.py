@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.operators.series import day_bounds
-
 # Areas named by the borough presets.
 CORE_AREAS = ("Bronx", "Brooklyn", "Manhattan", "Queens", "Staten Island")
 MAIN_AREA = "Manhattan"
@@ -59,19 +57,9 @@ def preset_ranges(daily: DataFrame, today, change: str = SOURCE_CHANGE) -> DataF
 
 def preset_start(daily: DataFrame, preset: str, today) -> tuple[Column, Column]:
     """Start and end of one preset as scalar columns for ``in_period``."""
-    bounds = day_bounds(daily)
-    end = F.least(bounds["hi"], _day(today))
-    offsets = {"1D": 0, "7D": 6, "30D": 29, "90D": 89, "1Y": 364, "5Y": 365 * 5 - 1}
-    if preset in offsets:
-        start = F.date_sub(end, offsets[preset])
-    else:
-        start = {
-            "MTD": F.trunc(end, "MM"),
-            "YTD": F.trunc(end, "YEAR"),
-            "All": bounds["lo"],
-            "Post-2019": _day(SOURCE_CHANGE),
-        }[preset]
-    return F.greatest(bounds["lo"], start), end
+    chosen = preset_ranges(daily, today).filter(F.col("preset") == preset)
+    bounds = chosen.select(F.struct("start_date", "end_date").alias("b")).scalar()
+    return bounds["start_date"], bounds["end_date"]
 
 
 def group_volumes(df: DataFrame, group: str, value: str = "trips") -> DataFrame:

@@ -104,20 +104,15 @@ def growth_opportunities(
     """
     daily = group_daily(df, group)
     kept = out = compare_groups(daily, group, months)
-    comparable = F.col("prior_trips") > 0
-    if volume_quantile is not None:
-        floor = F.percentile("current_trips", F.lit(volume_quantile))
-    else:
-        floor = F.min("current_trips").cast("double")
-    if rank_by == "growth" or volume_quantile is not None:
-        best = F.max(F.when(comparable, F.col("current_trips")))
-        stats = out.agg(F.struct(floor.alias("floor"), best.alias("best")).alias("s")).scalar()
-        rows = out.withColumn("s_", stats)
-        passes = F.col("current_trips") >= F.col("s_.floor")
-        if rank_by == "growth":
-            none = ~F.coalesce(F.col("s_.best") >= F.col("s_.floor"), F.lit(False))
-            passes = (passes & comparable) | none
-        kept = rows.filter(passes).drop("s_")
+    current, comparable = F.col("current_trips"), F.col("prior_trips") > 0
+    floor = F.percentile(current, F.lit(volume_quantile or 0.0))
+    if rank_by == "growth":
+        # Null when no comparable group reaches the floor: then all groups stay.
+        reached = F.max(F.when(comparable, current)) >= floor
+        limit = out.agg(F.when(reached, floor).alias("floor")).scalar()
+        kept = out.filter(limit.isNull() | ((current >= limit) & comparable))
+    elif volume_quantile is not None:
+        kept = out.filter(current >= out.agg(floor.alias("floor")).scalar())
     if complete_days:
         missing = coverage(daily, months).select("missing_days").scalar()
         kept = kept.filter(missing == 0)

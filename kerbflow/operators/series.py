@@ -137,13 +137,13 @@ GROWTH_SPANS = {"dod": 1, "wow": 7, "mom": 30, "yoy": 365}
 def growth_stats(df: DataFrame) -> DataFrame:
     """Trailing windows of 1, 7, 30 and 365 days against the window before."""
     daily = daily_total(df)
-    age = F.date_diff(day_bounds(daily)["hi"], F.col(DATE))
+    aged = daily.select("trips", F.date_diff(day_bounds(daily)["hi"], DATE).alias("age"))
 
     def total(first: int, last: int) -> Column:
-        inside = F.when(age.between(first, last), F.col("trips"))
+        inside = F.when(F.col("age").between(first, last), F.col("trips"))
         return F.coalesce(F.sum(inside), F.lit(0))
 
-    return daily.agg(
+    return aged.agg(
         *[
             _change(total(0, n - 1), total(n, 2 * n - 1)).alias(name)
             for name, n in GROWTH_SPANS.items()
