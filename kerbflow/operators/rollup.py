@@ -254,11 +254,9 @@ def weekday_profile(daily: DataFrame) -> DataFrame:
 
 def heatmap(hourly: DataFrame) -> DataFrame:
     """Weekday rows by 24 hour columns ``h00``..``h23``; a missing cell is 0."""
-    cells = {
-        f"h{h:02d}": F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("trips"))), F.lit(0))
-        for h in range(24)
-    }
     if "weekday_num" not in hourly.columns:
         hourly = hourly.withColumn("weekday_num", F.weekday("pickup_date"))
-    wide = hourly.groupBy("weekday_num").agg(*[c.alias(n) for n, c in cells.items()])
-    return wide.select("weekday_num", weekday_label(F.col("weekday_num")).alias("weekday"), *cells)
+    names = [f"h{h:02d}" for h in range(24)]
+    cells = [F.expr(f"sum(if(hour = {h}, trips, 0L)) AS {n}") for h, n in enumerate(names)]
+    wide = hourly.groupBy("weekday_num").agg(*cells)
+    return wide.select("weekday_num", weekday_label(F.col("weekday_num")).alias("weekday"), *names)
