@@ -33,13 +33,15 @@ def event_calendar(context: DataFrame, custom: DataFrame | None = None,
     """Holidays, city events that are not on a holiday, and custom events.
 
     Of events with the same date, name (ignoring case and blanks) and category the
-    latest source wins, within a source the greatest name and place.
+    latest source wins, within a source the greatest name and place. Equal rows
+    share that key, so no second de-duplication is needed.
     """
     rows = context_events(context, day)
     if custom is not None:
         rows = rows.unionByName(custom.select(*COLUMNS, F.lit(3).alias("source_")))
-    rows = rows.withColumn("event_category", event_category(F.col("event_category")))
-    return latest_event(rows).dropDuplicates(COLUMNS)
+    return latest_event(
+        rows.withColumn("event_category", event_category(F.col("event_category")))
+    )
 
 
 def context_events(context: DataFrame, day: str = "pickup_date") -> DataFrame:

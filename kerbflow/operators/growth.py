@@ -100,7 +100,8 @@ def growth_opportunities(
     """Ranked groups above a volume quantile.
 
     When the floor leaves nothing, all groups are ranked. ``complete_days``
-    empties the result if any day of the windows has no rows.
+    empties the result if any day of the windows has no rows. The exact quantile
+    is taken over one value per group (areas or zones), after the aggregation.
     """
     daily = group_daily(df, group)
     kept = out = compare_groups(daily, group, months)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kerbflow.functions.timeparts import month_label
+from kerbflow.operators.rollup import between_times
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.rollups import _grains
 from kerbflow.plans.catalog.standins import (
@@ -13,10 +14,13 @@ from kerbflow.plans.catalog.standins import (
     SCHEMAS,
     TRIPS,
     ZONES,
+    event_trips,
     month_counts,
     order_range,
     table,
+    zones,
 )
+from kerbflow.plans.monthly import refresh_months, stored_grain
 from kerbflow.session import shared_folder
 from kerbflow.sources import incremental as inc
 from kerbflow.sources import links
@@ -42,8 +46,8 @@ _FOLDER = "https://data.example/trip-data/"
 
 
 def _link_pages(spark, folder):
-    """A page per month with month links, decoys and markup; odd counts lack one link."""
-    month, n = F.col("month"), F.col("n")
+    """A page per month with month links, decoys and markup; slow months lack one link."""
+    month = F.col("month")
 
     def anchor(prefix, label, attrs=' class="x"'):
         return F.concat(
@@ -54,7 +58,7 @@ def _link_pages(spark, folder):
     high = anchor("fhvhv_tripdata_", "High <b>Volume</b> &amp; more")
     html = F.concat(
         F.lit("<html><!-- <a href='/trip-data/fhv_tripdata_1990-01.parquet'>old</a> --><ul>"),
-        F.when(n % 2 == 0, high).otherwise(F.lit("")),
+        F.when(F.col("busy"), high).otherwise(F.lit("")),
         anchor("fhv_tripdata_", " Base trips ", ""),
         anchor("yellow_tripdata_", "Yellow", "\n id='y'"),
         anchor("other_tripdata_", "Other"),
@@ -65,13 +69,13 @@ def _link_pages(spark, folder):
 
 
 @query("trip_record_links", f"""WITH {MONTHS}, t AS (
-  SELECT month, n, unnest([
+  SELECT month, busy, unnest([
     {{'k': 'hvfhv', 'p': 'fhvhv_tripdata_', 'l': 'High  Volume  & more'}},
     {{'k': 'fhv', 'p': 'fhv_tripdata_', 'l': 'Base trips'}},
     {{'k': 'yellow', 'p': 'yellow_tripdata_', 'l': 'Yellow'}}]) AS t FROM months)
 SELECT month, month[1:4] AS year, t.k AS record_type, t.l AS label,
        '{_FOLDER}' || t.p || month || '.parquet' AS url
-FROM t WHERE t.k <> 'hvfhv' OR n % 2 = 0""")
+FROM t WHERE t.k <> 'hvfhv' OR busy""")
 def trip_record_links(spark, folder):
     return links.trip_record_links(links.page_links(_link_pages(spark, folder)))
 
@@ -86,7 +90,7 @@ _RANGE = """range_ AS (
 
 
 @query("link_urls", f"""WITH {MONTHS}, {_RANGE}
-SELECT month, CASE WHEN n % 2 = 0 THEN '{_FOLDER}fhvhv_tripdata_' || month || '.parquet'
+SELECT month, CASE WHEN busy THEN '{_FOLDER}fhvhv_tripdata_' || month || '.parquet'
        ELSE 'https://mirror.example/fhvhv_' || month || '.parquet' END AS url
 FROM range_ LEFT JOIN months USING (month)""")
 def link_urls(spark, folder):
@@ -104,19 +108,20 @@ def month_range_latest(spark, folder):
 
 
 def _stored(spark, folder):
-    """(table_name, month): a priority's month is stored unless its count divides by 7."""
+    """(table_name, month): a priority's month is stored if it has 9/10 of the mean."""
     per_day = table(spark, folder, "orders").groupBy(
         F.col("o_orderpriority").alias("table_name"), F.to_date("o_orderdate").alias("day")
     ).agg(F.count(F.lit(1)).alias("n"))
     per_month = per_day.groupBy("table_name", month_label(F.col("day")).alias("month")).agg(
         F.sum("n").alias("n")
     )
-    return per_month.filter("n % 7 <> 0")
+    return per_month.filter(F.col("n") >= per_month.agg(0.9 * F.avg("n")).scalar())
 
 
-@query("pending_months", f"""WITH {_RANGE}, stored AS (
-  SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month FROM orders GROUP BY 1, 2
-  HAVING COUNT(*) % 7 <> 0),
+@query("pending_months", f"""WITH {_RANGE}, counted AS (
+  SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n
+  FROM orders GROUP BY 1, 2),
+stored AS (SELECT * FROM counted WHERE n >= (SELECT 0.9::DOUBLE * AVG(n) FROM counted)),
 done AS (SELECT month FROM stored GROUP BY 1 HAVING COUNT(*) >= 5)
 SELECT month FROM range_ WHERE month NOT IN (SELECT month FROM done)""")
 def pending_months(spark, folder):
@@ -124,11 +129,11 @@ def pending_months(spark, folder):
 
 
 def _available(spark, folder):
-    """Months whose order count does not divide by 3."""
-    return month_counts(spark, folder).filter("n % 3 <> 0")
+    """Months whose orders reach the mean."""
+    return month_counts(spark, folder).filter("busy")
 
 
-_AVAILABLE = f"""{MONTHS}, {_RANGE}, available AS (SELECT month FROM months WHERE n % 3 <> 0)"""
+_AVAILABLE = f"""{MONTHS}, {_RANGE}, available AS (SELECT month FROM months WHERE busy)"""
 
 
 @query("pending_zone_months", f"""WITH {_AVAILABLE}
@@ -176,6 +181,23 @@ def rollup_manifest(spark, folder):
     return manifest(_grains(spark, folder))
 
 
+@query("stored_rollups", f"""WITH {TRIPS}, {ZONES}
+SELECT 's' AS source, pickup_month, pickup_date, borough, company, COUNT(*) AS trips
+FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL""")
+def stored_rollups(spark, folder):
+    """The monthly refresh, run over the months of the table, and one stored grain."""
+    out = shared_folder(spark, "stored-rollups")
+    trips = event_trips(spark, folder).drop("event_id", "value")
+    day = F.to_date("pickup_datetime")
+    months = inc.month_range(trips.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
+
+    def load(month):
+        return between_times(trips, *inc.month_span(month))
+
+    refresh_months(spark, months, load, zones(spark, folder), out, "s")
+    return stored_grain(spark, out, "daily_by_borough")
+
+
 @query("stream_hourly", f"""WITH {TRIPS}
 SELECT pickup_date, hour, company, COUNT(*) AS trips FROM trips GROUP BY ALL""")
 def stream_hourly(spark, folder):

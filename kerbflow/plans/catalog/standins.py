@@ -123,15 +123,17 @@ DEMAND = f"""{ZONES}, demand AS (
 
 
 def month_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders per month label."""
+    """Orders per month label, and whether they reach the mean of all months."""
     days = order_days(spark, folder)
-    return days.groupBy(month_label(F.col("pickup_date")).alias("month")).agg(
+    months = days.groupBy(month_label(F.col("pickup_date")).alias("month")).agg(
         F.sum("trips").alias("n")
     )
+    return months.withColumn("busy", F.col("n") >= months.agg(F.avg("n")).scalar())
 
 
 MONTHS = """months AS (
-  SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n FROM orders GROUP BY 1)"""
+  SELECT month, n, n >= AVG(n) OVER () AS busy FROM (
+    SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n FROM orders GROUP BY 1))"""
 
 
 # -- calendar and weather ----------------------------------------------------------------

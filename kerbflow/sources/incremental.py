@@ -21,6 +21,13 @@ def month_range(ranges: DataFrame) -> DataFrame:
     )
 
 
+def month_span(month: str) -> tuple[str, str]:
+    """First day of a month label and of the month after, for a half-open filter."""
+    year, number = map(int, month.split("-"))
+    after = (year + 1, 1) if number == 12 else (year, number + 1)
+    return f"{month}-01", f"{after[0]:04d}-{after[1]:02d}-01"
+
+
 def latest_months(months: DataFrame, n: int) -> DataFrame:
     return months.orderBy(F.desc("month")).limit(n)
 

@@ -71,12 +71,17 @@ def read_csv_after_preamble(
 
 
 def read_parquet_columns(
-    spark: SparkSession, paths: Paths, wanted: Sequence[str], required: Sequence[str] = (),
+    spark: SparkSession, paths: Paths, wanted: Sequence[str] = (), required: Sequence[str] = (),
+    schema: StructType | str | None = None,
 ) -> DataFrame:
     """Parquet with only the wanted columns that exist in some file.
 
-    Names match without regard to case, which also covers spelling variants.
+    Names match without regard to case, which also covers spelling variants. For
+    very many files give a ``schema`` instead: then no footers are read to merge
+    their columns, and a column that a file lacks is null.
     """
+    if schema is not None:
+        return spark.read.schema(schema).parquet(*_as_list(paths))
     df = spark.read.option("mergeSchema", True).parquet(*_as_list(paths))
     require_columns(df, required, ", ".join(_as_list(paths)))
     present = {c.lower() for c in df.columns}

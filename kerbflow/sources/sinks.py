@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,14 +33,22 @@ def write_months(
     ).partitionBy(*partitions).parquet(path)
 
 
-def write_unless_empty(df: DataFrame, path: str, schema_of_old: DataFrame | None = None) -> bool:
-    """Keep the stored table when the new result has no rows."""
-    if schema_of_old is not None and df.isEmpty():
+def write_unless_empty(df: DataFrame, path: str) -> bool:
+    """Write a table, but keep the stored one when the new result has no rows."""
+    if df.isEmpty() and is_stored(df.sparkSession, path):
         return False
     write_parquet(df, path)
     return True
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def table_stats(name: str, df: DataFrame, day: str = "pickup_date") -> DataFrame:
     """Row count and day range of one table."""
     dated = day in df.columns

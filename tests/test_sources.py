@@ -118,6 +118,11 @@ def test_high_volume_parquet_with_drifting_columns(spark, folder):
                 "cbd_congestion_fees", "shared_requests", "shared_matches") == [
         ("One", 7, 2, 200, 2.0, 2, 0)
     ]
+    declared = readers.read_parquet_columns(
+        spark, [f"{folder}/old", f"{folder}/new"], schema="trip_miles double, tips double"
+    )
+    assert declared.columns == ["trip_miles", "tips"]
+    assert declared.filter("tips IS NOT NULL").isEmpty() and declared.count() == 6
     with pytest.raises(readers.MissingColumns, match="pickup_zone"):
         readers.read_parquet_columns(spark, f"{folder}/old", wanted, ["pickup_zone"])
 
@@ -237,8 +242,10 @@ def test_month_partitions_are_replaced_one_by_one(spark, folder):
 
 def test_empty_result_keeps_the_old_table(spark, folder):
     df = spark.createDataFrame([(1,)], "trips bigint")
+    empty = df.filter("trips > 5")
+    assert sinks.write_unless_empty(empty, f"{folder}/t")
     assert sinks.write_unless_empty(df, f"{folder}/t")
-    assert not sinks.write_unless_empty(df.filter("trips > 5"), f"{folder}/t", df)
+    assert not sinks.write_unless_empty(empty, f"{folder}/t")
     assert spark.read.parquet(f"{folder}/t").count() == 1
 
 
@@ -312,6 +319,8 @@ def test_month_bookkeeping(spark):
     assert rows(incremental.gap_runs(months, seen)) == [
         ("2023-11", "2023-11", 1), ("2024-02", "2024-03", 2), ("2024-05", "2024-07", 3)
     ]
+    assert incremental.month_span("2023-12") == ("2023-12-01", "2024-01-01")
+    assert incremental.month_span("2024-01") == ("2024-01-01", "2024-02-01")
     assert rows(incremental.latest_months(months, 2)) == [("2024-07",), ("2024-08",)]
     stored = spark.createDataFrame(
         [("a", "2024-01"), ("b", "2024-01"), ("a", "2024-02"), ("a", "2024-02")],
