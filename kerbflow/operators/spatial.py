@@ -30,17 +30,23 @@ def hex_density(
 
 
 def point_sample(
-    points: DataFrame, key: str, n: int = SAMPLE_POINTS, seed: int = SAMPLE_SEED
+    points: DataFrame, key: str, n: int = SAMPLE_POINTS, seed: int = SAMPLE_SEED,
+    portable: bool = False,
 ) -> DataFrame:
     """The n points with the smallest seeded hash: repeatable at any partitioning.
 
-    A histogram of the hash's leading digits gives the bucket in which the n-th
-    point lies; rows beyond it are dropped in the scan, so that only about n rows
-    (and not n per task) reach the final top-n.
+    A histogram of the hash's leading bits gives the bucket in which the n-th point
+    lies; rows beyond it are dropped in the scan, so that only about n rows (and
+    not n per task) reach the final top-n. ``portable`` takes the slower MD5 of
+    ``key-seed``, which other engines can repeat.
     """
-    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    if portable:
+        digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+        bucket = F.substring("hash_", 1, 4)
+    else:
+        digest = F.xxhash64(F.lit(seed), F.col(key))
+        bucket = F.shiftright("hash_", 48)
     hashed = points.withColumn("hash_", digest)
-    bucket = F.substring("hash_", 1, 4)
     counts = hashed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     reached = F.sum("n").over(Window.orderBy("bucket"))
     cut = (
@@ -49,7 +55,7 @@ def point_sample(
         .agg(F.min("bucket"))
         .scalar()
     )
-    near = hashed.filter(bucket <= F.coalesce(cut, F.lit("ffff")))
+    near = hashed.filter(cut.isNull() | (bucket <= cut))
     return near.orderBy("hash_", key).limit(n).drop("hash_")
 
 

@@ -204,7 +204,8 @@ def stream_hourly(spark, folder):
     """The events file consumed as a stream gives the batch rollup."""
     home = shared_folder(spark, "stream-hourly")
     schema = StructType.fromDDL(SCHEMAS["events"])
-    trips = hourly.landed_trips(spark, folder, schema, "events.parquet").select(
+    # A pattern, so that the table may be one file or a folder of files.
+    trips = hourly.landed_trips(spark, f"{folder}/events.parque[t]", schema).select(
         F.col("ts").alias("pickup_datetime"), F.col("event_type").alias("company")
     )
     hourly.run_hourly_counts(trips, f"{home}/counts", f"{home}/checkpoint")

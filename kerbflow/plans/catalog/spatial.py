@@ -54,9 +54,8 @@ SELECT event_id, event_type FROM events
 ORDER BY md5(CAST(event_id AS VARCHAR) || '-42'), event_id LIMIT 2000""")
 def point_sample(spark, folder):
     """The sampling operator itself, with a sample smaller than the table."""
-    return spatial.point_sample(points(spark, folder), "event_id", 2000).select(
-        "event_id", "event_type"
-    )
+    sample = spatial.point_sample(points(spark, folder), "event_id", 2000, portable=True)
+    return sample.select("event_id", "event_type")
 
 
 def zone_vertices(spark, folder):

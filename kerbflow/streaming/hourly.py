@@ -8,11 +8,10 @@ from pyspark.sql.types import StructType
 
 
 def landed_trips(
-    spark: SparkSession, path: str, schema: StructType, files: str = "*.parquet",
-    files_per_batch: int | None = None,
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """File source over a landing folder; ``files`` is a name pattern."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    """File source over a landing folder (or a pattern of folders and files)."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

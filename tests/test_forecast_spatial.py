@@ -165,13 +165,17 @@ def test_centroids_of_square_l_shape_and_hole(spark):
     assert got[4] == pytest.approx(((4 * 4 * 2 - 2 * 2.5) / 14, 2, 14))
 
 
-def test_sample_is_the_same_at_any_partitioning(spark):
+@pytest.mark.parametrize("portable", [False, True])
+def test_sample_is_the_same_at_any_partitioning(spark, portable):
     points = spark.range(5000).select(F.col("id"), (F.col("id") * 2).alias("lat"))
-    a = {r.id for r in spatial.point_sample(points.repartition(3), "id", 700).collect()}
-    b = {r.id for r in spatial.point_sample(points.repartition(11), "id", 700).collect()}
-    assert a == b and len(a) == 700
-    assert {r.id for r in spatial.point_sample(points, "id", 700, seed=7).collect()} != a
-    assert spatial.point_sample(points, "id", 9999).count() == 5000
+
+    def sample(df, n, seed=42):
+        return {r.id for r in spatial.point_sample(df, "id", n, seed, portable).collect()}
+
+    a = sample(points.repartition(3), 700)
+    assert a == sample(points.repartition(11), 700) and len(a) == 700
+    assert sample(points, 700, seed=7) != a
+    assert len(sample(points, 9999)) == 5000
 
 
 def test_located_growth(spark):
