@@ -24,13 +24,8 @@ def daily_total(df: DataFrame, by: Sequence[str] = (), value: str = "trips") ->
 
 
 def day_bounds(daily: DataFrame, value: str = "trips") -> Column:
-    """Scalar struct (lo, hi) of the first and last day.
-
-    The value rides along in min/max so that the subquery needs the same columns
-    as the rollup it is taken from and reuses its exchange, not a second scan.
-    """
-    lo = F.min(F.struct(DATE, value))[DATE]
-    hi = F.max(F.struct(DATE, value))[DATE]
+    """Scalar struct (lo, hi) of the first and last day."""
+    lo, hi = _edge(F.min, value), _edge(F.max, value)
     return daily.agg(F.struct(lo.alias("lo"), hi.alias("hi")).alias("b")).scalar()
 
 
@@ -52,9 +47,19 @@ def fill_days(daily: DataFrame, by: Sequence[str] = (), value: str = "trips") ->
     )
 
 
+def _edge(side, value: str = "trips") -> Column:
+    """First or last day by ``F.min`` / ``F.max``.
+
+    The value rides along so that the aggregate needs the same columns as the
+    rollup below it and reuses its exchange; the day alone would be read by a
+    second scan of the trips.
+    """
+    return side(F.struct(DATE, value))[DATE]
+
+
 def day_range(daily: DataFrame) -> DataFrame:
     """One row (lo, hi): first and last day."""
-    return daily.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"))
+    return daily.agg(_edge(F.min).alias("lo"), _edge(F.max).alias("hi"))
 
 
 def date_spine(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -162,7 +167,7 @@ def comparison_windows(daily: DataFrame, period: str, mode: str) -> DataFrame:
     step = {"week": F.date_sub(lo, 7), "month": F.add_months(lo, -1), "year": F.add_months(lo, -12)}
     last_year = mode == "last_year"
     return (
-        daily.agg(F.max(DATE).alias("current_end"))
+        daily.agg(_edge(F.max).alias("current_end"))
         .select(hi, period_start(hi, period).alias("current_start"))
         .select(hi, lo, (F.add_months(lo, -12) if last_year else step[period]).alias(
             "comparison_start"))

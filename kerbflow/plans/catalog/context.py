@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kerbflow.operators import context as ctx
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.standins import (
-    DAILY,
     DEMAND,
     HOLIDAYS,
     SPINE,
