@@ -1,0 +1,611 @@
+"""Each operator against a plain version, on edge rows and on whole test tables."""
+
+from __future__ import annotations
+
+import math
+import os
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kerbflow.llm import (
+    components, exactdedup, licenses, mixing, ngramjoin, ngramrules, packing, personal, qualityfm,
+    sharding, tokenfiles,
+)
+from kerbflow.llm import queries as q
+from tests.llm import brute
+
+FOLDER = os.environ.get("KERBFLOW_TEST_TABLES", "/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Edge rows with extra columns whose names the operators use themselves."""
+    docs = spark.createDataFrame(brute.EDGES, brute.SCHEMA)
+    return docs.withColumns({c: F.lit(7) for c in brute.CLASHES}).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(edges):
+    return edges.limit(0)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    return [(r["doc_id"], r["text"], r["source"]) for r in
+            spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+
+
+def labels(spark, rows=((1, 1, 0), (5, 0, 0), (8, 0, 0), (100, 1, 0), (None, 1, 0), (10, None, 0))):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+# packing
+
+def check_packed(rows, docs, sizes):
+    total = defaultdict(list)
+    for r in rows:
+        total[r["doc_id"]].append(r)
+    want = Counter()
+    for doc_id, text in docs:
+        want[doc_id] += len(brute.words(text))
+    assert {k: sum(r["n_words"] for r in v) for k, v in total.items()} == dict(want)
+    bins = defaultdict(list)
+    for r in rows:
+        if r["n_words"]:
+            bins[r["bin_id"]].append(r)
+        else:
+            assert r["bin_id"] is None and r["bin_capacity"] is None
+    for held in bins.values():
+        held.sort(key=lambda r: r["bin_offset"])
+        at = 0
+        for r in held:
+            assert r["bin_offset"] == at
+            at += r["n_words"]
+        assert {r["bin_used"] for r in held} == {at}
+        assert {r["bin_capacity"] for r in held} == {min(c for c in sizes.capacities if c >= at)}
+
+
+def test_packing_edges(edges, none):
+    sizes = packing.BinSizes((8, 16, 64), 1.0)
+    rows = packing.pack(edges, sizes, group_pieces=100).collect()
+    check_packed(rows, [(r[0], r[1]) for r in brute.EDGES], sizes)
+    assert packing.pack(none, sizes).collect() == []
+
+
+@tables
+def test_packing_table(spark, table):
+    rows = q.op1_best_fit_packing(spark, FOLDER).collect()
+    check_packed(rows, [(i, t) for i, t, _ in table], packing.BinSizes())
+    used = {r["bin_id"]: (r["bin_used"], r["bin_capacity"]) for r in rows if r["n_words"]}
+    assert sum(u for u, _ in used.values()) > 0.9 * sum(c for _, c in used.values())
+
+
+def naive_best_fit(lengths, sizes):
+    """The same rule with plain lists."""
+    bins = []
+    for i, length in enumerate(lengths):
+        fits = [b for b in bins if b["room"] >= length]
+        if fits:
+            tight = min(b["room"] for b in fits)
+            b = [b for b in fits if b["room"] == tight]
+            b = max(b, key=lambda x: x["touched"])
+        else:
+            def value(c):
+                left = c - length
+                for other in sorted(lengths[i + 1 :], reverse=True):
+                    left -= other * (other <= left)
+                return sizes.cost(c) / (c - left), -c
+            b = {"room": min((c for c in sizes.capacities if c >= length), key=value), "held": []}
+            bins.append(b)
+        b["held"].append(i)
+        b["room"] -= length
+        b["touched"] = i
+    return sorted(tuple(b["held"]) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_rule(seed):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(1, 40, 60).tolist(), reverse=True)
+    sizes = packing.BinSizes((10, 20, 40, 64), float(seed))
+    bins, _, _, _ = packing.best_fit(lengths, sizes)
+    got = defaultdict(list)
+    for i, b in enumerate(bins):
+        got[b].append(i)
+    assert sorted(map(tuple, got.values())) == naive_best_fit(lengths, sizes)
+
+
+# licenses
+
+def naive_license(text):
+    import re
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    hits = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w))
+            if w[i : i + len(phrase.split())] == phrase.split()]
+    return (len(w), len(hits), min(hits)[0] if hits else None, max(hits)[0] if hits else None,
+            ",".join(sorted({x for _, x in hits})))
+
+
+def license_rows(rows):
+    return sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"],
+                    r["base_labels"]) for r in rows), key=repr)
+
+
+def test_license_edges(edges, none):
+    rows = licenses.scan(edges).collect()
+    assert license_rows(rows) == sorted(((r[0], *naive_license(r[1])) for r in brute.EDGES), key=repr)
+    tagged = next(r for r in rows if r["n_tags"])
+    assert tagged["labels"] == "apache,bsd,cc-by,gpl,mit" and tagged["permissive"]
+    assert all(0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) <= set(r["labels"].split(","))
+               or not r["base_labels"] for r in rows)
+    assert licenses.scan(none).collect() == []
+
+
+@tables
+def test_license_table(spark, table):
+    rows = q.op2_license_scan(spark, FOLDER).collect()
+    assert license_rows(rows) == sorted(((i, *naive_license(t)) for i, t, _ in table), key=repr)
+
+
+@pytest.mark.parametrize("text, labels_, permissive", [
+    ("MIT", {"mit"}, True),
+    ("MIT OR GPL-2.0", {"mit", "gpl"}, True),
+    ("MIT AND GPL-2.0", {"mit", "gpl"}, False),
+    ("GPL-2.0 OR MIT AND GPL-3.0", {"mit", "gpl"}, False),
+    ("(GPL-2.0 OR MIT) AND Apache-2.0", {"mit", "gpl", "apache"}, True),
+    ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", {"gpl", "mit"}, True),
+    ("CC-BY-NC-4.0", {"cc-by"}, False),
+    ("MIT and so on", {"mit"}, True),
+    ("MIT OR (GPL-2.0 AND", {"mit"}, True),
+])
+def test_license_expressions(text, labels_, permissive):
+    assert licenses.evaluate(text) == (labels_, permissive)
+
+
+@pytest.mark.parametrize("text", ["", "unknown words", "OR MIT", ") MIT", "(MIT"])
+def test_license_expressions_without_a_head(text):
+    assert licenses.evaluate(text) is None
+
+
+# sharding
+
+def check_shards(rows, docs, n):
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows if r["doc_id"] is not None) == sorted(
+        (i, len((t or "").encode()) + 1, brute.crc((t or "").encode())) for i, t in docs if i is not None)
+    places = defaultdict(list)
+    for r in rows:
+        places[r["shard"]].append(r["slot"])
+    assert set(places) <= set(range(n))
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
+def test_sharding_edges(edges, none):
+    rows = sharding.shard(edges, 3, n_slots=64).collect()
+    assert len(rows) == len(brute.EDGES)
+    check_shards(rows, [(r[0], r[1]) for r in brute.EDGES], 3)
+    assert sharding.shard(none, 3, n_slots=64).collect() == []
+
+
+@tables
+def test_sharding_table(spark, table):
+    rows = q.op3_slot_sharding(spark, FOLDER).collect()
+    check_shards(rows, [(i, t) for i, t, _ in table], 8)
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
+
+
+def test_map_is_edited_not_redone(spark, tmp_path):
+    sizes = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"),
+                                   (F.col("id") * 3 + 10).alias("bytes"), F.lit(1).cast("long").alias("rows"))
+    path = str(tmp_path / "map")
+    sharding.write_map(sharding.first_map(spark, 4, 64), path)
+    sharding.write_map(sharding.rebalanced(sharding.read_map(spark, path), sizes, 4), path)
+    sharding.write_map(sharding.rebalanced(sharding.read_map(spark, path), sizes, 5), path)
+    maps = [{r[0]: r[1] for r in sharding.read_map(spark, path, v).collect()} for v in (1, 2, 3)]
+    assert all(len(m) == 64 for m in maps)
+    weight = {r[0]: r[1] for r in sizes.collect()}
+    for m, n in ((maps[1], 4), (maps[2], 5)):
+        load = Counter()
+        for s, shard in m.items():
+            load[shard] += weight[s]
+        assert len(load) == n and max(load.values()) - min(load.values()) <= max(weight.values())
+    assert sum(maps[0][s] != maps[1][s] for s in range(64)) < 16
+    assert sum(maps[1][s] != maps[2][s] for s in range(64)) < 28
+
+
+# near copies
+
+def check_near(rows, docs):
+    want = brute.near_classes(docs)
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in rows) == Counter(
+        (docs[k][0], *v) for k, v in want.items())
+
+
+def test_near_copies_edges(edges, none):
+    check_near(ngramjoin.near_copies(edges).collect(), [(r[0], r[1]) for r in brute.EDGES])
+    assert ngramjoin.near_copies(none).collect() == []
+
+
+@tables
+def test_near_copies_table(spark, table):
+    check_near(q.op4_ngram_jaccard_join(spark, FOLDER).collect(), [(i, t) for i, t, _ in table])
+
+
+def test_near_copies_large_buckets_and_blocks(spark):
+    """Groups far beyond a bucket and a block, a common passage, and chains."""
+    rng = np.random.default_rng(1)
+    word = lambda: f"w{rng.integers(1 << 30)}"
+    core, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    docs = []
+    for i in range(90):  # near copies of one text
+        w = list(core)
+        w[int(rng.integers(120))] = word()
+        docs.append((i, " ".join(w)))
+    for i in range(90, 200):  # different texts with a common passage
+        docs.append((i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])))
+    chain = [word() for _ in range(200)]
+    for i in range(200, 230):  # each like the next, the ends unlike
+        k = (i - 200) * 6
+        docs.append((i, " ".join([*(f"x{j}" for j in range(k)), *chain[k:]])))
+    paths = ngramjoin.Paths(bucket=8, block_shingles=2000)
+    rows = ngramjoin.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), paths).collect()
+    check_near(rows, docs)
+
+
+def test_runs_meet_the_recall():
+    paths = ngramjoin.Paths()
+    rng = np.random.default_rng(0)
+    alive = np.ones(2000 * paths.runs)
+    for _ in range(paths.depth):
+        alive = rng.binomial((alive * round(paths.least * paths.coordinates)).astype(int), paths.chance)
+    assert (alive.reshape(2000, -1) > 0).any(axis=1).mean() >= paths.recall - 0.01
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 101)]
+    got = dict(components.components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_representatives_keep_columns(edges):
+    out = ngramjoin.representatives(edges)
+    assert out.columns == edges.columns
+    ids = sorted((r["doc_id"] or 0) for r in out.collect())
+    assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and {4, 5, 6, 9, 11} <= set(ids)
+
+
+# mixing
+
+def check_mixed(rows, docs, block):
+    sizes = Counter()
+    for _, text, source in docs:
+        sizes[source] += len(brute.words(text))
+    want = brute.targets(sizes)
+    taken = Counter()
+    ids = {id(d) for d in docs}
+    assert len(rows) == len(ids)
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    by_goal = defaultdict(set)
+    for s, t in want.items():
+        by_goal[(sizes[s], round(t, 4))].add(s)
+    for r in rows:
+        taken[(r["source_size"], round(r["target"], 4))] += r["taken"]
+    assert set(taken) == {(sizes[s], round(t, 4)) for s, t in want.items()}
+    for goal, n in taken.items():
+        assert abs(n - goal[1] * len(by_goal[goal])) <= 1.5 * block * len(by_goal[goal]), (goal, n)
+
+
+def test_mixing_edges(edges, none):
+    rows = mixing.taken(mixing.mix(edges, block=4, shard_slots=16)).collect()
+    check_mixed(rows, [(r[0], r[1], r[3]) for r in brute.EDGES], 4)
+    assert mixing.taken(mixing.mix(none)).collect() == []
+    assert mixing.mixed_documents(none).collect() == []
+
+
+@tables
+def test_mixing_table(spark, table):
+    rows = q.op5_source_mixing(spark, FOLDER).collect()
+    check_mixed(rows, table, 64)
+    again = q.op5_source_mixing(spark, FOLDER).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_mixed_documents_hold_the_words_taken(edges):
+    mixed = mixing.mix(edges, block=4, shard_slots=16)
+    slots = [tuple(r) for r in mixed.slots.select("source", "pass", "block").collect()]
+    assert len(slots) == len(set(slots))
+    out = mixing.mixed_documents(edges, block=4, shard_slots=16)
+    assert out.columns == edges.columns
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(brute.words(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    want = Counter()
+    for r in mixing.taken(mixed).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert +got == +want
+
+
+# exact dedup
+
+def check_exact(rows, docs):
+    groups = defaultdict(list)
+    for i, text in docs:
+        groups[brute.normal_digest(text)].append((-len(text or ""), i is None, i or 0))
+    want = Counter()
+    for digest, held in groups.items():
+        best = min(held)
+        keep = None if best[1] else best[2]
+        for k, (_, null, i) in enumerate(sorted(held)):
+            want[(None if null else i, keep, len(held), k == 0, digest)] += 1
+    assert Counter(map(tuple, rows)) == want
+
+
+def test_exact_edges(spark, edges, none):
+    rows = exactdedup.deduplicate(edges, exactdedup.fresh_index(spark, 4)).collect()
+    check_exact(rows, [(r[0], r[1]) for r in brute.EDGES])
+    assert exactdedup.deduplicate(none, exactdedup.fresh_index(spark, 4)).collect() == []
+    kept = exactdedup.kept_documents(edges, exactdedup.fresh_index(spark, 4))
+    assert kept.columns == edges.columns
+    assert kept.count() == len({brute.normal_digest(r[1]) for r in brute.EDGES})
+
+
+@tables
+def test_exact_table(spark, table):
+    check_exact(q.op6_exact_dedup(spark, FOLDER).collect(), [(i, t) for i, t, _ in table])
+
+
+def test_index_outlives_its_table_name(spark, tmp_path):
+    first = exactdedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exactdedup.deduplicate(make([(1, "a b"), (2, "c")]), first).collect()
+    first.close()
+    again = exactdedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    rows = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in
+            exactdedup.deduplicate(make([(3, "ab"), (4, "d"), (5, "d ")]), again).collect()}
+    assert rows == {3: (1, False), 4: (5, False), 5: (5, True)}
+    assert sorted(r["keep_id"] for r in again.read().collect()) == [1, 2, 5]
+    plan = again.unseen(make([]).selectExpr("text AS digest"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+# token files
+
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path(q.TOKENIZER))
+    t.encode_special_tokens = True
+    return public.path(q.TOKENIZER), t
+
+
+def check_tokens(rows, docs):
+    _, t = tokenizer()
+    start = 0
+    want = []
+    for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((i, len(ids), brute.crc(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == Counter(want)
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert order == [w[0] for w in want]
+
+
+def test_token_edges(spark, edges, none, tmp_path):
+    path, _ = tokenizer()
+    out = str(tmp_path / "tokens")
+    tokenfiles.write_tokens(edges, out, path)
+    check_tokens(tokenfiles.checked_tokens(spark, out).collect(), [(r[0], r[1]) for r in brute.EDGES])
+    index = {tuple(r) for r in tokenfiles.read_index(spark, out).collect()}
+    assert index == {(r["doc_id"], r["start"], r["n_tokens"]) for r in tokenfiles.checked_tokens(spark, out).collect()}
+    assert {r["doc_id"] for r in tokenfiles.read_tokens(spark, out, 9, 11).collect()} == {9, 10, 11}
+    tokenfiles.write_tokens(none, str(tmp_path / "none"), path)
+    assert tokenfiles.checked_tokens(spark, str(tmp_path / "none")).collect() == []
+
+
+@tables
+def test_token_table_and_layout(spark, table, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path, _ = tokenizer()
+    check_tokens(q.op7_token_files(spark, FOLDER).collect(), [(i, t) for i, t, _ in table])
+    out = str(tmp_path / "tokens")
+    tokenfiles.write_tokens(spark.read.parquet(f"{FOLDER}/documents.parquet"), out, path)
+    for file in glob.glob(f"{out}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        columns = {meta.row_group(0).column(c).path_in_schema: meta.row_group(0).column(c)
+                   for c in range(meta.num_columns)}
+        ids = next(c for p, c in columns.items() if p.startswith("ids"))
+        assert "RLE_DICTIONARY" in ids.encodings and ids.has_column_index and ids.has_offset_index
+        assert "DELTA_BINARY_PACKED" in columns["start_in_part"].encodings
+
+
+@pytest.mark.parametrize("text", ["a  b", " a", "a \n b", "a\n\n  b c ", "don't  it's", "x  y", "a  b", "\t\t a",
+                                  "<|endoftext|> b", "é \x1c b"])
+def test_stretches_encode_like_the_whole(text):
+    path, t = tokenizer()
+    cache = tokenfiles.ChunkCache(path, most=3)
+    ids = np.frombuffer(cache.encode([text])[0], "<i4").tolist()
+    assert "".join(tokenfiles.stretches(text)) == text
+    assert ids == t.encode(text, add_special_tokens=False).ids + [0]
+
+
+# quality classifier
+
+def test_quality_edges(spark, edges, none):
+    machine = qualityfm.fit(edges, labels(spark))
+    rows = qualityfm.score(edges, machine).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in brute.EDGES)
+    for r in rows:
+        held = r["doc_id"] is None or brute.crc(str(r["doc_id"]).encode()) % 3 == 1
+        assert r["held_out"] == held and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+    assert qualityfm.score(none, machine).collect() == []
+    assert {r["predicted"] for r in qualityfm.score(edges, qualityfm.fit(none, labels(spark))).collect()} == {1}
+    assert qualityfm.accepted(edges, machine).columns == edges.columns
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(0)
+    w, v, z = rng.normal(size=6), rng.normal(size=(6, 3)), rng.normal(size=(4, 6))
+    machine = qualityfm.Machine(0.3, w, v, np.zeros(6), np.ones(6))
+    want = [0.3 + x @ w + sum(v[i] @ v[j] * x[i] * x[j] for i in range(6) for j in range(i + 1, 6)) for x in z]
+    assert np.allclose(machine.raw(z), want)
+
+
+def test_quality_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = q.op8_quality_classifier(spark, folder).join(q.read_labels(spark, folder), "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.95
+    bad = [r["score"] for r in rows if not r["quality"]]
+    good = [r["score"] for r in rows if r["quality"]]
+    assert np.mean([g > b for g in good for b in bad]) >= 0.97
+
+
+# personal data
+
+def check_personal(rows, docs):
+    want = Counter()
+    for i, text in docs:
+        spans = brute.personal(text)
+        n = Counter(k for k, _, _ in spans)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want[(i, *(n[k] for k in brute.BASE_PATTERNS), brute.hashlib.sha256(listed.encode()).hexdigest())] += 1
+    assert Counter(tuple(r)[:6] for r in rows) == want
+
+
+def test_personal_edges(edges, none):
+    field = personal.fit(edges)
+    rows = personal.find(edges, field).collect()
+    check_personal(rows, [(r[0], r[1]) for r in brute.EDGES])
+    assert all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"] ==
+               len([x for x in r["spans"].split(",") if x]) for r in rows)
+    assert personal.find(none, personal.fit(none)).collect() == []
+
+
+@tables
+def test_personal_table(spark, table):
+    rows = q.op9_personal_data(spark, FOLDER).collect()
+    check_personal(rows, [(i, t) for i, t, _ in table])
+
+
+@pytest.mark.parametrize("text", [
+    "a@b.c@d.e a@@b.c x@y", "1.2.3.4.5.6.7.8 1.2.3 00001.2.3.4 256.1.1.1", "+1 2 3 4 5 6 7 8 9", "+1+1 (234) 567-8901-",
+    "4111-1111 1111 1111  4111111111111111 41111111111111111111", "..@a.b.-c. é@é.c a@b..c", "+12345678901234567",
+])
+def test_base_spans_are_the_plain_patterns(text):
+    assert [(personal.KINDS[y], a, b) for y, a, b in personal.base_spans(text)] == brute.personal(text)
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    text = "call 269 555 3296 or 10 . 0"
+    region = personal.regions(text)[0]
+    rng = np.random.default_rng(0)
+    k = len(personal.KINDS)
+    field = personal.Field(rng.normal(0, 1, (personal.WEIGHTS, k)), rng.normal(0, 1, (k + 1, k + 1)))
+    cells = {ij: field.weights[f].sum(axis=0) for ij, f in personal.candidates(text, region).items()}
+    n = len(region.starts)
+
+    def best(i, before):
+        if i == n:
+            return 0.0
+        options = [field.follow[before, k] + best(i + 1, k)]
+        for j in range(i + 1, min(n, i + personal.LONGEST) + 1):
+            if (i, j) in cells:
+                options += [field.follow[before, y] + cells[i, j][y] + best(j, y) for y in range(k)]
+        return max(options)
+
+    got, at, before = 0.0, 0, k
+    for y, a, b in personal.decode(text, region, field):
+        i = next(x for x in range(n) if region.ends[x] > a)
+        j = next(x + 1 for x in range(n) if region.ends[x] >= b)
+        for _ in range(at, i):
+            got, before = got + field.follow[before, k], k
+        got, at, before = got + field.follow[before, y] + cells[i, j][y], j, y
+    for _ in range(at, n):
+        got, before = got + field.follow[before, k], k
+    assert math.isclose(got, best(0, k))
+
+
+@tables
+def test_field_finds_other_spellings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = personal.fit(docs)
+    found = {t: personal.added_spans(t, personal.base_spans(t), field) for t in (
+        "Erin thnd kfsl.24 (at) mail3.example.com thea ndou.", "Thea at 44 . 161 . 181 . 40 thnd reha.",
+        "Call thnd (269) 555-3296 nder ther.", "Erhe thnd ndou 4524.1322.6465.2876 ther.",
+        "Ther thndou password=b7db7aa4a5fcc78305 enes.", "This is version 3. Th ndinly 4.0 thbleing.")}
+    kinds = [sorted({personal.KINDS[y] for y, _, _ in v}) for v in found.values()]
+    assert kinds == [["email"], ["ip"], ["phone"], ["card"], ["secret"], []]
+
+
+# quality rules
+
+def check_rules(rows, docs):
+    want = Counter()
+    for i, text in docs:
+        n = brute.plain_counts(text)
+        want[(i, *n, n[0] < 20 or 100 * n[4] > 30 * n[0])] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"],
+                    r["n_repeat_words"], r["base_failed"]) for r in rows) == want
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
+
+
+def naive_ratio(spark, docs, trusted, rules):
+    grams = lambda t: [(a,) for a in brute.words(t)] + list(zip(brute.words(t), brute.words(t)[1:]))
+    every = sorted({g for _, t in docs for g in grams(t)})
+    frame = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None, k) for k, g in enumerate(every)],
+                                  "a string, b string, k int")
+    h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
+    bucket = {every[r[0]]: r[1] for r in frame.select("k", F.pmod(h, F.lit(rules.buckets))).collect()}
+    raw, good = Counter(), Counter()
+    for i, t in docs:
+        for g in grams(t):
+            raw[bucket[g]] += 1
+            good[bucket[g]] += i in trusted
+    extra = rules.pseudocount * rules.buckets
+    ratio = {b: math.log(((good[b] + rules.pseudocount) / (sum(good.values()) + extra))
+                         / ((raw[b] + rules.pseudocount) / (sum(raw.values()) + extra))) for b in raw}
+    return Counter((i, round(np.mean([ratio[bucket[g]] for g in grams(t)]), 4) if grams(t) else 0.0) for i, t in docs)
+
+
+def test_rules_edges(spark, edges, none):
+    rules = ngramrules.Rules(buckets=512)
+    trusted = labels(spark).filter("quality = 1")
+    docs = [(r[0], r[1]) for r in brute.EDGES]
+    rows = ngramrules.judge(edges, trusted, rules).collect()
+    check_rules(rows, docs)
+    assert Counter((r["doc_id"], round(r["mean_ratio"], 4)) for r in rows) == naive_ratio(spark, docs, {1, 100}, rules)
+    assert ngramrules.judge(none, trusted, rules).collect() == []
+    assert {r["mean_ratio"] for r in ngramrules.judge(edges, trusted.limit(0), rules).collect()} == {0.0}
+
+
+@tables
+def test_rules_table(spark, table):
+    rows = q.op10_ngram_rules(spark, FOLDER).collect()
+    docs = [(i, t) for i, t, _ in table]
+    check_rules(rows, docs)
+    trusted = {r["doc_id"] for r in q.read_labels(spark, FOLDER).filter("quality = 1").collect()}
+    got = Counter((r["doc_id"], round(r["mean_ratio"], 4)) for r in rows)
+    assert got == naive_ratio(spark, docs, trusted, ngramrules.Rules())
+    assert all(r["kept"] == (not r["base_failed"] and r["mean_ratio"] >= ngramrules.Rules().threshold) for r in rows)
