@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from kerbflow.plans.catalog import ORACLES, QUERIES
 from tests.compare import connect, differences
 
 FOLDER = os.environ.get("KERBFLOW_TEST_TABLES", "/root/testdata/sf0.001")
@@ -18,14 +19,14 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = driver.queries()[name](spark, FOLDER).toArrow()
     want = duck.sql(driver.oracle_sql()[name]).to_arrow_table()
     assert differences(got, want) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - set(driver.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     assert len(got) > 0
