@@ -19,7 +19,7 @@ class Rules:
 
     buckets: int = 1 << 16
     pseudocount: float = 1.0
-    threshold: float = 0.0
+    threshold: float = -0.08
 
 
 def repeated_words(words: Column) -> Column:
