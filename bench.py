@@ -22,7 +22,8 @@ HEADLINE = (
     "compare_month_prev", "growth_gains", "enriched_rollup", "temp_trendline", "event_calendar",
     "event_impact", "event_summary", "forecast_naive", "forecast_holt_winters", "forecast_ridge",
     "hex_density", "point_sample", "zone_centroids", "link_discovery", "competitor_rank",
-    "stream_hourly",
+    "stream_hourly", "stored_rollups", "manifest", "rollup_five_grains", "forecast_selected",
+    "event_did",
 )
 
 

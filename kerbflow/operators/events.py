@@ -129,8 +129,14 @@ def demand_series(by_area: DataFrame, areas: Sequence[str] = CORE_AREAS) -> Data
 
     ``by_area`` is any rollup with a day and an area. One aggregation per day with
     a sum per listed area, then unfolded; an area without rows on a day has no
-    entry there, and rows without an area count nowhere.
+    entry there, and rows without an area count nowhere. A rollup without areas is
+    one series 'ALL' of all its rows.
     """
+    if "borough" not in by_area.columns:
+        total = by_area.dropna(subset=["pickup_date"]).groupBy(
+            F.col("pickup_date").alias("date")
+        ).agg(F.sum("trips").alias("trips"))
+        return total.select("date", F.col("trips").alias("total"), F.lit(ALL).alias("series"), "trips")
     by_area = by_area.dropna(subset=["pickup_date", "borough"])
     sums = [F.sum(F.when(F.col("borough") == a, F.col("trips"))) for a in areas]
     wide = by_area.groupBy(F.col("pickup_date").alias("date")).agg(

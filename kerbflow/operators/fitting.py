@@ -10,6 +10,10 @@ SEASON = 7
 PENALTIES = (0.1, 1.0, 10.0, 100.0, 1000.0)
 
 
+class TooShort(ValueError):
+    """A series has too few days for a model."""
+
+
 def ridge_fit(x: np.ndarray, y: np.ndarray, penalties: tuple[float, ...] = PENALTIES):
     """Ridge on centred data; the penalty with the least leave-one-out error.
 
@@ -32,11 +36,23 @@ def ridge_fit(x: np.ndarray, y: np.ndarray, penalties: tuple[float, ...] = PENAL
     return coef, float(y_mean - x_mean @ coef), a
 
 
-def ridge_predict(x: np.ndarray, y: np.ndarray, future: np.ndarray) -> np.ndarray:
-    """Standardize on the training rows (constant columns untouched), then ridge."""
+def left_out_error(x: np.ndarray, y: np.ndarray, penalty: float) -> float:
+    """Mean squared leave-one-out error by the hat matrix of the normal equations."""
+    z = x - x.mean(axis=0)
+    hat = z @ np.linalg.solve(z.T @ z + penalty * np.eye(x.shape[1]), z.T) + 1.0 / len(y)
+    return float(np.mean(((y - hat @ y) / (1.0 - np.diag(hat))) ** 2))
+
+
+def standard_ridge(x: np.ndarray, y: np.ndarray):
+    """Ridge on columns standardized over the training rows (constant ones untouched):
+    (coefficients, intercept, penalty, means, deviations)."""
     mean, std = x.mean(axis=0), x.std(axis=0)
     std = np.where(std > 0, std, 1.0)
-    coef, intercept, _ = ridge_fit((x - mean) / std, y)
+    return (*ridge_fit((x - mean) / std, y), mean, std)
+
+
+def ridge_predict(x: np.ndarray, y: np.ndarray, future: np.ndarray) -> np.ndarray:
+    coef, intercept, _, mean, std = standard_ridge(x, y)
     return (future - mean) / std @ coef + intercept
 
 
@@ -52,7 +68,7 @@ def holt_winters_predict(y: np.ndarray, steps: int, season: int = SEASON) -> np.
     All grid points run side by side as one vector per day.
     """
     if len(y) < 2 * season:
-        raise ValueError("needs two full seasons")
+        raise TooShort("needs two full seasons")
     grid = np.array([(a, b, g) for a in LEVEL_GRID for b in TREND_GRID for g in SEASON_GRID])
     alpha, beta, gamma = grid.T
     first, second = y[:season].mean(), y[season : 2 * season].mean()
@@ -95,10 +111,10 @@ def predict(
         "Holt-Winters": lambda: holt_winters_predict(y, steps),
         "Seasonal naive": lambda: naive_predict(y, steps),
     }
-    for name in dict.fromkeys([model, "Holt-Winters", "Seasonal naive"]):
+    for name in dict.fromkeys([model if model in fits else "Holt-Winters", "Holt-Winters", "Seasonal naive"]):
         try:
             values = fits[name]()
-        except (KeyError, ValueError, np.linalg.LinAlgError):
+        except (TooShort, np.linalg.LinAlgError):
             continue
         if np.isfinite(values).all():
             return values, name

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.operators import fitting
-from kerbflow.operators.context import impute_climatology
+from kerbflow.operators.context import calendar_features, federal_holidays, impute_climatology
 from kerbflow.operators.fitting import SEASON
 from kerbflow.operators.series import DATE, daily_total
 
@@ -27,7 +27,6 @@ cloudpickle.register_pickle_by_value(fitting)
 # Training start and least number of training days.
 TRAIN_START = "2021-01-01"
 MIN_DAYS = 365
-MODELS = ("Holt-Winters", "Regression + seasonality", "Seasonal naive")
 FLAGS = (
     "is_weekend", "is_month_start", "is_month_end", "is_federal_holiday",
     "has_nyc_event", "has_precipitation",
@@ -122,9 +121,17 @@ def feature_columns(day: Column, start: Column) -> dict[str, Column]:
 
 
 def regression_frame(
-    rows: DataFrame, by: Sequence[str], context: DataFrame, flat_rain: bool = False
+    rows: DataFrame, by: Sequence[str], context: DataFrame | None, flat_rain: bool = False
 ) -> DataFrame:
-    """Feature columns for training and forecast days."""
+    """Feature columns for training and forecast days.
+
+    Without a context the calendar columns come from the days themselves; weather and
+    events are 0.
+    """
+    if context is None:
+        days = rows.select(F.col(DATE).alias("date")).distinct()
+        ends = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+        context = calendar_features(days, federal_holidays(ends))
     joined = rows.join(context_for_days(rows, context, flat_rain), DATE)
     numeric = {c: F.col(c).cast("double") for c in (*FLAGS, *WEATHER)}
     made = numeric | feature_columns(F.col(DATE), F.col("first_day"))
@@ -147,7 +154,7 @@ def forecast(
     then to the seasonal naive forecast, series by series.
     """
     rows = forecast_rows(df, by, months, start, least)
-    if model == "Regression + seasonality" and context is not None:
+    if model == "Regression + seasonality":
         rows = regression_frame(rows, by, context, flat_rain)
     keys = list(by)
 
@@ -165,3 +172,43 @@ def forecast(
         + [f"{DATE} date", "trips_forecast double", "model string"]
     )
     return rows.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def ridge_optimality(rows: DataFrame, by: Sequence[str], context: DataFrame | None) -> DataFrame:
+    """Per series: does the fitted ridge solve its normal equations, and does no other
+    penalty have a smaller leave-one-out error?
+
+    The gradient is one aggregation over the training rows beside the coefficients.
+    """
+    train = regression_frame(rows, by, context).filter("trips IS NOT NULL")
+    keys, names = list(by), list(FEATURES)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[names].to_numpy(float), group["trips"].to_numpy(float)
+        coef, intercept, penalty, mean, std = fitting.standard_ridge(x, y)
+        errors = [fitting.left_out_error((x - mean) / std, y, a) for a in fitting.PENALTIES]
+        out = group[keys].head(1).copy()
+        out["coef"], out["mean"], out["std"] = [coef.tolist()], [mean.tolist()], [std.tolist()]
+        out["intercept"], out["penalty"] = intercept, penalty
+        chosen = errors[fitting.PENALTIES.index(penalty)]
+        out["least_error"] = chosen <= min(errors) * (1 + 1e-9)
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
+        ", coef array<double>, mean array<double>, std array<double>, intercept double, "
+        "penalty double, least_error boolean")
+    fits = train.groupBy(*keys).applyInPandas(fit, schema)
+    z = F.zip_with(
+        F.zip_with(F.array(*names), F.col("mean"), lambda v, m: v - m), F.col("std"),
+        lambda v, s: v / s)
+    joined = train.join(fits, keys).withColumn("z", z)
+    guess = F.aggregate(F.zip_with("z", "coef", lambda v, c: v * c), F.lit(0.0), lambda a, v: a + v)
+    joined = joined.withColumn("rest", F.col("trips") - guess - F.col("intercept"))
+    pulls = [F.sum(F.col("z")[j] * F.col("rest")) - F.first("penalty") * F.first(F.col("coef")[j])
+             for j in range(len(names))]
+    scale = F.sum(F.abs("trips")) + 1
+    return joined.groupBy(*keys).agg(
+        (F.greatest(*[F.abs(p) for p in pulls], F.abs(F.sum("rest"))) <= 1e-7 * scale).alias("optimal"),
+        F.first("least_error").alias("least_error"),
+    )

@@ -22,6 +22,15 @@ HORIZONS = {
 RANKINGS = ("largest_gains", "largest_losses", "growth")
 
 
+def horizon_months(horizon: int | str) -> int:
+    """Months of a named horizon, or the number itself."""
+    if isinstance(horizon, int):
+        return horizon
+    if horizon not in HORIZONS:
+        raise ValueError(f"{horizon!r} is none of {list(HORIZONS)}")
+    return HORIZONS[horizon]
+
+
 def group_daily(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Trips per day and group; the shared base of windows, ranks and guards."""
     return df.dropna(subset=["pickup_date"]).groupBy("pickup_date", *group).agg(
@@ -91,18 +100,21 @@ def coverage(daily: DataFrame, months: int) -> DataFrame:
 def growth_opportunities(
     df: DataFrame,
     group: Sequence[str],
-    months: int,
+    months: int | str,
     top: int | None = 15,
     volume_quantile: float | None = 0.5,
     rank_by: str = "largest_gains",
     complete_days: bool = False,
 ) -> DataFrame:
-    """Ranked groups above a volume quantile.
+    """Ranked groups above a volume quantile; ``months`` may name a horizon.
 
     When the floor leaves nothing, all groups are ranked. ``complete_days``
     empties the result if any day of the windows has no rows. The exact quantile
     is taken over one value per group (areas or zones), after the aggregation.
     """
+    if rank_by not in RANKINGS:
+        raise ValueError(f"{rank_by!r} is none of {RANKINGS}")
+    months = horizon_months(months)
     daily = group_daily(df, group)
     kept = out = compare_groups(daily, group, months)
     current, comparable = F.col("current_trips"), F.col("prior_trips") > 0

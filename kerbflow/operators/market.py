@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of the operators that share a volume.
+SALTS = 16
+
 
 def trips_per_vehicle(supply: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Trips over active vehicles per key (null without vehicles)."""
@@ -23,6 +26,8 @@ def competitor_rank(supply: DataFrame, operator: str) -> DataFrame:
     The rank of a volume is 1 + the operators above it. It is taken over distinct
     volumes and joined back, so no task has to sort all operators: v distinct
     volumes add up to at least v * v / 2 trips, which bounds v by a square root.
+    Very many operators share the small volumes, so the join carries a salt: each
+    rank is handed out to SALTS partitions of its operators.
     """
     totals = supply.groupBy(operator).agg(
         F.sum("trips").alias("trips"), F.sum("vehicles").alias("vehicles")
@@ -32,4 +37,8 @@ def competitor_rank(supply: DataFrame, operator: str) -> DataFrame:
     ranks = ranks.select(
         "trips", (F.sum("same").over(order) - F.col("same") + 1).alias("rank")
     )
-    return totals.join(ranks, "trips").select(operator, "trips", "vehicles", "rank")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
+    salted = totals.withColumn("salt_", F.pmod(F.xxhash64(operator), F.lit(SALTS)))
+    return salted.join(ranks.select("*", salts), ["trips", "salt_"]).select(
+        operator, "trips", "vehicles", "rank"
+    )

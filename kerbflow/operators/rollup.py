@@ -63,10 +63,18 @@ def count_trips(
     return trips.groupBy(*keys).agg(F.count(F.lit(1)).alias("trips"), *sums, *hits)
 
 
-def re_sum(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum every non-key column of a rollup to a coarser key."""
-    values = [f.name for f in rollup.schema if f.name not in keys and _is_number(f)]
-    return rollup.groupBy(*keys).agg(*[_total(F.col(v)).alias(v) for v in values])
+def re_sum(rollup: DataFrame, keys: Sequence[str], absent_as_zero: bool = True) -> DataFrame:
+    """Sum every non-key column of a rollup to a coarser key.
+
+    A sum over nulls only is 0, or stays null if ``absent_as_zero`` is off.
+    """
+    total = _total if absent_as_zero else F.sum
+    return rollup.groupBy(*keys).agg(*[total(F.col(v)).alias(v) for v in sums_of(rollup, keys)])
+
+
+def sums_of(rollup: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The numeric columns of a rollup that are no keys."""
+    return [f.name for f in rollup.schema if f.name not in keys and _is_number(f)]
 
 
 def _is_number(field) -> bool:

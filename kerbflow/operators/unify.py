@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions.timeparts import month_label
-from kerbflow.operators.rollup import re_sum, unknown_area
+from kerbflow.operators.rollup import UNKNOWN, re_sum, sums_of, unknown_area
 
 LABEL = "month_label_read"
 
@@ -71,25 +71,35 @@ def merge_sources(
 ) -> DataFrame:
     """Unified table over ``keys`` with one source per key.
 
-    ``tie_break="sum"`` first adds up rows of one source that share a key (they
-    differ in the month label read), ``"month_label"`` keeps the row with the
-    highest label instead. ``dedup_level="day"`` picks the source per date and
-    company and keeps all its rows. Null areas count as 'Unknown' either way.
+    ``tie_break="sum"`` adds up all rows of the source that wins a key: they may differ
+    in the month label read, in the licence or in the names of a place.
+    ``"month_label"`` keeps the row with the highest label instead. A sum that no row of
+    the winner has stays null. Of several names of a place a known one is kept, the
+    greatest; of several licences the greatest. ``dedup_level="day"`` picks the source
+    per date and company and keeps all its keys. Null areas count as 'Unknown'.
     """
     rows = union_sources([standard_columns(s, granularity, company) for s in sources])
     names = [c for c in ("borough", "zone") if c in rows.columns]
     if names:
-        rows = rows.fillna("Unknown", names)
-    carried = ["source", "source_priority", "granularity", "pickup_month", "year"]
-    carried += [c for c in ("hvfhs_license_num",) if c in rows.columns]
+        rows = rows.fillna(UNKNOWN, names)
     if tie_break == "month_label":
         return best_source(rows, keys, [F.desc_nulls_last(LABEL)]).drop(LABEL)
+    carried = ["source", "source_priority", "granularity", "pickup_month", "year"]
     labels = [c for c in names if c not in keys]
-    summed = re_sum(rows.drop(LABEL), [*keys, *labels, *carried])
+    licences = [c for c in ("hvfhs_license_num",) if c in rows.columns and c not in keys]
+    sums = [F.sum(c).alias(c) for c in sums_of(rows, [*keys, *carried, LABEL])]
+    kept = [F.max(c).alias(c) for c in licences]
+    if labels:
+        known = [(F.col(c) != UNKNOWN).alias(f"known_{c}") for c in labels]
+        kept.append(F.max(F.struct(*known, *labels)).alias("labels_"))
+    summed = rows.groupBy(*keys, *carried).agg(*sums, *kept)
+    for c in labels:
+        summed = summed.withColumn(c, F.col(f"labels_.{c}"))
+    summed = summed.drop("labels_")
     if dedup_level == "day":
         best = F.max("source_priority").over(Window.partitionBy("pickup_date", "company"))
         return summed.withColumn("best_", best).filter("source_priority = best_").drop("best_")
-    return best_source(summed, keys, [F.asc_nulls_last(c) for c in labels])
+    return best_source(summed, keys, [F.asc("source")])
 
 
 def daily_by_company(sources: Sequence[Source], **options) -> DataFrame:
@@ -123,7 +133,7 @@ def _without_places(df: DataFrame) -> DataFrame:
         return df
     rest = [c for c in ("pickup_date", "pickup_month", "company", "hvfhs_license_num")
             if c in df.columns]
-    return re_sum(df.drop(*places), rest)
+    return re_sum(df.drop(*places), rest, absent_as_zero=False)
 
 
 def annual_summary(daily: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ area AS (SELECT pickup_date AS d, borough, CAST(SUM(trips) AS BIGINT) AS trips F
 series AS (SELECT borough AS series, d, trips, total FROM area JOIN total USING (d)
            UNION ALL SELECT 'ALL', d, total, total FROM total),
 ev AS (SELECT c.*, CASE WHEN borough IN (SELECT borough FROM area) THEN borough ELSE 'ALL' END
-         AS series FROM calendar c WHERE date BETWEEN DATE '1996-01-01' AND DATE '2001-08-01'),
+         AS series FROM calendar c),
 days AS (SELECT DISTINCT series, date FROM ev),
 base AS (
   SELECT days.series, days.date, AVG(s.trips) AS baseline_trips,
@@ -197,10 +197,9 @@ impact AS (
 
 
 def _impact(spark, folder):
-    events = calendar(spark, folder)
-    start, end = (F.lit(d).cast("date") for d in ("1996-01-01", "2001-08-01"))
-    shown = ev.events_in_scope(events, start, end)
-    return ev.event_impact(named_demand(spark, folder), shown, events, HALF_WIDTH, AREAS)
+    return ev.event_impact(
+        named_demand(spark, folder), calendar(spark, folder), None, HALF_WIDTH, AREAS
+    )
 
 
 @query("event_impact", f"""{_IMPACT}
@@ -212,6 +211,29 @@ def event_impact(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in ("baseline_trips", "lift")})
 
 
+@query("event_impact_city", f"""WITH {DEMAND}, {CALENDAR},
+s AS (SELECT pickup_date AS d, CAST(SUM(trips) AS BIGINT) AS trips FROM demand GROUP BY 1),
+base AS (
+  SELECT days.date, AVG(s.trips) AS baseline_trips, COUNT(*) AS baseline_days
+  FROM (SELECT DISTINCT date FROM calendar) days JOIN s ON isodow(s.d) = isodow(days.date)
+       AND s.d BETWEEN days.date - {HALF_WIDTH} AND days.date + {HALF_WIDTH}
+  WHERE s.d NOT IN (SELECT date FROM calendar) GROUP BY 1)
+SELECT c.date, event_name, borough, 'ALL' AS series, s.trips,
+       round(baseline_trips, 6) AS baseline_trips,
+       round(CASE WHEN baseline_trips > 0 THEN s.trips / baseline_trips - 1 END, 6) AS lift,
+       CAST(NULL AS DOUBLE) AS did_lift, coalesce(baseline_days, 0) AS baseline_days
+FROM calendar c JOIN s ON s.d = c.date LEFT JOIN base ON base.date = c.date""")
+def event_impact_city(spark, folder):
+    """A table without areas: every event is measured on all trips, placed or not."""
+    city = named_demand(spark, folder).select("pickup_date", "trips")
+    out = ev.event_impact(city, calendar(spark, folder), None, HALF_WIDTH, AREAS)
+    return out.select(
+        "date", "event_name", "borough", "series", "trips",
+        F.round("baseline_trips", 6).alias("baseline_trips"), F.round("lift", 6).alias("lift"),
+        "did_lift", "baseline_days",
+    )
+
+
 @query("event_did", f"""{_IMPACT}
 SELECT date, event_name, event_category, series, trips, round(control_lift, 6) AS control_lift,
        round(lift - control_lift, 6) AS did_lift FROM impact""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerbflow.operators import fitting
 from kerbflow.operators import forecast as fc
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.standins import (
@@ -85,9 +86,48 @@ def forecast_features(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in rounded})
 
 
-@query("forecast_holt_winters")
+def _grid_sql(values):
+    listed = ", ".join(f"{v}::DOUBLE" for v in values)
+    return f"(SELECT unnest([{listed}]) AS v, unnest(range({len(values)})) AS i)"
+
+
+_CYCLE = [f"c{k}" for k in range(7)]
+#: The same recursion over the same grid; the season's current value is always ``c0``.
+_HOLT_WINTERS = f"""{_TRAIN.format(months=1).replace("WITH ", "WITH RECURSIVE ", 1)},
+seq AS (SELECT borough, CAST(trips AS DOUBLE) AS y,
+               row_number() OVER (PARTITION BY borough ORDER BY pickup_date) - 1 AS i FROM train),
+size AS (SELECT borough, COUNT(*) AS n FROM seq GROUP BY 1),
+grid AS (SELECT a.v AS a, b.v AS b, g.v AS g, (a.i * 100 + b.i) * 100 + g.i AS k
+         FROM {_grid_sql(fitting.LEVEL_GRID)} a, {_grid_sql(fitting.TREND_GRID)} b,
+              {_grid_sql(fitting.SEASON_GRID)} g),
+begin_ AS (SELECT borough, AVG(y) FILTER (i < 7) AS first, AVG(y) FILTER (i BETWEEN 7 AND 13) AS second,
+                  {", ".join(f"MAX(y) FILTER (i = {k}) AS y{k}" for k in range(7))}
+           FROM seq GROUP BY 1),
+hw AS (
+  SELECT borough, k, a, b, g, 0::BIGINT AS t, first AS level, (second - first) / 7 AS trend,
+         {", ".join(f"y{k} - first AS c{k}" for k in range(7))}, 0::DOUBLE AS err
+  FROM begin_, grid
+  UNION ALL
+  SELECT borough, k, a, b, g, t + 1, up, b * (up - level) + (1 - b) * trend,
+         {", ".join(_CYCLE[1:])}, g * (y - guess) + (1 - g) * c0, err + (y - guess - c0) * (y - guess - c0)
+  FROM (SELECT hw.*, y, level + trend AS guess, a * (y - c0) + (1 - a) * (level + trend) AS up
+        FROM hw JOIN seq ON seq.borough = hw.borough AND seq.i = hw.t)),
+best AS (SELECT hw.* FROM hw JOIN size ON size.borough = hw.borough AND hw.t = size.n
+         QUALIFY row_number() OVER (PARTITION BY hw.borough ORDER BY err, k) = 1)
+SELECT borough, ahead.pickup_date, 'Holt-Winters' AS model,
+       round(greatest(0, level + (ahead.pickup_date - hi) * trend
+             + ([{", ".join(_CYCLE)}])[CAST((ahead.pickup_date - hi - 1) % 7 + 1 AS INTEGER)]), 6)
+         AS trips_forecast
+FROM ahead JOIN best USING (borough)"""
+
+
+def _rounded(out):
+    return out.withColumn("trips_forecast", F.round("trips_forecast", 6))
+
+
+@query("forecast_holt_winters", _HOLT_WINTERS)
 def forecast_holt_winters(spark, folder):
-    return fc.forecast(named_demand(spark, folder), BY, "Holt-Winters", 1, start=START)
+    return _rounded(fc.forecast(named_demand(spark, folder), BY, "Holt-Winters", 1, start=START))
 
 
 @query("forecast_ridge")
@@ -96,7 +136,27 @@ def forecast_ridge(spark, folder):
                        context(spark, folder), start=START)
 
 
-@query("forecast_selected")
+@query("forecast_ridge_no_context", f"""{_TRAIN.format(months=1)}
+SELECT borough, a.pickup_date, 'Regression + seasonality' AS model FROM ahead a""")
+def forecast_ridge_no_context(spark, folder):
+    """Without a context the regression runs on calendar features, weather at 0."""
+    out = fc.forecast(named_demand(spark, folder), BY, "Regression + seasonality", 1, start=START)
+    return out.filter("trips_forecast >= 0").select("borough", "pickup_date", "model")
+
+
+@query("forecast_ridge_optimal", f"""{_TRAIN.format(months=1)}
+SELECT borough, TRUE AS optimal, TRUE AS least_error FROM ends""")
+def forecast_ridge_optimal(spark, folder):
+    """Normal equations and choice of penalty of each series, from Spark's own sums.
+
+    At the optimum the gradient (sums of feature times residual, less penalty times
+    coefficient) vanishes, and no other penalty has a smaller leave-one-out error.
+    """
+    rows = fc.forecast_rows(named_demand(spark, folder), BY, 1, START)
+    return fc.ridge_optimality(rows, BY, context(spark, folder))
+
+
+@query("forecast_selected", _HOLT_WINTERS)
 def forecast_selected(spark, folder):
     """An unknown model falls back to Holt-Winters."""
-    return fc.forecast(named_demand(spark, folder), BY, "SARIMA", 1, start=START)
+    return _rounded(fc.forecast(named_demand(spark, folder), BY, "SARIMA", 1, start=START))

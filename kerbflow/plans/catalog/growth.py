@@ -46,7 +46,7 @@ def _ranked(spark, folder, group, months, **options):
 WHERE {_FLOOR.format(q=0.5)}
 ORDER BY trip_delta DESC, growth DESC NULLS LAST, zone NULLS LAST, borough NULLS LAST LIMIT 10"""))
 def growth_gains(spark, folder):
-    return _ranked(spark, folder, ["zone", "borough"], 12, top=10)
+    return _ranked(spark, folder, ["zone", "borough"], "Last 1 year", top=10)
 
 
 @query("growth_losses", _sql(6, ["zone", "borough"], """
@@ -88,6 +88,29 @@ def growth_coverage_full(spark, folder):
                    complete_days=True)
 
 
+@query("growth_coverage_hole", f"""WITH {DEMAND}, h AS (SELECT MAX(pickup_date) AS hi FROM demand),
+gone AS (SELECT DISTINCT pickup_date FROM demand, h WHERE pickup_date BETWEEN hi - 12 AND hi - 10),
+t AS (SELECT * FROM demand WHERE pickup_date NOT IN (SELECT pickup_date FROM gone)),
+w AS (SELECT hi, CAST(CAST(hi - INTERVAL 1 MONTH AS DATE) + 1 AS DATE) AS cs FROM h),
+v AS (SELECT hi, cs, CAST(cs - INTERVAL 1 MONTH AS DATE) AS ps FROM w)
+SELECT CAST((SELECT COUNT(*) FROM v, unnest(generate_series(v.ps, v.hi, INTERVAL 1 DAY)) g(d)
+             WHERE CAST(g.d AS DATE) NOT IN (SELECT pickup_date FROM t)) AS BIGINT) AS missing_days,
+       (SELECT COUNT(DISTINCT coalesce(borough, '-')) FROM t, v WHERE pickup_date BETWEEN cs AND hi)
+         AS shown, CAST(0 AS BIGINT) AS shown_if_complete""")
+def growth_coverage_hole(spark, folder):
+    """Three days are taken out of windows that the data covers: the guard shows nothing."""
+    demand = named_demand(spark, folder)
+    hi = demand.agg(F.max("pickup_date")).scalar()
+    holed = demand.filter(~F.col("pickup_date").between(F.date_sub(hi, 12), F.date_sub(hi, 10)))
+    ranked = [
+        growth.growth_opportunities(holed, ["borough"], 1, None, None, complete_days=guard).agg(
+            F.count(F.lit(1)).alias(name))
+        for guard, name in ((False, "shown"), (True, "shown_if_complete"))
+    ]
+    missing = growth.growth_meta(holed, ["borough"], 1).select("missing_days")
+    return missing.select("missing_days", *[r.scalar().alias(r.columns[0]) for r in ranked])
+
+
 @query("growth_meta", f"""WITH {DEMAND},
 w AS (SELECT lo, hi, CAST(CAST(hi - INTERVAL 60 MONTH AS DATE) + 1 AS DATE) AS cs FROM
         (SELECT MIN(pickup_date) AS lo, MAX(pickup_date) AS hi FROM demand)),

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kerbflow.functions.timeparts import month_label
-from kerbflow.operators.rollup import between_times
+from kerbflow.operators.rollup import base_rollup, between_times, five_grains
 from kerbflow.plans.catalog.registry import query
-from kerbflow.plans.catalog.rollups import _grains
 from kerbflow.plans.catalog.standins import (
     MONTHS,
     SCHEMAS,
@@ -24,7 +23,7 @@ from kerbflow.plans.monthly import refresh_months, stored_grain
 from kerbflow.session import shared_folder
 from kerbflow.sources import incremental as inc
 from kerbflow.sources import links
-from kerbflow.sources.sinks import manifest
+from kerbflow.sources.sinks import manifest, write_parquet
 from kerbflow.streaming import hourly
 
 
@@ -77,7 +76,8 @@ SELECT month, month[1:4] AS year, t.k AS record_type, t.l AS label,
        '{_FOLDER}' || t.p || month || '.parquet' AS url
 FROM t WHERE t.k <> 'hvfhv' OR busy""")
 def trip_record_links(spark, folder):
-    return links.trip_record_links(links.page_links(_link_pages(spark, folder)))
+    found = links.trip_record_links(links.page_links(_link_pages(spark, folder)))
+    return found.drop(*links.PLACE)
 
 
 def _all_months(spark, folder):
@@ -178,7 +178,56 @@ FROM (SELECT DISTINCT pickup_date, company, hour FROM n)
 UNION ALL SELECT 'weekday_hour_by_company', COUNT(*), NULL, NULL
 FROM (SELECT DISTINCT weekday_num, company, hour FROM n)""")
 def rollup_manifest(spark, folder):
-    return manifest(_grains(spark, folder))
+    """All grains count on the stored base, so the trips are scanned once."""
+    path = f"{shared_folder(spark, 'manifest')}/base"
+    write_parquet(base_rollup(event_trips(spark, folder).drop("event_id", "value")), path)
+    return manifest(five_grains(spark.read.parquet(path), zones(spark, folder)))
+
+
+def _stored(spark, folder, trips, out, source="s", months=None):
+    day = F.to_date("pickup_datetime")
+    months = months or inc.month_range(trips.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
+
+    def load(month):
+        return between_times(trips, *inc.month_span(month))
+
+    refresh_months(spark, months, load, zones(spark, folder), out, source)
+
+
+def _order_trips(spark, folder):
+    return table(spark, folder, "orders").select(
+        F.col("o_orderdate").alias("pickup_datetime"), F.col("o_orderstatus").alias("company"),
+        F.lit(None).cast("long").alias("location_id"), F.col("o_totalprice").alias("tips"),
+    )
+
+
+@query("stored_weekday_hour", """
+SELECT 's' AS source, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday_num,
+       dayname(o_orderdate) AS weekday, 0 AS hour, o_orderstatus AS company, COUNT(*) AS trips,
+       round(SUM(o_totalprice), 2) AS tips FROM orders GROUP BY ALL""")
+def stored_weekday_hour(spark, folder):
+    """Weekday and hour over all stored months, with every measure."""
+    out = shared_folder(spark, "stored-weekday-hour")
+    _stored(spark, folder, _order_trips(spark, folder), out)
+    grain = stored_grain(spark, out, "weekday_hour_by_company")
+    return grain.withColumn("tips", F.round("tips", 2))
+
+
+@query("stored_two_sources", f"""WITH {TRIPS}
+SELECT source, pickup_month, CAST(SUM(n) AS BIGINT) AS trips FROM (
+  SELECT 'events' AS source, pickup_month, COUNT(*) AS n FROM trips GROUP BY ALL
+  UNION ALL
+  SELECT 'clicks', pickup_month, COUNT(*) FROM trips WHERE company = 'click' GROUP BY ALL)
+GROUP BY ALL""")
+def stored_two_sources(spark, folder):
+    """Two sources with the same months below one folder: each has its own due months."""
+    out = shared_folder(spark, "stored-two-sources")
+    trips = event_trips(spark, folder).drop("event_id", "value")
+    _stored(spark, folder, trips, out, "events")
+    _stored(spark, folder, trips.filter("company = 'click'"), out, "clicks")
+    return stored_grain(spark, out, "daily_by_company").groupBy("source", "pickup_month").agg(
+        F.sum("trips").alias("trips")
+    )
 
 
 @query("stored_rollups", f"""WITH {TRIPS}, {ZONES}
@@ -187,14 +236,7 @@ FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL""")
 def stored_rollups(spark, folder):
     """The monthly refresh, run over the months of the table, and one stored grain."""
     out = shared_folder(spark, "stored-rollups")
-    trips = event_trips(spark, folder).drop("event_id", "value")
-    day = F.to_date("pickup_datetime")
-    months = inc.month_range(trips.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
-
-    def load(month):
-        return between_times(trips, *inc.month_span(month))
-
-    refresh_months(spark, months, load, zones(spark, folder), out, "s")
+    _stored(spark, folder, event_trips(spark, folder).drop("event_id", "value"), out)
     return stored_grain(spark, out, "daily_by_borough")
 
 

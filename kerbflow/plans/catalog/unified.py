@@ -21,18 +21,34 @@ from kerbflow.plans.catalog.standins import (
     table,
 )
 
+#: Priority, first day and day after the last; None: open.
 SLICES = {
-    "points": (10, "1995-01-01", "1996-07-01"),
+    "points": (10, None, "1996-07-01"),
     "records": (20, "1996-01-01", "1997-07-01"),
     "bases": (30, "1997-01-01", "1999-07-01"),
-    "high_volume": (40, "1999-01-01", "2100-01-01"),
+    "high_volume": (40, "1999-01-01", None),
 }
+#: Points have no zones, so the zone table starts with the records.
+ZONE_SLICES = {**{k: v for k, v in SLICES.items() if k != "points"},
+               "records": (20, None, "1997-07-01")}
 
 
-def _slice(name):
-    _, lo, hi = SLICES[name]
-    day = F.col("o_orderdate")
-    return (day >= F.lit(lo).cast("timestamp_ntz")) & (day < F.lit(hi).cast("timestamp_ntz"))
+def _between(when, lo, hi):
+    inside = F.lit(True)
+    if lo:
+        inside = inside & (when >= F.lit(lo).cast("timestamp_ntz"))
+    if hi:
+        inside = inside & (when < F.lit(hi).cast("timestamp_ntz"))
+    return inside
+
+
+def _between_sql(when, lo, hi):
+    parts = [f"{when} >= DATE '{lo}'"] * bool(lo) + [f"{when} < DATE '{hi}'"] * bool(hi)
+    return " AND ".join(parts) or "TRUE"
+
+
+def _slice(name, slices=SLICES):
+    return _between(F.col("o_orderdate"), *slices[name][1:])
 
 
 def _order_source(spark, folder, name):
@@ -56,7 +72,7 @@ def _area_source(spark, folder, name):
 
 
 def _zone_source(spark, folder, name):
-    rows = named_demand(spark, folder, _slice(name))
+    rows = named_demand(spark, folder, _slice(name, ZONE_SLICES))
     by = ["pickup_date", "location_id", "borough", "zone"]
     return Source(name, SLICES[name][0], rows.groupBy(*by).agg(F.sum("trips").alias("trips")))
 
@@ -64,13 +80,12 @@ def _zone_source(spark, folder, name):
 _BEST = """QUALIFY ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY source_priority DESC) = 1"""
 
 
-def _union_sql(columns, tables=None, names=tuple(SLICES)):
+def _union_sql(columns, tables=None, slices=SLICES):
     parts = []
-    for name in names:
-        priority, lo, hi = SLICES[name]
+    for name, (priority, lo, hi) in slices.items():
         parts.append(
             f"SELECT {columns.format(name=name)}, '{name}' AS source, {priority} AS source_priority "
-            f"FROM {tables} WHERE pickup_date >= DATE '{lo}' AND pickup_date < DATE '{hi}'"
+            f"FROM {tables} WHERE {_between_sql('pickup_date', lo, hi)}"
         )
     return " UNION ALL ".join(parts)
 
@@ -78,7 +93,7 @@ def _union_sql(columns, tables=None, names=tuple(SLICES)):
 @query("unified_daily_company", f"""WITH days AS (
   SELECT CAST(o_orderdate AS DATE) AS pickup_date, COUNT(*) AS trips,
          SUM(o_totalprice) AS fare FROM orders GROUP BY 1),
-src AS ({_union_sql("pickup_date, trips, CASE WHEN '{name}' = 'high_volume' THEN fare ELSE 0 END "
+src AS ({_union_sql("pickup_date, trips, CASE WHEN '{name}' = 'high_volume' THEN fare END "
                     "AS fare", "days")})
 SELECT pickup_date, 'all' AS company, source, source_priority, 'daily' AS granularity,
        strftime(pickup_date, '%Y-%m') AS pickup_month,
@@ -123,11 +138,8 @@ def unified_day_level(spark, folder):
     return unify.daily_by_borough(sources, dedup_level="day")
 
 
-_ZONED = ("records", "bases", "high_volume")
-
-
 @query("unified_daily_zone", f"""WITH {DEMAND},
-src AS ({_union_sql("pickup_date, location_id, borough, zone, trips", "demand", _ZONED)}),
+src AS ({_union_sql("pickup_date, location_id, borough, zone, trips", "demand", ZONE_SLICES)}),
 summed AS (SELECT pickup_date, location_id, borough, zone, source, source_priority,
                   CAST(SUM(trips) AS BIGINT) AS trips FROM src GROUP BY ALL)
 SELECT pickup_date, 'all' AS company, location_id, coalesce(borough, 'Unknown') AS borough,
@@ -136,17 +148,51 @@ SELECT pickup_date, 'all' AS company, location_id, coalesce(borough, 'Unknown')
        CAST(year(pickup_date) AS INTEGER) AS year, trips
 FROM summed {_BEST.format(keys="pickup_date, location_id")}""")
 def unified_daily_zone(spark, folder):
-    return unify.daily_by_zone([_zone_source(spark, folder, n) for n in _ZONED])
+    return unify.daily_by_zone([_zone_source(spark, folder, n) for n in ZONE_SLICES])
+
+
+@query("unified_two_licences", """WITH days AS (
+  SELECT CAST(o_orderdate AS DATE) AS pickup_date, COUNT(*) AS trips, SUM(o_totalprice) AS fare,
+         MAX(CASE o_orderstatus WHEN 'F' THEN 'HV1' WHEN 'O' THEN 'HV2' END) AS licence
+  FROM orders GROUP BY 1)
+SELECT pickup_date, 'Unknown' AS company, 'high_volume' AS source, 40 AS source_priority,
+       'daily' AS granularity, strftime(pickup_date, '%Y-%m') AS pickup_month,
+       CAST(year(pickup_date) AS INTEGER) AS year, trips, round(fare, 2) AS passenger_fare,
+       licence AS hvfhs_license_num FROM days""")
+def unified_two_licences(spark, folder):
+    """Licences of one company on one day are added up, not chosen between."""
+    day = F.to_date("o_orderdate").alias("pickup_date")
+    licence = F.expr("CASE o_orderstatus WHEN 'F' THEN 'HV1' WHEN 'O' THEN 'HV2' END")
+    rows = table(spark, folder, "orders").groupBy(day, licence.alias("hvfhs_license_num")).agg(
+        F.count(F.lit(1)).alias("trips"), F.sum("o_totalprice").alias("passenger_fare")
+    ).withColumn("company", F.lit("Unknown"))
+    merged = unify.daily_by_company([Source("high_volume", 40, rows)])
+    return merged.withColumn("passenger_fare", F.round("passenger_fare", 2))
+
+
+@query("unified_zone_labels", f"""WITH {DEMAND}
+SELECT pickup_date, 'all' AS company, location_id, max(borough) AS borough, max(zone) AS zone,
+       'bases' AS source, 30 AS source_priority, 'daily_zone' AS granularity,
+       strftime(pickup_date, '%Y-%m') AS pickup_month,
+       CAST(year(pickup_date) AS INTEGER) AS year, CAST(SUM(trips) * 2 AS BIGINT) AS trips
+FROM demand GROUP BY pickup_date, location_id""")
+def unified_zone_labels(spark, folder):
+    """One location under its name and under a null: both rows count."""
+    by = ["pickup_date", "location_id", "borough", "zone"]
+    rows = named_demand(spark, folder, F.lit(True)).groupBy(*by).agg(F.sum("trips").alias("trips"))
+    none = F.lit(None).cast("string")
+    unnamed = rows.withColumns({"borough": none, "zone": none})
+    return unify.daily_by_zone([Source("bases", 30, rows.unionByName(unnamed))])
 
 
 HOUR_SLICES = {
-    "points": (10, "2024-01-01", "2024-01-12"),
+    "points": (10, None, "2024-01-12"),
     "bases": (30, "2024-01-08", "2024-01-22"),
-    "high_volume": (40, "2024-01-18", "2100-01-01"),
+    "high_volume": (40, "2024-01-18", None),
 }
 _HOUR_SRC = " UNION ALL ".join(
     f"SELECT pickup_date, hour, '{n}' AS source, {p} AS source_priority FROM trips "
-    f"WHERE pickup_datetime >= DATE '{lo}' AND pickup_datetime < DATE '{hi}'"
+    f"WHERE {_between_sql('pickup_datetime', lo, hi)}"
     for n, (p, lo, hi) in HOUR_SLICES.items()
 )
 
@@ -162,9 +208,7 @@ def unified_hourly(spark, folder):
     sources = []
     for name, (priority, lo, hi) in HOUR_SLICES.items():
         when = F.col("pickup_datetime")
-        rows = event_trips(spark, folder).filter(
-            (when >= F.lit(lo).cast("timestamp_ntz")) & (when < F.lit(hi).cast("timestamp_ntz"))
-        )
+        rows = event_trips(spark, folder).filter(_between(when, lo, hi))
         counts = rows.groupBy(F.to_date(when).alias("pickup_date"), F.hour(when).alias("hour"))
         sources.append(Source(name, priority, counts.agg(F.count(F.lit(1)).alias("trips"))))
     return unify.hourly_by_company(sources)

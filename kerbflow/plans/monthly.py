@@ -3,30 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from py4j.protocol import Py4JJavaError
 
-from kerbflow.operators.rollup import GRAINS, base_rollup, five_grains
+from kerbflow.operators.rollup import GRAINS, base_rollup, five_grains, re_sum, to_grain
 from kerbflow.sources.incremental import pending_months
-from kerbflow.sources.readers import MissingColumns, read_optional
+from kerbflow.sources.readers import read_optional
 from kerbflow.sources.sinks import manifest, write_months
 
-LOG = "month string, status string, message string, finished timestamp"
+LOG = ("source string, month string, table_name string, status string, rows long, "
+       "message string, finished timestamp")
+ZONED = "daily_by_zone"
 
 
 def run_log(spark: SparkSession, out: str) -> DataFrame:
     return read_optional(spark, f"{out}/run_log", LOG)
 
 
-def finished_months(spark: SparkSession, out: str) -> DataFrame:
-    """(table_name, month) of months whose whole table set was stored."""
-    latest = run_log(spark, out).groupBy("month").agg(
-        F.max_by("status", "finished").alias("status")
-    )
-    return latest.filter("status = 'done'").select(F.lit("all").alias("table_name"), "month")
+def finished_months(spark: SparkSession, out: str, source: str) -> DataFrame:
+    """(table_name, month) of what is stored of a source."""
+    latest = run_log(spark, out).filter(F.col("source") == source).groupBy(
+        "month", "table_name"
+    ).agg(F.max_by("status", "finished").alias("status"))
+    return latest.filter("status = 'done'").select("table_name", "month")
 
 
 def refresh_months(
@@ -40,52 +41,106 @@ def refresh_months(
     fill: str | None = None,
     overwrite: bool = False,
     skip_zone: bool = False,
+    batch: int = 12,
 ) -> DataFrame:
     """Store all grains of every due month; returns the run log.
 
-    One Spark job chain per month. The base rollup is written first and read back,
-    so trips are scanned once and a lost executor costs no second scan. A month
-    that fails is logged and the others go on; a month without rows keeps what was
-    stored before.
+    A month is due while any table that is asked for is missing for this source. Due
+    months are taken ``batch`` at a time, those with the same columns in one pass: the
+    base rollup is written partitioned by month and read back with its schema, then
+    each grain is written once, so trips are scanned once and a lost executor costs no
+    second scan. If a pass fails, its months are tried one by one; a month that fails
+    alone is logged with its error and the others go on. A month without rows is logged
+    as ``empty``, keeps what was stored before and stays due.
     """
-    due = months if overwrite else pending_months(months, finished_months(spark, out), 1)
+    tables = [g for g in GRAINS if not (skip_zone and g == ZONED)]
+    stored = finished_months(spark, out, source)
+    stored = stored.filter(F.col("table_name").isin(tables))
+    due = months if overwrite else pending_months(months, stored, len(tables))
+    waiting: list[tuple[str, DataFrame]] = []
+
+    def store(group: list[tuple[str, DataFrame]]) -> None:
+        try:
+            counts = _store_months(spark, group, zones, out, source, entity, fill, tables)
+        except Exception as error:  # whatever a loader or a sink raises must not end the run
+            if len(group) > 1:
+                for one in group:
+                    store([one])
+            else:
+                _log(spark, out, source, [(group[0][0], t, "failed", None, _message(error)) for t in tables])
+            return
+        _log(spark, out, source, [
+            (month, t, "done" if counts.get((month, t)) else "empty", counts.get((month, t), 0), "")
+            for month, _ in group for t in tables
+        ])
+
+    def flush() -> None:
+        by_columns: dict[tuple, list] = {}
+        for month, trips in waiting:
+            by_columns.setdefault(tuple(sorted(trips.dtypes)), []).append((month, trips))
+        for group in by_columns.values():
+            store(group)
+        waiting.clear()
+
     for row in due.orderBy("month").toLocalIterator():
-        month = row["month"]
-        status, message = "done", ""
         try:
-            _store_month(spark, month, load_month(month), zones, out, source, entity,
-                         fill, skip_zone)
-        except (PySparkException, Py4JJavaError, MissingColumns) as error:
-            status, message = "failed", str(error).splitlines()[0]
-        entry = spark.createDataFrame(
-            [(month, status, message)], "month string, status string, message string"
-        )
-        entry.withColumn("finished", F.current_timestamp()).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{out}/run_log")
+            waiting.append((row["month"], load_month(row["month"])))
+        except Exception as error:
+            _log(spark, out, source, [(row["month"], t, "failed", None, _message(error)) for t in tables])
+        if len(waiting) == batch:
+            flush()
+    flush()
     return run_log(spark, out)
 
 
-def _store_month(spark, month, trips, zones, out, source, entity, fill, skip_zone) -> None:
-    labelled = trips.withColumn("pickup_month", F.lit(month))
-    base_path = f"{out}/base"
-    write_months(base_rollup(labelled, entity).withColumn("source", F.lit(source)), base_path)
-    stored = spark.read.parquet(base_path).filter(
-        (F.col("source") == source) & (F.col("pickup_month") == month)
+def _message(error: Exception) -> str:
+    lines = str(error).splitlines()
+    return f"{type(error).__name__}: {lines[0] if lines else ''}"
+
+
+def _log(spark: SparkSession, out: str, source: str, entries: list[tuple]) -> None:
+    rows = [(source, *e) for e in entries]
+    frame = spark.createDataFrame(rows, LOG.removesuffix(", finished timestamp"))
+    frame.withColumn("finished", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
+        f"{out}/run_log"
     )
-    for grain, df in five_grains(stored.drop("source"), zones, entity, fill, skip_zone).items():
+
+
+def _store_months(spark, group, zones, out, source, entity, fill, tables) -> dict:
+    """Write the tables of some months; rows by (month, table)."""
+    labels = [month for month, _ in group]
+    labelled = reduce(
+        DataFrame.unionByName, [t.withColumn("pickup_month", F.lit(m)) for m, t in group]
+    )
+    base = base_rollup(labelled, entity).withColumn("source", F.lit(source))
+    filled = [m for m, t in group if not t.isEmpty()]
+    mine = (F.col("source") == source) & F.col("pickup_month").isin(filled)
+    if not filled:
+        return {}
+    write_months(base, f"{out}/base")
+    stored = read_optional(spark, f"{out}/base", base.schema).filter(mine)
+    counts: dict[tuple[str, str], int] = {}
+    grains = five_grains(stored.drop("source"), zones, entity, fill, ZONED not in tables)
+    for grain, df in grains.items():
+        if "pickup_month" not in df.columns:  # weekdays and hours, month by month
+            df = to_grain(stored.drop("source"), grain, (*entity, "pickup_month"))
         named = df.withColumn("source", F.lit(source))
-        if "pickup_month" not in df.columns:
-            named = named.withColumn("pickup_month", F.lit(month))
         write_months(named, f"{out}/{grain}")
+        written = read_optional(spark, f"{out}/{grain}", named.schema).filter(mine)
+        for r in written.groupBy("pickup_month").count().collect():  # one row for each month
+            counts[r["pickup_month"], grain] = r["count"]
+    return counts
 
 
-def stored_grain(spark: SparkSession, out: str, grain: str) -> DataFrame:
-    """A stored grain over all months; weekday-hour rows are summed over months."""
+def stored_grain(
+    spark: SparkSession, out: str, grain: str, entity: Sequence[str] = ("company",)
+) -> DataFrame:
+    """A stored grain over all months; weekday-hour rows, all their measures, are summed
+    over months."""
     df = spark.read.option("mergeSchema", True).parquet(f"{out}/{grain}")
     if grain != "weekday_hour_by_company":
         return df
-    return df.groupBy("source", *GRAINS[grain], "company").agg(F.sum("trips").alias("trips"))
+    return re_sum(df.drop("pickup_month"), ["source", *GRAINS[grain], *entity])
 
 
 def stored_manifest(spark: SparkSession, out: str, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:

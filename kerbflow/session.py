@@ -6,8 +6,10 @@ on the settings below.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -28,14 +30,22 @@ def local_session(cpus: int | str = "*", app: str = "kerbflow") -> SparkSession:
     )
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="kerbflow-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) is a temporary folder
-    made and recorded in the session.
+    Where that setting is absent, a local session gets a temporary folder; on a cluster
+    that would be a different disk for each executor, so it is an error. The session's
+    settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="kerbflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -22,6 +22,9 @@ RECORD_TYPES = {
 # Entities resolved in links and labels (the ampersand last).
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
+#: Where a link stands; the last one by these wins.
+PLACE = ("page_id", "position")
+
 NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ANCHOR_WITH_LINK = r"(?i)<a\s(?=[^>]*\bhref\s*=)"
 HREF = r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -75,6 +78,7 @@ def trip_record_links(
             kind.alias("record_type"),
             "label",
             url.alias("url"),
+            *[c for c in PLACE if c in links.columns],
         )
         .dropna(subset=["month", "record_type"])
     )
@@ -83,11 +87,16 @@ def trip_record_links(
 def month_urls(
     months: DataFrame, links: DataFrame, record_type: str, template: str
 ) -> DataFrame:
-    """URL per month: the last link found for it, else ``template`` (``%s`` = month)."""
+    """URL per month: the last link found for it, else ``template`` (``%s`` = month).
+
+    The last is the one furthest down by page and position; links without a place are
+    ordered by URL.
+    """
+    place = F.struct(*[c for c in (*PLACE, "url") if c in links.columns])
     found = (
         links.filter(F.col("record_type") == record_type)
         .groupBy("month")
-        .agg(F.max("url").alias("found"))
+        .agg(F.max_by("url", place).alias("found"))
     )
     default = F.format_string(template, F.col("month"))
     return months.join(found, "month", "left").select(

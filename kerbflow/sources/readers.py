@@ -36,11 +36,15 @@ def read_csv(
     spark: SparkSession, paths: Paths, schema: StructType | str,
     rename: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Headed CSV with a declared schema; unreadable values become null."""
+    """Headed CSV with a declared schema; unreadable values become null.
+
+    Files whose header names other columns, or the same in another order, raise an
+    error instead of being read by position.
+    """
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .csv(_as_list(paths))
     )
@@ -76,15 +80,21 @@ def read_parquet_columns(
 ) -> DataFrame:
     """Parquet with only the wanted columns that exist in some file.
 
-    Names match without regard to case, which also covers spelling variants. For
-    very many files give a ``schema`` instead: then no footers are read to merge
-    their columns, and a column that a file lacks is null.
+    Names match without regard to case, which also covers spelling variants. Each
+    path must have the ``required`` columns (one footer of it is read). For very many
+    files give a ``schema``: then footers are not merged, and a column of the schema
+    that a file lacks is null.
     """
-    if schema is not None:
-        return spark.read.schema(schema).parquet(*_as_list(paths))
-    df = spark.read.option("mergeSchema", True).parquet(*_as_list(paths))
-    require_columns(df, required, ", ".join(_as_list(paths)))
+    if required:
+        for path in _as_list(paths):
+            require_columns(spark.read.parquet(path), required, path)
+    if schema is None:
+        df = spark.read.option("mergeSchema", True).parquet(*_as_list(paths))
+    else:
+        df = spark.read.schema(schema).parquet(*_as_list(paths))
     present = {c.lower() for c in df.columns}
+    if schema is not None and not wanted:
+        return df
     return df.select(*[F.col(w).alias(w) for w in wanted if w.lower() in present])
 
 
@@ -106,13 +116,32 @@ def read_optional(
 def read_month_shards(spark: SparkSession, paths: Sequence[Paths], fmt: str = "csv") -> DataFrame:
     """Month files whose column sets and orders differ, united by name.
 
-    Each entry of ``paths`` holds files of one layout; empty files add no rows.
-    All columns are text until cast by a table schema.
+    CSV files are grouped by their header, so one entry may hold several layouts; empty
+    files add no rows. All columns are text until cast by a table schema.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", False)
-    return union_sources([reader.load(p) for p in paths])
+    if fmt != "csv":
+        return union_sources([spark.read.format(fmt).load(p) for p in paths])
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    files = [x for p in paths for x in _as_list(p)]
+    layouts = csv_layouts(spark, files)
+    if not layouts:
+        return reader.csv(files)
+    return union_sources([reader.csv(group) for group in layouts.values()])
+
+
+def csv_layouts(spark: SparkSession, paths: Paths) -> dict[str, list[str]]:
+    """Files by header line. One short row for each file comes to the driver."""
+    lines = spark.read.text(_as_list(paths)).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    out: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        out.setdefault(row["head"], []).append(row["file"])
+    return out
 
 
 def typed(df: DataFrame, schema: StructType) -> DataFrame:

@@ -50,37 +50,3 @@ def stored_hourly(spark: SparkSession, out: str) -> DataFrame:
         .groupBy("pickup_date", "hour", "company")
         .agg(F.sum("trips").alias("trips"))
     )
-
-
-def closed_hours(trips: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Event-time windows with a watermark, for sinks that take final rows only.
-
-    Use ``append`` mode: an hour is emitted once, when the watermark passes it;
-    trips later than ``lateness`` are not counted (the batch re-run of the month
-    replaces the partition).
-    """
-    timed = trips.withColumn("ts_", F.col("pickup_datetime").cast("timestamp"))
-    return (
-        timed.withWatermark("ts_", lateness)
-        .groupBy(F.window("ts_", "1 hour").alias("w"), "company")
-        .agg(F.count(F.lit(1)).alias("trips"))
-        .select(
-            F.to_date("w.start").alias("pickup_date"),
-            F.hour("w.start").alias("hour"),
-            "company",
-            "trips",
-        )
-    )
-
-
-def run_closed_hours(trips: DataFrame, out: str, checkpoint: str, lateness: str = "1 hour") -> None:
-    query = (
-        closed_hours(trips, lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()

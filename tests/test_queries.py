@@ -31,6 +31,7 @@ def test_query_without_sql_has_rows(spark, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     assert len(got) > 0
     assert (got["trips_forecast"] >= 0).all()
+    assert set(got["model"]) == {"Regression + seasonality"}
 
 
 def test_entry(spark):

@@ -97,7 +97,7 @@ def test_wider_sources_keep_their_columns(spark):
         [Source("bases", 30, daily(spark, [(dt.date(2018, 1, 1), "2018-01", 2)])),
          Source("high", 40, wide)], company="x",
     )
-    assert rows(merged, "trips", "tips", "source") == [(2, 0, "bases"), (3, 1.5, "high")]
+    assert rows(merged, "trips", "tips", "source") == [(2, None, "bases"), (3, 1.5, "high")]
 
 
 entries = st.lists(

@@ -16,6 +16,7 @@ from kerbflow.plans import monthly
 from kerbflow.plans.unified import build_unified
 from kerbflow.operators.unify import Source
 from kerbflow.sources import conform, incremental, links, readers, sinks
+from kerbflow.session import shared_folder
 from kerbflow.streaming import hourly
 
 D = dt.date(2024, 1, 1)
@@ -26,6 +27,11 @@ def folder():
     return tempfile.mkdtemp(prefix="run-")
 
 
+def write(path, text):
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text)
+
+
 def rows(df, *columns):
     """Rows in a fixed order, nulls first."""
     names = columns or df.columns
@@ -277,7 +283,7 @@ def test_monthly_refresh_resumes_and_records_failures(spark, folder):
     months = incremental.month_range(incremental.month_bounds(spark, "2024-01", "2024-03"))
     out = f"{folder}/out"
     log = monthly.refresh_months(spark, months, load, zone_table(spark), out, "s")
-    assert rows(log, "month", "status") == [
+    assert rows(log.select("month", "status").distinct(), "month", "status") == [
         ("2024-01", "done"), ("2024-02", "failed"), ("2024-03", "done")
     ]
     monthly.refresh_months(spark, months, load, zone_table(spark), out, "s")
@@ -294,6 +300,124 @@ def test_monthly_refresh_resumes_and_records_failures(spark, folder):
     assert rows(stats, "table_name", "rows")[0] == ("daily_by_borough", 4)
 
 
+def trips_on(spark, month, n=1, **columns):
+    day = dt.datetime.fromisoformat(f"{month}-03T04:00:00")
+    df = spark.createDataFrame(
+        [(day, "x", 1)] * n, "pickup_datetime timestamp_ntz, company string, location_id bigint"
+    )
+    return df.withColumns({k: F.lit(v) for k, v in columns.items()})
+
+
+def month_frame(spark, *labels):
+    return spark.createDataFrame([(m,) for m in labels], "month string")
+
+
+def state(spark, out, source="s"):
+    log = monthly.run_log(spark, out).filter(F.col("source") == source)
+    latest = log.groupBy("month", "table_name").agg(F.max_by("status", "finished").alias("status"))
+    return {(r.month, r.table_name): r.status for r in latest.collect()}
+
+
+def test_each_source_has_its_own_months(spark, folder):
+    out = f"{folder}/out"
+    for source, n in (("a", 1), ("b", 3)):
+        monthly.refresh_months(spark, month_frame(spark, "2024-01"), lambda m, n=n: trips_on(spark, m, n),
+                               zone_table(spark), out, source)
+    daily = monthly.stored_grain(spark, out, "daily_by_company")
+    assert rows(daily, "source", "trips") == [("a", 1), ("b", 3)]
+
+
+def test_a_skipped_table_stays_due(spark, folder):
+    out, months = f"{folder}/out", month_frame(spark, "2024-01")
+    load = lambda m: trips_on(spark, m)
+    monthly.refresh_months(spark, months, load, zone_table(spark), out, "s", skip_zone=True)
+    assert "daily_by_zone" not in {t for _, t in state(spark, out)}
+    monthly.refresh_months(spark, months, load, zone_table(spark), out, "s")
+    assert state(spark, out)["2024-01", "daily_by_zone"] == "done"
+    assert rows(monthly.stored_grain(spark, out, "daily_by_zone"), "trips") == [(1,)]
+
+
+@pytest.mark.parametrize("batch", [1, 12])
+def test_columns_may_appear_and_vanish(spark, folder, batch):
+    out = f"{folder}/out"
+    extra = {"2024-01": {}, "2024-02": {"tips": 2.0}, "2024-03": {}}
+    monthly.refresh_months(spark, month_frame(spark, *extra), lambda m: trips_on(spark, m, 2, **extra[m]),
+                           zone_table(spark), out, "s", batch=batch)
+    daily = monthly.stored_grain(spark, out, "daily_by_company")
+    assert rows(daily, "pickup_month", "tips") == [("2024-01", None), ("2024-02", 4.0), ("2024-03", None)]
+    weekday = monthly.stored_grain(spark, out, "weekday_hour_by_company")
+    assert sum(r.tips or 0 for r in weekday.collect()) == 4.0
+
+
+def test_an_empty_month_stays_due(spark, folder):
+    out, months = f"{folder}/out", month_frame(spark, "2024-01")
+    monthly.refresh_months(spark, months, lambda m: trips_on(spark, m, 0), zone_table(spark), out, "s")
+    assert set(state(spark, out).values()) == {"empty"}
+    monthly.refresh_months(spark, months, lambda m: trips_on(spark, m, 1), zone_table(spark), out, "s")
+    assert set(state(spark, out).values()) == {"done"}
+    monthly.refresh_months(spark, months, lambda m: trips_on(spark, m, 0), zone_table(spark), out, "s",
+                           overwrite=True)
+    assert rows(monthly.stored_grain(spark, out, "daily_by_company"), "trips") == [(1,)]
+
+
+@pytest.mark.parametrize("error", [OSError("no disk"), ValueError(""), KeyError("x")])
+def test_any_error_of_a_loader_is_logged(spark, folder, error):
+    out = f"{folder}/out"
+
+    def load(month):
+        if month == "2024-01":
+            raise error
+        return trips_on(spark, month)
+
+    monthly.refresh_months(spark, month_frame(spark, "2024-01", "2024-02"), load, zone_table(spark), out, "s")
+    assert {m: s for (m, _), s in state(spark, out).items()} == {"2024-01": "failed", "2024-02": "done"}
+
+
+def test_headers_decide_not_positions(spark, folder):
+    write(f"{folder}/swapped/a.csv", "Base,Lat\nB1,40.5\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, f"{folder}/swapped", "Lat double, Base string").collect()
+    write(f"{folder}/shards/a.csv", "a,b\n1,2\n")
+    write(f"{folder}/shards/b.csv", "b,a\n3,4\n")
+    both = readers.read_month_shards(spark, [[f"{folder}/shards/a.csv", f"{folder}/shards/b.csv"]])
+    assert rows(both, "a", "b") == [("1", "2"), ("4", "3")]
+    assert rows(readers.read_month_shards(spark, [f"{folder}/shards"]), "a", "b") == [("1", "2"), ("4", "3")]
+
+
+def test_a_declared_schema_still_checks_required_columns(spark, folder):
+    spark.range(2).write.parquet(f"{folder}/p")
+    with pytest.raises(readers.MissingColumns):
+        readers.read_parquet_columns(spark, f"{folder}/p", ["when"], ["when"], "id long, when timestamp")
+
+
+def test_the_last_link_is_the_one_furthest_down(spark):
+    found = spark.createDataFrame(
+        [(1, 5, "2024-01", "z"), (2, 0, "2024-01", "a"), (1, 9, "2024-02", "b")],
+        "page_id long, position int, month string, url string").withColumn("record_type", F.lit("fhv"))
+    months = month_frame(spark, "2024-01", "2024-02", "2024-03")
+    assert rows(links.month_urls(months, found, "fhv", "t-%s"), "month", "url") == [
+        ("2024-01", "a"), ("2024-02", "b"), ("2024-03", "t-2024-03")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def __init__(self, master):
+            self.master = master
+
+        def get(self, key, default=None):
+            return self.master if key == "spark.master" else default
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session("spark://host:7077"), "x")
+    with pytest.raises(ValueError):
+        shared_folder(Session("local-cluster[2,1,1024]"), "x")
+    assert shared_folder(Session("local[4]"), "x") != shared_folder(Session("local[4]"), "x")
+
+
 def test_unified_build_writes_tables(spark, folder):
     df = spark.createDataFrame([(D, 4)], "pickup_date date, trips bigint")
     hours = df.withColumn("hour", F.lit(3))
@@ -376,17 +500,3 @@ def test_stream_adds_up_late_files_and_replays(spark, folder):
     assert run() == [(5, 2), (6, 1)]
     landed(spark, source, [1, 5])
     assert run() == [(1, 1), (5, 3), (6, 1)]
-
-
-def test_closed_hours_are_emitted_once(spark, folder):
-    source, out, point = f"{folder}/in", f"{folder}/out", f"{folder}/cp"
-    landed(spark, source, [1, 1, 2, 9])
-    schema = spark.read.parquet(source).schema
-
-    def run():
-        hourly.run_closed_hours(hourly.landed_trips(spark, source, schema), out, point)
-        return rows(spark.read.parquet(out), "hour", "trips")
-
-    assert run() == [(1, 2), (2, 1)]
-    landed(spark, source, [10, 15])
-    assert run() == [(1, 2), (2, 1), (9, 1), (10, 1)]
