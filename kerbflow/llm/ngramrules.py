@@ -104,12 +104,13 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, rules: Rules) -> DataFrame:
         ),
         "ngram-counts",
     )
-    sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
+    sums = counts.agg(F.struct(F.sum("raw").alias("raw"), F.sum("good").alias("good")).alias("all"))
+    counts = counts.withColumn("all", sums.scalar())
     extra = rules.pseudocount * rules.buckets
-    good = (F.col("good") + rules.pseudocount) / (F.col("all_good") + extra)
-    raw = (F.col("raw") + rules.pseudocount) / (F.col("all_raw") + extra)
-    ratio = F.when(F.col("all_good") == 0, F.lit(0.0)).otherwise(F.log(good / raw))
-    return counts.join(F.broadcast(sums)).select(  # one row
+    good = (F.col("good") + rules.pseudocount) / (F.col("all.good") + extra)
+    raw = (F.col("raw") + rules.pseudocount) / (F.col("all.raw") + extra)
+    ratio = F.when(F.col("all.good") == 0, F.lit(0.0)).otherwise(F.log(good / raw))
+    return counts.select(
         "bucket", F.round(ratio * 1_000_000).cast("long").alias("ratio")
     )
 

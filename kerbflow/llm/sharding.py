@@ -59,11 +59,11 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFram
     of at most ``n_slots`` numbers.
     """
     share = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
-    total = sizes.agg(F.sum("bytes").alias("total"))
-    placed = slot_map.join(sizes, "virtual_slot").join(F.broadcast(total))  # one row
+    total = sizes.agg(F.sum("bytes").alias("total")).scalar()
+    placed = slot_map.join(sizes, "virtual_slot")
     kept = F.sum("bytes").over(share.rowsBetween(Window.unboundedPreceding, 0))
-    marked = placed.withColumn(
-        "keeps", (kept * n_shards <= F.col("total")) & (F.col("shard") < n_shards)
+    marked = placed.withColumn("kept", kept).withColumn(
+        "keeps", (F.col("kept") * n_shards <= total) & (F.col("shard") < n_shards)
     )
     base = F.coalesce(F.sum(F.when(F.col("keeps"), F.col("bytes"))), F.lit(0)).alias("base")
     by_shard = F.array_sort(F.collect_list(F.struct("shard", "base")))
@@ -83,7 +83,7 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFram
         )
         return F.struct(grown.alias("loads"), F.array_append(acc["to"], least).alias("to"))
 
-    dealt = released.join(F.broadcast(loads)).select(  # one row each
+    dealt = released.withColumn("loads", loads.scalar()).select(
         F.explode(
             F.arrays_zip(
                 F.col("slots"), F.aggregate("slots", state, place)["to"].alias("to")
