@@ -76,6 +76,22 @@ def test_month_label_compatibility(spark):
     assert rows(merged, "trips") == [(1,)]
 
 
+def test_published_days_with_two_labels(spark):
+    """Days of the published shards whose rows carry a second month label: by default
+    nothing is lost, the compatibility rule loses what the published totals lack."""
+    days = [
+        (dt.date(2018, 10, 15), "2018-10", 5000), (dt.date(2018, 10, 15), "2011-10", 4),
+        (dt.date(2022, 10, 10), "2022-10", 432_792), (dt.date(2022, 10, 10), "2022-11", 1),
+        (dt.date(2023, 3, 10), "2023-03", 473_319), (dt.date(2023, 3, 10), "2023-20", 1),
+    ]
+    source = [Source("shards", 40, daily(spark, days))]
+    keys = ["pickup_date", "company"]
+    summed = unify.annual_summary(unify.merge_sources(source, keys, "daily"))
+    assert rows(summed, "year", "trips") == [(2018, 5004), (2022, 432_793), (2023, 473_320)]
+    label = unify.merge_sources(source, keys, "daily", tie_break="month_label")
+    assert rows(unify.annual_summary(label), "year", "trips") == [(2018, 5000), (2022, 1), (2023, 1)]
+
+
 def area(spark, data):
     return spark.createDataFrame(data, "pickup_date date, borough string, trips bigint")
 
