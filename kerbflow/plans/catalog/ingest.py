@@ -184,7 +184,7 @@ def rollup_manifest(spark, folder):
     return manifest(five_grains(spark.read.parquet(path), zones(spark, folder)))
 
 
-def _stored(spark, folder, trips, out, source="s", months=None):
+def _refresh(spark, folder, trips, out, source="s", months=None):
     day = F.to_date("pickup_datetime")
     months = months or inc.month_range(trips.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
 
@@ -208,7 +208,7 @@ SELECT 's' AS source, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday_num,
 def stored_weekday_hour(spark, folder):
     """Weekday and hour over all stored months, with every measure."""
     out = shared_folder(spark, "stored-weekday-hour")
-    _stored(spark, folder, _order_trips(spark, folder), out)
+    _refresh(spark, folder, _order_trips(spark, folder), out)
     grain = stored_grain(spark, out, "weekday_hour_by_company")
     return grain.withColumn("tips", F.round("tips", 2))
 
@@ -223,8 +223,8 @@ def stored_two_sources(spark, folder):
     """Two sources with the same months below one folder: each has its own due months."""
     out = shared_folder(spark, "stored-two-sources")
     trips = event_trips(spark, folder).drop("event_id", "value")
-    _stored(spark, folder, trips, out, "events")
-    _stored(spark, folder, trips.filter("company = 'click'"), out, "clicks")
+    _refresh(spark, folder, trips, out, "events")
+    _refresh(spark, folder, trips.filter("company = 'click'"), out, "clicks")
     return stored_grain(spark, out, "daily_by_company").groupBy("source", "pickup_month").agg(
         F.sum("trips").alias("trips")
     )
@@ -236,7 +236,7 @@ FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL""")
 def stored_rollups(spark, folder):
     """The monthly refresh, run over the months of the table, and one stored grain."""
     out = shared_folder(spark, "stored-rollups")
-    _stored(spark, folder, event_trips(spark, folder).drop("event_id", "value"), out)
+    _refresh(spark, folder, event_trips(spark, folder).drop("event_id", "value"), out)
     return stored_grain(spark, out, "daily_by_borough")
 
 

@@ -55,7 +55,7 @@ def test_time_range_and_codes_reach_the_scan(spark):
 
 def test_source_slices_reach_the_scan(spark):
     scans = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan(spark, "unified_daily_company"))
-    assert len(scans) == 4 and all("GreaterThanOrEqual(o_orderdate" in s for s in scans)
+    assert len(scans) == 4 and all("(o_orderdate" in s for s in scans)
 
 
 def test_trips_are_read_with_the_needed_columns_only(spark):
