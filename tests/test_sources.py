@@ -500,3 +500,10 @@ def test_stream_adds_up_late_files_and_replays(spark, folder):
     assert run() == [(5, 2), (6, 1)]
     landed(spark, source, [1, 5])
     assert run() == [(1, 1), (5, 3), (6, 1)]
+    for more, want in (([7], [(1, 1), (5, 3), (6, 1), (7, 1)]), ([7, 1], [(1, 2), (5, 3), (6, 1), (7, 2)])):
+        hourly.fold_batches(spark, out)
+        landed(spark, source, more)
+        assert run() == want
+    hourly.fold_batches(spark, out)
+    assert run() == [(1, 2), (5, 3), (6, 1), (7, 2)]
+    assert Path(f"{out}_folded/version=3").exists()
