@@ -23,9 +23,9 @@ RUNS = 4096
 class Mix:
     """Stored parts of a mix.
 
-    ``words``: row_key, doc_id, text_hash, size, source, begin (place in the stream
-    of words of its source). ``targets``: source, source_size, target, blocks, slots.
-    ``slots``: shard, source, pass, block. ``pieces``: row_key, pass, lo, hi, the words
+    ``targets``: source_no, source, source_size, target, blocks, slots. ``words``: row_key,
+    doc_id, text_hash, size, source_no, begin (place in the stream of words of its source).
+    ``slots``: shard, source_no, pass, block. ``pieces``: row_key, pass, lo, hi, the words
     of a document that a taken block holds.
     """
 
@@ -59,7 +59,8 @@ def targets(words: DataFrame, block: int, share: float, weights: Sequence[int])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (place % len(weights) + 1).cast("int"))
     room = LIMIT * F.col("source_size")
-    rows = sizes.withColumn("weight", weight).withColumn("room", room.cast("double"))
+    rows = sizes.withColumns({"source_no": place, "weight": weight}).withColumn(
+        "room", room.cast("double"))
     order = Window.orderBy(F.col("room") / F.col("weight"), F.col("source").isNull(), "source")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -77,7 +78,7 @@ def targets(words: DataFrame, block: int, share: float, weights: Sequence[int])
     )
     blocks = F.ceil(F.col("source_size") / block)
     return rows.withColumn("target", target).withColumn("blocks", blocks).select(
-        "source", "source_size", "target", "blocks",
+        "source_no", "source", "source_size", "target", "blocks",
         F.coalesce(
             F.least(LIMIT * F.col("blocks"),
                     F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")),
@@ -86,128 +87,110 @@ def targets(words: DataFrame, block: int, share: float, weights: Sequence[int])
     )
 
 
-def _streams(words: DataFrame) -> DataFrame:
-    """Adds ``begin``, the place of a document in the stream of its source.
+def _streams(words: DataFrame, goals: DataFrame) -> DataFrame:
+    """Adds ``source_no`` and ``begin``, the place of a document in the stream of its source.
 
     A source is a chain of RUNS runs to which documents are dealt by hash; a window
     numbers the words within one run, and the sums of the runs (at most RUNS rows a
     source) give where each run begins. No task gets a whole source.
     """
+    names = goals.select("source_no", F.col("source").alias("s_"))
     run = F.pmod(F.xxhash64("doc_id", "text_hash", F.col("row_key") % 64), F.lit(RUNS))
-    rows = words.withColumn("run", run)
-    sums = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    earlier = Window.partitionBy("source").orderBy("run").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sums.select(
-        F.col("source").alias("s_"), F.col("run").alias("r_"),
-        F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("before"),
-    )
-    inside = Window.partitionBy("source", "run").orderBy("doc_id", "text_hash", "row_key")
+    rows = words.join(names, F.col("source").eqNullSafe(F.col("s_"))).select(
+        "row_key", "doc_id", "text_hash", "size", "source_no", run.alias("run"))
+    sums = rows.groupBy("source_no", "run").agg(F.sum("size").alias("run_size"))
+    starts = _running(sums, ["source_no"], "run", "run_size")
+    inside = Window.partitionBy("source_no", "run").orderBy("doc_id", "text_hash", "row_key")
     placed = rows.withColumn(
         "begin", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
-    same = (F.col("source").eqNullSafe(F.col("s_"))) & (F.col("run") == F.col("r_"))
-    return placed.join(starts, same).select(
-        "row_key", "doc_id", "text_hash", "size", "source",
+    return placed.join(starts.hint("merge"), ["source_no", "run"]).select(
+        "row_key", "doc_id", "text_hash", "size", "source_no",
         (F.col("begin") + F.col("before")).alias("begin"),
     )
 
 
+def _running(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """(*by, order, before): the sum of ``value`` over the rows before."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*by, order, F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("before"))
+
+
 def _draws(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, source, drawn): multinomial counts of each output shard.
+    """(shard, source_no, drawn): multinomial counts of each output shard.
 
     Every shard draws by a generator of its own number, so a repeated task draws the
     same. Sources without words have no part.
     """
+    parts = F.array_sort(F.collect_list(F.struct("source_no", "slots")))
     chance = goals.filter("slots > 0").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("s"),
-                                             F.col("source").isNull().alias("none"), "slots"))
-                     ).alias("parts"),
+        F.transform(parts, lambda x: x["source_no"]).alias("numbers"),
+        F.transform(parts, lambda x: x["slots"]).alias("slots"),
         F.sum("slots").alias("n_slots"),
     ).filter("n_slots > 0")
     shards = chance.select("*", F.explode(F.expr(
         f"sequence(0, (n_slots - 1) div {shard_slots})")).alias("shard"))
-    schema = "shard long, source string, drawn long"
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for parts, n, shard in zip(pdf["parts"], pdf["n_slots"], pdf["shard"]):
-                share = np.array([p["slots"] for p in parts], float)
-                size = min(shard_slots, n - shard * shard_slots)
-                counts = np.random.Generator(np.random.Philox([seed, shard])).multinomial(
-                    size, share / share.sum())
-                yield pd.DataFrame({
-                    "shard": shard, "source": [None if p["none"] else p["s"] for p in parts],
-                    "drawn": counts,
-                })
+            for numbers, slots, n, shard in zip(pdf["numbers"], pdf["slots"], pdf["n_slots"], pdf["shard"]):
+                share = np.asarray(slots, float)
+                rng = np.random.Generator(np.random.Philox([seed, shard]))
+                counts = rng.multinomial(min(shard_slots, n - shard * shard_slots), share / share.sum())
+                yield pd.DataFrame({"shard": shard, "source_no": np.asarray(numbers), "drawn": counts})
 
-    return shards.mapInPandas(draw, schema)
+    return shards.mapInPandas(draw, "shard long, source_no int, drawn long")
 
 
 def _planned(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, source, from, n): runs of consecutive draws of a source in each shard.
+    """(shard, source_no, from, n): runs of consecutive draws of a source in each shard.
 
     Draws of a source beyond its slots pass to sources that were drawn too rarely: both
     are numbered along one line and joined by number, so each total is met exactly.
     Only that difference, about the square root of a source's slots, is moved.
     """
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    drawn = stage(
-        _draws(goals, shard_slots, seed).withColumn(
-            "from", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))
-        ),
-        "mix-draws",
-    )
-    goal = goals.select(F.col("source").alias("s_"), "slots")
-    rows = drawn.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    kept = rows.withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("from"))))
-    none = F.col("source").isNull()
-    line = Window.orderBy("shard", none, "source").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = stage(_draws(goals, shard_slots, seed), "mix-draws")
+    starts = _running(drawn, ["source_no"], "shard", "drawn")
+    rows = drawn.join(starts.withColumnRenamed("before", "from"), ["source_no", "shard"]).join(
+        goals.select("source_no", "slots"), "source_no")
+    kept = stage(rows.withColumn(
+        "n", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("from")))), "mix-kept")
+    line = Window.orderBy("shard", "source_no").rowsBetween(Window.unboundedPreceding, -1)
     surplus = kept.withColumn("extra", F.col("drawn") - F.col("n")).filter("extra > 0").withColumn(
         "base", F.coalesce(F.sum("extra").over(line), F.lit(0))
     ).select("shard", F.explode(F.expr("sequence(base, base + extra - 1)")).alias("place"))
-    short = kept.groupBy("source").agg(F.first("slots").alias("slots"), F.sum("n").alias("have"))
-    line = Window.orderBy(none, "source").rowsBetween(Window.unboundedPreceding, -1)
+    short = kept.groupBy("source_no").agg(F.first("slots").alias("slots"), F.sum("n").alias("have"))
+    line = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     lacking = short.filter("have < slots").withColumn(
         "base", F.coalesce(F.sum(F.col("slots") - F.col("have")).over(line), F.lit(0))
     ).select(
-        "source", "have", "base",
+        "source_no", "have", "base",
         F.explode(F.expr("sequence(base, base + slots - have - 1)")).alias("place"),
-    ).select("source", (F.col("have") + F.col("place") - F.col("base")).alias("from"), "place")
-    moved = surplus.join(lacking, "place").select("shard", "source", "from", F.lit(1).cast("long").alias("n"))
-    return kept.filter("n > 0").select("shard", "source", "from", "n").unionByName(moved)
+    ).select("source_no", (F.col("have") + F.col("place") - F.col("base")).alias("from"), "place")
+    moved = surplus.join(lacking.hint("merge"), "place").select(
+        "shard", "source_no", "from", F.lit(1).cast("long").alias("n"))
+    return kept.filter("n > 0").select("shard", "source_no", "from", "n").unionByName(moved)
 
 
 def block_order(goals: DataFrame, seed: int) -> DataFrame:
-    """(source, pass, at, block): in each pass the blocks of a source in hashed order.
+    """(source_no, pass, at, block): in each pass the blocks of a source in hashed order.
 
     Blocks are dealt over buckets by the head of their hash and numbered within a
     bucket, buckets one after the other: a sort of the hashes without one task for a
     source.
     """
     rows = goals.filter("slots > 0").select(
-        "source", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
-        ((F.col("slots") - 1) / F.col("blocks")).cast("int").alias("last"),
-    ).select("source", "block", F.explode(F.expr("sequence(0, last)")).alias("pass"))
-    h = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), "pass", "block")
-    rows = rows.withColumn("h", h).withColumn("head", F.pmod("h", F.lit(RUNS)))
-    sums = rows.groupBy("source", "pass", "head").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source", "pass").orderBy("head").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sums.select(
-        F.col("source").alias("s_"), F.col("pass").alias("p_"), F.col("head").alias("h_"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-    )
-    inside = Window.partitionBy("source", "pass", "head").orderBy("h", "block")
+        "source_no", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+        F.expr("cast((slots - 1) div blocks as int)").alias("last"),
+    ).select("source_no", "block", F.explode(F.expr("sequence(0, last)")).alias("pass"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "source_no", "pass", "block"))
+    rows = rows.withColumn("head", F.pmod("h", F.lit(RUNS)))
+    sums = rows.groupBy("source_no", "pass", "head").agg(F.count("*").alias("n"))
+    starts = _running(sums, ["source_no", "pass"], "head", "n")
+    inside = Window.partitionBy("source_no", "pass", "head").orderBy("h", "block")
     numbered = rows.withColumn("at", F.row_number().over(inside) - 1)
-    same = ((F.col("source").eqNullSafe(F.col("s_"))) & (F.col("pass") == F.col("p_"))
-            & (F.col("head") == F.col("h_")))
-    return numbered.join(starts, same).select(
-        "source", "pass", (F.col("at") + F.col("before")).alias("at"), "block"
+    return numbered.join(starts.hint("merge"), ["source_no", "pass", "head"]).select(
+        "source_no", "pass", (F.col("at") + F.col("before")).alias("at"), "block"
     )
 
 
@@ -230,33 +213,25 @@ def mix(
     without words take none; repeated rows are documents of their own; equal ratios and
     hashes go by source and block; other columns are not read; no rows give empty parts.
     """
-    words = stage(_streams(stage(_words(docs), "mix-words")), "mix-streams")
-    goals = stage(targets(words, block, share, weights), "mix-targets")
+    sized = stage(_words(docs), "mix-words")
+    goals = stage(targets(sized, block, share, weights), "mix-targets")
+    words = stage(_streams(sized, goals), "mix-streams")
     planned = stage(_planned(goals, shard_slots, seed), "mix-plan")
-    sizes = goals.select(F.col("source").alias("s_"), F.col("blocks").alias("in_pass"))
-    each = planned.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("s_"))).select(
-        "shard", "source", "in_pass",
-        F.explode(F.expr("sequence(from, from + n - 1)")).alias("k"),
-    ).select("shard", "source", F.expr("cast(k div in_pass as int)").alias("pass"),
-             (F.col("k") % F.col("in_pass")).alias("at"))
-    order = block_order(goals, seed).select(
-        F.coalesce("source", F.lit("")).alias("s_"), F.col("source").isNull().alias("n_"),
-        "pass", "at", "block",
-    )
+    each = planned.join(goals.select("source_no", "blocks"), "source_no").select(
+        "shard", "source_no", "blocks", F.explode(F.expr("sequence(from, from + n - 1)")).alias("k"),
+    ).select("shard", "source_no", F.expr("cast(k div blocks as int)").alias("pass"),
+             (F.col("k") % F.col("blocks")).alias("at"))
     slots = stage(
-        each.withColumns({"s_": F.coalesce("source", F.lit("")), "n_": F.col("source").isNull()})
-        .join(order, ["s_", "n_", "pass", "at"]).select("shard", "source", "pass", "block"),
+        each.join(block_order(goals, seed).hint("merge"), ["source_no", "pass", "at"]).select(
+            "shard", "source_no", "pass", "block"),
         "mix-slots",
     )
     held = words.filter("size > 0").select(
-        "row_key", "begin", "size", F.coalesce("source", F.lit("")).alias("s_"),
-        F.col("source").isNull().alias("n_"),
+        "row_key", "begin", "size", "source_no",
         F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"),
     )
-    chosen = slots.select(F.coalesce("source", F.lit("")).alias("s_"),
-                          F.col("source").isNull().alias("n_"), "pass", "block")
     first = F.col("block") * block
-    pieces = held.join(chosen, ["s_", "n_", "block"]).select(
+    pieces = held.join(slots.select("source_no", "pass", "block").hint("merge"), ["source_no", "block"]).select(
         "row_key", "pass",
         F.greatest(F.lit(0), first - F.col("begin")).cast("long").alias("lo"),
         F.least(F.col("size"), first + block - F.col("begin")).cast("long").alias("hi"),
@@ -267,11 +242,10 @@ def mix(
 def taken(mixed: Mix) -> DataFrame:
     """One row for each document: size, source_size, target and words taken."""
     got = mixed.pieces.groupBy("row_key").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    goal = mixed.targets.select(F.col("source").alias("s_"), "source_size", "target")
-    return mixed.words.join(got, "row_key", "left").join(
-        F.broadcast(goal), F.col("source").eqNullSafe(F.col("s_"))
-    ).select("doc_id", "size", "source_size", "target",
-             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    goal = mixed.targets.select("source_no", "source_size", "target")
+    return mixed.words.join(got, "row_key", "left").join(goal, "source_no").select(
+        "doc_id", "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -323,7 +323,7 @@ def test_mixing_table(spark, table):
 
 def test_mixed_documents_hold_the_words_taken(edges):
     mixed = mixing.mix(edges, block=4, shard_slots=16)
-    slots = [tuple(r) for r in mixed.slots.select("source", "pass", "block").collect()]
+    slots = [tuple(r) for r in mixed.slots.select("source_no", "pass", "block").collect()]
     assert len(slots) == len(set(slots))
     out = mixing.mixed_documents(edges, block=4, shard_slots=16)
     assert out.columns == edges.columns

@@ -6,6 +6,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from kerbflow.llm import mixing, packing, qualityfm
@@ -95,3 +96,19 @@ def test_run_is_the_stages(spark, stages):
     docs, last = stages[4]
     got = Counter((r["doc_id"], r["n_words"]) for r in pipeline.run(spark, FOLDER).collect())
     assert got == Counter((r["doc_id"], r["n_words"]) for r in last.collect())
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_edge_rows_and_empty_tables(spark, empty):
+    """Nulls, repeats and clashing names go through every stage; no rows give no rows."""
+    docs = spark.createDataFrame([] if empty else brute.EDGES, brute.SCHEMA)
+    docs = docs.withColumns({c: F.lit(7) for c in brute.CLASHES})
+    for k, (name, stage_of) in enumerate(pipeline.STAGES):
+        left = stage(stage_of(spark, docs, FOLDER), "pipeline-edges")
+        if k < len(pipeline.STAGES) - 1:
+            assert left.columns == docs.columns
+        assert not (empty and left.head(1)), name
+        docs = left
+    if not empty:
+        words = sum(r["n_words"] for r in docs.collect())
+        assert words > 0
