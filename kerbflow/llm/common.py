@@ -44,3 +44,17 @@ def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """``docs`` as one struct column ``row_`` beside computed columns, so that no name
     of the input can clash."""
     return docs.select(F.struct("*").alias("row_"), *[c.alias(k) for k, c in columns.items()])
+
+
+#: Distinct marks of a wanted set: the bound of what ``sifted`` broadcasts.
+MARKS = 1 << 21
+
+
+def sifted(rows: DataFrame, key: Column, wanted: Column, of: DataFrame) -> DataFrame:
+    """Rows that may have a key of ``of``: those whose mark (the key's hash modulo MARKS)
+    occurs there. Most others stay out of the shuffle of the exact join that follows;
+    the marks are at most MARKS numbers however large ``of`` is."""
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).alias("mark_")
+    marks = of.select(mark(wanted)).distinct()
+    kept = rows.select("*", mark(key)).join(F.broadcast(marks), "mark_", "left_semi")
+    return kept.drop("mark_")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import SPACE, WORD, let, stage, whole_text
+from kerbflow.llm.common import SPACE, WORD, let, sifted, stage, whole_text
 
 WINDOW = 8
 
@@ -90,20 +90,16 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, rules: Rules) -> DataFrame:
     """(bucket, ratio): log of the bucket's share in trusted texts over its share in
     all, as a whole number of millionths so that sums don't depend on their order.
 
-    Both multinomials come from one pass over all documents; counts are added up in
-    the map tasks, so at most ``buckets`` rows of each task are shuffled.
+    Counts are added up in the map tasks, so at most ``buckets`` rows of each task are
+    shuffled; texts are only moved to find the trusted ones.
     """
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("id_")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
-    marked = text.join(trusted.withColumn("trusted", F.lit(1)), "id_", "left").select(
-        "text", F.coalesce("trusted", F.lit(0)).alias("trusted")
-    )
-    counts = stage(
-        ngrams(marked, rules.buckets, "trusted").groupBy("bucket").agg(
-            F.count("*").alias("raw"), F.sum("trusted").alias("good")
-        ),
-        "ngram-counts",
-    )
+    chosen = sifted(text, F.col("id_"), F.col("id_"), trusted).join(
+        trusted.hint("merge"), "id_", "left_semi")
+    raw = ngrams(text, rules.buckets).groupBy("bucket").agg(F.count("*").alias("raw"))
+    good = ngrams(chosen, rules.buckets).groupBy("bucket").agg(F.count("*").alias("good"))
+    counts = stage(raw.join(good, "bucket", "left").fillna(0, ["good"]), "ngram-counts")
     sums = counts.agg(F.struct(F.sum("raw").alias("raw"), F.sum("good").alias("good")).alias("all"))
     counts = counts.withColumn("all", sums.scalar())
     extra = rules.pseudocount * rules.buckets
