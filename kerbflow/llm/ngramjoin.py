@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.llm import bytewords
-from kerbflow.llm.common import packed_rows, stage, whole_text
+from kerbflow.llm.common import packed_rows, sifted, stage, whole_text
 from kerbflow.llm.components import components
 
 SKETCH = "doc_id long, text_hash long, d1 long, d2 long, n_shingles long, mins array<int>"
@@ -39,7 +39,7 @@ class Paths:
     depth: int = 6
     recall: float = 0.99
     floor: float = 0.6
-    dense: float = 0.7
+    dense: float = 0.5
     block_shingles: int = 1 << 20
     seed: int = 11
 
@@ -138,16 +138,18 @@ def _children(rows: DataFrame, paths: Paths, level: int) -> DataFrame:
     ).distinct()
 
 
-def _dense(rows: DataFrame, paths: Paths, probes: int = 8) -> DataFrame:
-    """Paths whose sets agree with each other in ``dense`` of the probed coordinates on
-    average: splitting wouldn't make them smaller."""
-    step = paths.coordinates // probes
-    each = F.posexplode(F.array(*[F.col("mins")[j * step] for j in range(probes)]))
-    same = rows.select("path", "n", each.alias("j", "v")).groupBy("path", "n", "j", "v").count()
-    share = F.sum(F.col("count") * F.col("count")) / (probes * F.col("n") * F.col("n"))
-    return same.groupBy("path", "n").agg(share.alias("share")).filter(
-        F.col("share") >= paths.dense
-    ).select("path")
+def _dense(rows: DataFrame, paths: Paths) -> DataFrame:
+    """Paths whose sets agree with each other in ``dense`` of the coordinates on average:
+    splitting wouldn't make them much smaller.
+
+    For each coordinate the sets' values give signs by hash; the square of the sum of
+    the signs estimates how many pairs agree. One aggregate, a row for each path.
+    """
+    sums = [F.sum(1 - 2 * F.pmod(F.xxhash64(F.col("mins")[j], F.lit(j)), F.lit(2))).alias(f"z{j}")
+            for j in range(paths.coordinates)]
+    agree = sum(F.col(f"z{j}") * F.col(f"z{j}") for j in range(paths.coordinates))
+    share = agree / (paths.coordinates * F.col("n") * F.col("n"))
+    return rows.groupBy("path", "n").agg(*sums).filter(share >= paths.dense).select("path")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -327,6 +329,7 @@ def _verified(docs: DataFrame, members: DataFrame, paths: Paths) -> DataFrame:
         "block", F.pmod(F.xxhash64("key"), F.col("k")))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_"),
                        F.xxhash64(whole_text()).alias("text_hash"), "text")
+    rows = sifted(rows, F.col("text_hash"), F.col("text_hash"), placed)  # most are no candidates
     texts = rows.join(placed.drop("n_shingles"), ["id_", "text_hash"]).select(
         "key", "component", "copies", "block", "k", "text")
     schema = "key long, component long, copies long, block long, k long, shingles array<long>"
