@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -35,6 +36,9 @@ _SECRET = re.compile(
 )
 _TOKEN = re.compile(r"\S+")
 _DATA = re.compile(r"[0-9@=]")
+#: An ``at`` in letters, by itself or in brackets, and the dotted name after it.
+_AT = re.compile(r"at(?:[)\]}]|(?=\s))\s*+[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", re.IGNORECASE)
+_KEYWORD = re.compile(r"(?:password|passwd|secret|token|api_?key)\s?[=:]\s?\S*|AKIA[0-9A-Z]{16}", re.IGNORECASE)
 _REST = re.compile(r"\S*")
 
 
@@ -83,30 +87,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Region:
-    """Neighbouring tokens of which the outer ones look like data."""
+    """Neighbouring tokens of which the outer ones look like data; ``data``: which do."""
 
     starts: list[int]
     ends: list[int]
     before: str
+    data: list[bool]
 
 
-def data_tokens(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit, an ``@`` or an equals sign."""
+def _token_start(text: str, a: int) -> int:
+    while a and not text[a - 1].isspace():
+        a -= 1
+    return a
+
+
+def spelled_out(text: str) -> list[tuple[int, int]]:
+    """Whole tokens of what may be data without a digit, an ``@`` or an equals sign: a
+    name, ``at`` in letters and a dotted name, or a secret behind its keyword."""
     out = []
+    m = _AT.search(text)
+    while m:
+        a, at = m.start(), m.start() + 2
+        if a and text[a - 1] in "([{":
+            a -= 1
+        elif text[at] in ")]}" or not a or not text[a - 1].isspace():
+            m = _AT.search(text, at)
+            continue
+        while a and text[a - 1].isspace():
+            a -= 1
+        out.append((_token_start(text, a), _REST.match(text, m.end()).end()))
+        m = _AT.search(text, out[-1][1])
+    m = _KEYWORD.search(text)
+    while m:
+        out.append((_token_start(text, m.start()), _REST.match(text, m.end()).end()))
+        m = _KEYWORD.search(text, out[-1][1])
+    return out
+
+
+def data_tokens(text: str) -> list[tuple[int, int]]:
+    """Tokens with a digit, an ``@`` or an equals sign, and runs of ``spelled_out`` tokens;
+    those that overlap are one."""
+    found = spelled_out(text)
     hit = _DATA.search(text)
     while hit:
-        a, b = hit.start(), _REST.match(text, hit.start()).end()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        out.append((a, b))
+        b = _REST.match(text, hit.start()).end()
+        found.append((_token_start(text, hit.start()), b))
         hit = _DATA.search(text, b)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
 def regions(text: str, reach: int = 2) -> list[Region]:
     """Chains of data tokens at most ``reach`` other tokens apart, with as many tokens
-    around; chains without four digits, an ``@`` or an equals sign hold no entity. No
-    entity reaches from one region into another, so each is decoded by itself."""
+    around. No entity reaches from one region into another, so each is decoded by itself."""
     out: list[Region] = []
     seeds = data_tokens(text)
     k = 0
@@ -115,10 +153,7 @@ def regions(text: str, reach: int = 2) -> list[Region]:
         while last + 1 < len(seeds) and _near(text, seeds[last][1], seeds[last + 1][0], reach):
             last += 1
         a, b = seeds[k][0], seeds[last][1]
-        k = last + 1
-        body = text[a:b]
-        if "@" not in body and "=" not in body and sum(c.isdigit() for c in body) < 4:
-            continue
+        chain, k = seeds[k : last + 1], last + 1
         head = max(0, a - 24 * (reach + 1))
         lead = [m.span() for m in _TOKEN.finditer(text, head, a)]
         before = text[slice(*lead[-reach - 1])].lower() if len(lead) > reach else ""
@@ -126,7 +161,12 @@ def regions(text: str, reach: int = 2) -> list[Region]:
         spans = lead[-reach:] + [m.span() for m in _TOKEN.finditer(text, a, b)] + tail
         if out:
             spans = [x for x in spans if x[0] >= out[-1].ends[-1]]
-        out.append(Region([x[0] for x in spans], [x[1] for x in spans], before))
+        tops = [x[1] for x in chain]
+        data = []
+        for x in spans:
+            at = bisect.bisect_right(tops, x[0])
+            data.append(at < len(chain) and chain[at][0] < x[1])
+        out.append(Region([x[0] for x in spans], [x[1] for x in spans], before, data))
     return out
 
 
@@ -175,11 +215,10 @@ def span_features(text: str, region: Region, i: int, j: int) -> list[int]:
 def candidates(text: str, region: Region) -> dict[tuple[int, int], np.ndarray]:
     """Features of each segment that may be an entity: bounded, and with data in it."""
     n = len(region.starts)
-    has = [bool(re.search(r"[0-9@=]", text[a:b])) for a, b in zip(region.starts, region.ends)]
     out = {}
     for i in range(n):
         for j in range(i + 1, min(n, i + LONGEST) + 1):
-            if any(has[i:j]):
+            if any(region.data[i:j]):
                 out[i, j] = np.array(span_features(text, region, i, j))
     return out
 
@@ -310,14 +349,19 @@ def respelled(kind: int, span: str, turn: int) -> str | None:
 
 
 def examples_of(text: str, turn: int) -> list[tuple]:
-    """Training regions of a text: as it stands, and with one datum respelled."""
+    """Training regions of a text: as it stands, and with one datum respelled; an address
+    also without its digits, since most addresses elsewhere have none."""
     base = base_spans(text)
     taken = [(a, b) for _, a, b in base]
     gold = base + [(4, *trimmed(text, *m.span())) for m in _SECRET.finditer(text)
                    if all(m.end() <= a or m.start() >= b for a, b in taken)]
     texts = [(text, gold)]
     for kind, a, b in base:
-        if new := respelled(kind, text[a:b], turn):
+        bare = _DIGIT.sub("", text[a:b])
+        forms = [text[a:b]] + [bare] * (kind == 0 and bare != text[a:b] and base_spans(bare) == [(0, 0, len(bare))])
+        for form in forms:
+            if not (new := respelled(kind, form, turn)):
+                continue
             shift = len(new) - (b - a)
             moved = [(y, s + shift * (s >= b), e + shift * (s >= b)) for y, s, e in gold if (s, e) != (a, b)]
             texts.append((text[:a] + new + text[b:], moved + [(kind, a, a + len(new))]))
