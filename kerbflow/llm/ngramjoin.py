@@ -354,31 +354,19 @@ def _verified(docs: DataFrame, members: DataFrame, paths: Paths) -> DataFrame:
         lambda pdf: _linked(pdf, least), "key long, root long, links long, doc_links long")
 
 
-def near_copies(docs: DataFrame, paths: Paths = Paths()) -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links, n_shingles) of every row.
-
-    Two documents are linked if the Jaccard similarity of their sets of word shingles
-    is at least ``least``; ``class_id`` is the smallest doc_id that can be reached by
-    links. ``n_links`` counts linked documents, those with the same set among them;
-    ``n_text_links`` counts linked sets other than the document's own.
-
-    Documents with one set are joined once. The chosen paths give candidate edges; all
-    sets of a component of these edges are then compared exactly, in blocks.
-
-    A null text is empty; a text without words has no set and no link; one of fewer
-    words than a shingle has all its words as its shingle; a null doc_id ranks last and
-    gives way to the others as class_id; repeated rows are linked documents; other
-    columns are not read; no rows give no rows.
-    """
+def _classes(docs: DataFrame, paths: Paths) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows; and for each set (d1, d2, n_shingles) its numbers of links
+    and the first row of its class, by doc_id (null last) and text: class_id, class_hash."""
     rows = sketches(docs, paths)
     id_ = F.coalesce("doc_id", F.lit(-1))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_key")
     classes = stage(
         rows.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
             F.min(order).alias("first"), F.count("*").alias("copies"),
             F.min_by(F.struct(id_.alias("id_"), "text_hash", "mins"), "row_key").alias("one"),
         ).select("d1", "d2", "n_shingles", "copies", F.col("first.doc_id").alias("least_id"),
-                 F.col("first.row_key").alias("key"), "one.id_", "one.text_hash", "one.mins"),
+                 F.col("first.text_hash").alias("least_hash"), F.col("first.row_key").alias("key"),
+                 "one.id_", "one.text_hash", "one.mins"),
         "shingle-sets",
     )
     edges = candidate_edges(classes.select("key", "mins"), paths)
@@ -390,15 +378,37 @@ def near_copies(docs: DataFrame, paths: Paths = Paths()) -> DataFrame:
     found = stage(_verified(docs, members, paths), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "d1", "d2", "n_shingles", "copies", "least_id").join(
+    named = classes.select("key", "d1", "d2", "n_shingles", "copies", "least_id", "least_hash").join(
         joined, "key", "left").join(links, "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))
-    ids = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    least = F.struct(F.col("least_id").isNull(), "least_id", "least_hash")
+    ids = named.groupBy("component").agg(F.min(least).alias("least")).select(
+        "component", F.col("least.least_id").alias("class_id"), F.col("least.least_hash").alias("class_hash"))
     decided = named.join(ids, "component").select(
-        "d1", "d2", "n_shingles", "class_id",
+        "d1", "d2", "n_shingles", "class_id", "class_hash",
         (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("links", F.lit(0)).alias("n_text_links"),
     )
+    return rows, decided
+
+
+def near_copies(docs: DataFrame, paths: Paths = Paths()) -> DataFrame:
+    """(doc_id, class_id, n_links, n_text_links, n_shingles) of every row.
+
+    Two documents are linked if the Jaccard similarity of their sets of word shingles
+    is at least ``least``; ``class_id`` is the smallest doc_id that can be reached by
+    links. ``n_links`` counts linked documents, those with the same set among them;
+    ``n_text_links`` counts linked sets other than the document's own.
+
+    Documents with one set are joined once. The chosen paths give candidate edges; all
+    sets of a component of these edges are then compared exactly, in blocks.
+
+    A null text is empty; a text without words has no set and no link; one of fewer
+    words than a shingle has all its words as its shingle; a null doc_id ranks last and
+    gives way to the others as class_id; repeated rows are linked documents; other
+    columns are not read; no rows give no rows.
+    """
+    rows, decided = _classes(docs, paths)
     return rows.select("doc_id", "d1", "d2", "n_shingles").join(
         decided, ["d1", "d2", "n_shingles"], "left"
     ).select(
@@ -410,9 +420,22 @@ def near_copies(docs: DataFrame, paths: Paths = Paths()) -> DataFrame:
 
 def representatives(docs: DataFrame, paths: Paths = Paths()) -> DataFrame:
     """The documents without the near copies of others: of each class the row with the
-    smallest doc_id stays, with all its columns; rows without a link all stay."""
-    drop = near_copies(docs, paths).filter(
-        (F.col("n_links") > 0) & (F.col("doc_id") != F.col("class_id"))
-    ).select(F.col("doc_id").alias("id_")).distinct()
-    rows = packed_rows(docs, id_=F.col("doc_id").cast("long"))
-    return rows.join(drop, "id_", "left_anti").select("row_.*")
+    smallest doc_id (null last), then the smallest text hash, stays with all its columns;
+    rows without a link all stay.
+
+    Rows are known by doc_id and text: of rows that agree in both one stays, by a second
+    pass over the few that repeat.
+    """
+    rows, decided = _classes(docs, paths)
+    none, id_ = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    key = ["id_", "none_", "text_hash"]
+    known = rows.join(decided.filter("n_links > 0"), ["d1", "d2", "n_shingles"]).groupBy(
+        id_.alias("id_"), none.alias("none_"), "text_hash"
+    ).agg(F.max(first).alias("first"), F.count("*").alias("n"))
+    drop = stage(known.filter("not first or n > 1"), "near-copies")
+    given = packed_rows(docs, id_=id_, none_=none, text_hash=F.xxhash64(whole_text()))
+    again = drop.filter("first")
+    repeated = sifted(given, F.col("text_hash"), F.col("text_hash"), again).groupBy(*key).agg(
+        F.first("row_").alias("row_")).join(again, key, "left_semi")
+    return given.join(drop, key, "left_anti").select("row_.*").unionByName(repeated.select("row_.*"))

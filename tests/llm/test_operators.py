@@ -284,6 +284,23 @@ def test_representatives_keep_columns(edges):
     assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and {4, 5, 6, 9, 11} <= set(ids)
 
 
+def test_representatives_take_null_and_repeated_ids(spark):
+    """One row of each class stays, unlinked rows all stay, whatever their doc_ids are."""
+    near = lambda k, i: " ".join([*(f"t{k}w{j}" for j in range(80)), f"x{i}"])
+    docs = [(None, near(0, i), "null") for i in range(4)] + [(7, near(0, 9), "null")]  # nulls give way
+    docs += [(None, near(1, i), "nulls") for i in range(3)]  # a class of nulls
+    docs += [(1, near(2, 0), "shared"), (1, near(2, 1), "shared"), (2, near(2, 2), "shared")]
+    docs += [(3, near(3, 0), "half"), (4, near(3, 1), "half"), (4, "an unlinked text of its own", "other")]
+    docs += [(5, "the same row three times over", "same")] * 3 + [(None, "without any id", "same null")] * 2
+    docs += [(-1, near(4, 0), "minus"), (None, near(4, 0), "minus"), (None, None, "empty"), (None, None, "empty")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, name string").repartition(3)
+    left = Counter((r["name"], r["doc_id"]) for r in ngramjoin.representatives(frame).collect())
+    assert left == {
+        ("null", 7): 1, ("nulls", None): 1, ("shared", 1): 1, ("half", 3): 1, ("other", 4): 1,
+        ("same", 5): 1, ("same null", None): 1, ("minus", -1): 1, ("empty", None): 2,
+    }
+
+
 # mixing
 
 def check_mixed(rows, docs, block):
