@@ -378,15 +378,25 @@ def examples_of(text: str, turn: int) -> list[tuple]:
     return out
 
 
+def sample(docs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` texts with the smallest hash, each once however often it occurs, of
+    those that hold data-like characters and have fewer than 20,000 characters."""
+    holds = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|token|password|AKIA")
+    few = docs.select("text", F.xxhash64("text").alias("h")).filter(
+        F.col("text").isNotNull() & (F.char_length("text") < 20_000))
+    first = few.filter(holds).select("h").distinct().orderBy("h").limit(most)
+    texts = few.join(F.broadcast(first), "h", "left_semi").filter(holds).distinct()  # ``most`` hashes
+    return texts.orderBy("h", "text").limit(most).select("text")
+
+
 def fit(docs: DataFrame, most: int = 400, epochs: int = 6, rate: float = 0.25, seed: int = 3) -> Field:
     """Learn from the base patterns of at most ``most`` documents that hold data-like
     characters, those with the smallest hash of their text: their own spans and the
-    same data in other spellings. Without such documents all weights are 0 and nothing
-    is added to the base patterns.
+    same data in other spellings. Texts of 20,000 characters or more are not learned
+    from, and equal texts count as one. Without such documents all weights are 0 and
+    nothing is added to the base patterns.
     """
-    holds = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|token|password|AKIA")
-    few = docs.select("text").filter(F.col("text").isNotNull() & (F.char_length("text") < 20_000) & holds)
-    chosen = few.orderBy(F.xxhash64("text"), "text").limit(most)
+    chosen = sample(docs, most)
     examples: list[tuple] = []
     for turn, row in enumerate(chosen.toLocalIterator()):  # at most ``most`` short texts
         examples += examples_of(row["text"], turn)

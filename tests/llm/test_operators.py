@@ -611,6 +611,15 @@ def test_field_finds_every_address_spelling(spark):
             assert personal.added_spans(text, personal.base_spans(text), field) == [(0, 20, 20 + len(new))]
 
 
+def test_field_learns_from_distinct_texts(spark):
+    """A hot text with the smallest hash doesn't fill the sample."""
+    texts = [f"mail bob.{i}@mail{i}.example.com now" for i in range(6)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    first = [r["text"] for r in frame.orderBy(F.xxhash64("text")).collect()]
+    docs = spark.createDataFrame([(first[0],)] * 50 + [(t,) for t in texts] + [(None,), ("no data",)], "text string")
+    assert [r["text"] for r in personal.sample(docs.repartition(3), 4).collect()] == first[:4]
+
+
 # quality rules
 
 def check_rules(rows, docs):
