@@ -330,6 +330,7 @@ def _verified(docs: DataFrame, members: DataFrame, paths: Paths) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_"),
                        F.xxhash64(whole_text()).alias("text_hash"), "text")
     rows = sifted(rows, F.col("text_hash"), F.col("text_hash"), placed)  # most are no candidates
+    rows = rows.groupBy("id_", "text_hash").agg(F.first("text").alias("text"))  # one of repeated rows
     texts = rows.join(placed.drop("n_shingles"), ["id_", "text_hash"]).select(
         "key", "component", "copies", "block", "k", "text")
     schema = "key long, component long, copies long, block long, k long, shingles array<long>"

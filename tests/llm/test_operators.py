@@ -301,6 +301,23 @@ def test_representatives_take_null_and_repeated_ids(spark):
     }
 
 
+def test_repeated_rows_send_their_shingles_once(spark, monkeypatch):
+    """Rows that agree in doc_id and text reach the comparison as one."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text)] * 40 + [(None, text + " y")] * 30 + [(2, "quite another text")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+    linked = ngramjoin._linked
+
+    def counted(pdf, least):
+        seen.add(len(pdf))
+        return linked(pdf, least)
+
+    monkeypatch.setattr(ngramjoin, "_linked", counted)
+    check_near(ngramjoin.near_copies(frame).collect(), docs)
+    assert seen.value == 2
+
+
 # mixing
 
 def check_mixed(rows, docs, block):
