@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
     """Learn from labelled documents that are not held out.
 
     The ``training.rows`` labels with the smallest hash of doc_id are taken; their
-    features are computed by Spark and fitted on the driver by full-batch Adam on the
+    features are computed by Spark, of rows with one doc_id the smallest (as bytes) is
+    taken, and fitted on the driver by full-batch Adam on the
     logistic loss, classes weighted alike. Without labels of both classes the machine
     gives every document the share of class 1 (or 1 without any label).
     """
@@ -151,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
                     [some.column(0), some.column(3), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())],
                     names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality double, x binary").toArrow().to_pandas()
-    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id").sort_values("doc_id")
+    found = rows.mapInArrow(run, "doc_id long, quality double, x binary")
+    one = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # of repeated doc_ids
+    got = one.toArrow().to_pandas().sort_values("doc_id")
     y = got["quality"].to_numpy(float)
     x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(len(y), WIDTH).astype(np.float32)
     return _learn(x, y, training)

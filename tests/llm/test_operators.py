@@ -516,6 +516,22 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([g > b for g in good for b in bad]) >= 0.97
 
 
+def test_quality_sends_one_row_of_each_doc_id(spark, monkeypatch):
+    """Repeated doc_ids are settled before rows come to the driver."""
+    ids = [i for i in range(30) if brute.crc(str(i).encode()) % 3 != 1][:6]
+    docs = [(i, f"text {i} of some words", "en", "a", 9) for i in ids] * 2 + [
+        (ids[0], f"other text {k}", "en", "a", k) for k in range(50)]
+    frame = spark.createDataFrame(docs, brute.SCHEMA).repartition(3)
+    kind, brought = type(frame), []
+    whole = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: brought.append(whole(self)) or brought[-1])
+    machine = qualityfm.fit(frame, labels(spark, [(i, k % 2, 0) for k, i in enumerate(ids)]))
+    assert [t.num_rows for t in brought] == [len(ids)]
+    monkeypatch.undo()
+    again = qualityfm.fit(frame.repartition(5), labels(spark, [(i, k % 2, 0) for k, i in enumerate(ids)]))
+    assert np.array_equal(machine.w, again.w) and machine.bias == again.bias
+
+
 # personal data
 
 def check_personal(rows, docs):
