@@ -17,6 +17,8 @@ SHARE, LIMIT = 1.5, 2
 WEIGHTS = (3, 1, 2)
 #: Documents of a source are strung together in this many runs, each numbered by itself.
 RUNS = 4096
+#: Block numbers that one row makes.
+SPAN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -172,6 +174,21 @@ def _planned(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return kept.filter("n > 0").select("shard", "source_no", "from", "n").unionByName(moved)
 
 
+def _blocks(goals: DataFrame, span: int) -> DataFrame:
+    """(source_no, block, last): the blocks of the sources that have slots, made from ranges
+    of ``span`` blocks that are dealt out first, so a large source is made by many tasks."""
+    ranges = goals.filter("slots > 0").select(
+        "source_no", "blocks", F.expr("cast((slots - 1) div blocks as int)").alias("last"),
+        F.explode(F.expr(f"sequence(0L, blocks - 1, {span}L)")).alias("from"),
+    )
+    n = goals.filter("slots > 0").agg(F.sum(F.ceil(F.col("blocks") / span))).first()[0] or 0
+    if n > 1:
+        most = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = ranges.repartition(min(int(n), most), "source_no", "from")
+    return ranges.select("source_no", "last", F.explode(F.expr(
+        f"sequence(from, least(from + {span}L, blocks) - 1)")).alias("block"))
+
+
 def block_order(goals: DataFrame, seed: int) -> DataFrame:
     """(source_no, pass, at, block): in each pass the blocks of a source in hashed order.
 
@@ -179,10 +196,7 @@ def block_order(goals: DataFrame, seed: int) -> DataFrame:
     bucket, buckets one after the other: a sort of the hashes without one task for a
     source.
     """
-    rows = goals.filter("slots > 0").select(
-        "source_no", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
-        F.expr("cast((slots - 1) div blocks as int)").alias("last"),
-    ).select("source_no", "block", F.explode(F.expr("sequence(0, last)")).alias("pass"))
+    rows = _blocks(goals, SPAN).select("source_no", "block", F.explode(F.expr("sequence(0, last)")).alias("pass"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "source_no", "pass", "block"))
     rows = rows.withColumn("head", F.pmod("h", F.lit(RUNS)))
     sums = rows.groupBy("source_no", "pass", "head").agg(F.count("*").alias("n"))

@@ -355,6 +355,16 @@ def test_mixing_table(spark, table):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_blocks_of_a_large_source_are_made_by_many_tasks(spark):
+    goals = spark.createDataFrame([(0, 1000, 1500), (1, 1, 1), (2, 7, 0), (3, 16, 16)],
+                                  "source_no int, blocks long, slots long")
+    rows = mixing._blocks(goals, 16).select("*", F.spark_partition_id().alias("p")).collect()
+    assert Counter((r["source_no"], r["block"], r["last"]) for r in rows) == Counter(
+        [(0, b, 1) for b in range(1000)] + [(1, 0, 0)] + [(3, b, 0) for b in range(16)])
+    assert max(Counter(r["p"] for r in rows).values()) < 500
+    assert mixing._blocks(goals.limit(0), 16).collect() == []
+
+
 def test_mixed_documents_hold_the_words_taken(edges):
     mixed = mixing.mix(edges, block=4, shard_slots=16)
     slots = [tuple(r) for r in mixed.slots.select("source_no", "pass", "block").collect()]
