@@ -323,6 +323,11 @@ def _key_lines(data: bytes, keys: list[str]) -> Iterator[tuple]:
             yield key, int(page) if page else None, file, int(offset), int(length)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that read what small rows point to; a stated number is not merged by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def look_up(keys: DataFrame, archive: Archive) -> DataFrame:
     """All captures of the distinct ``url_key`` values of ``keys``.
 
@@ -351,7 +356,7 @@ def look_up(keys: DataFrame, archive: Archive) -> DataFrame:
                 names=["url_key", "block"])
 
     asked = wanted.mapInArrow(find, "url_key string, block long").repartitionByRange(
-        "block", "url_key").sortWithinPartitions("block", "url_key")
+        _tasks(spark), "block", "url_key").sortWithinPartitions("block", "url_key")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, (names) = _Ranges(folder), ("url_key", "page_id", "file", "offset", "length")
@@ -376,7 +381,8 @@ def read_records(captures: DataFrame, archive: Archive, *columns: str) -> DataFr
     kind = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c, kind[types[c]]) for c in kept])
     chunk = F.floor(F.col("offset") / archive.chunk_bytes).alias("chunk")
-    rows = captures.select("file", "offset", "length", chunk).repartition("file", "chunk").sortWithinPartitions(
+    rows = captures.select("file", "offset", "length", chunk).repartition(
+        _tasks(captures.sparkSession), "file", "chunk").sortWithinPartitions(
         "file", "offset").select("file", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
