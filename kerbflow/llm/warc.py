@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import sifted, stage
+from kerbflow.llm.common import MARKS, stage
 from kerbflow.session import shared_folder
 
 CAPTURE = "url_key string, page_id long, file string, offset long, length long"
@@ -97,11 +97,11 @@ def decided(pages: DataFrame, least: int) -> DataFrame:
     groups = stage(groups.select(
         "payload_digest", F.col("first.who.page_id").alias("first_id"),
         F.col("first.who.url").alias("first_url"), F.col("first.n").alias("n_first")), "payload-groups")
-    key = F.col("payload_digest")
-    may = sifted(rows, key, key, groups).filter(F.col("payload_bytes") >= least)
-    alone = rows.filter(F.col("payload_bytes") < least).unionByName(
-        _unsifted(rows, groups).filter(F.col("payload_bytes") >= least))
-    joined = may.join(groups, "payload_digest", "left")
+    mark = F.pmod(F.xxhash64("payload_digest"), F.lit(MARKS))
+    marked = rows.withColumn("mark_", F.when(F.col("payload_bytes") >= least, mark))
+    marks = F.broadcast(groups.select(mark.alias("mark_")).distinct())  # at most MARKS numbers
+    alone = marked.join(marks, "mark_", "left_anti")
+    joined = marked.join(marks, "mark_", "left_semi").join(groups, "payload_digest", "left")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
     fields = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
     single = F.col("n_first").isNull() | (is_first & (F.col("n_first") == 1))
@@ -120,16 +120,6 @@ def decided(pages: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _unsifted(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows that ``sifted`` leaves out."""
-    from kerbflow.llm.common import MARKS
-
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).alias("mark_")
-    marks = groups.select(mark(F.col("payload_digest"))).distinct()
-    return rows.select("*", mark(F.col("payload_digest"))).join(
-        F.broadcast(marks), "mark_", "left_anti").drop("mark_")  # at most MARKS numbers
-
-
 # Records
 
 
