@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from kerbflow.functions.timeparts import month_label
 from kerbflow.operators.rollup import base_rollup, between_times, five_grains
+from kerbflow.operators.unify import union_sources
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.standins import (
     MONTHS,
@@ -24,7 +25,8 @@ from kerbflow.session import shared_folder
 from kerbflow.sources import incremental as inc
 from kerbflow.sources import links
 from kerbflow.sources.sinks import manifest, write_parquet
-from kerbflow.streaming import hourly
+from kerbflow.sources.snapshots import SnapshotStore
+from kerbflow.streaming import eventtime, hourly
 
 
 @query("link_discovery", r"""WITH l AS (
@@ -184,14 +186,14 @@ def rollup_manifest(spark, folder):
     return manifest(five_grains(spark.read.parquet(path), zones(spark, folder)))
 
 
-def _refresh(spark, folder, trips, out, source="s", months=None):
+def _refresh(spark, folder, trips, out, source="s", months=None, overwrite=False):
     day = F.to_date("pickup_datetime")
     months = months or inc.month_range(trips.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
 
     def load(month):
         return between_times(trips, *inc.month_span(month))
 
-    refresh_months(spark, months, load, zones(spark, folder), out, source)
+    refresh_months(spark, months, load, zones(spark, folder), out, source, overwrite=overwrite)
 
 
 def _order_trips(spark, folder):
@@ -240,6 +242,34 @@ def stored_rollups(spark, folder):
     return stored_grain(spark, out, "daily_by_borough")
 
 
+@query("stored_snapshot", f"""WITH {TRIPS}, {ZONES}, n AS (
+  SELECT pickup_month, pickup_date, borough, company, COUNT(*) AS trips
+  FROM trips LEFT JOIN zones USING (location_id) GROUP BY ALL)
+SELECT 1 AS snapshot, 'daily_by_borough' AS table_name, * FROM n
+UNION ALL SELECT 2, 'daily_by_borough', * FROM n WHERE company = 'click'
+UNION ALL SELECT 1, 'daily_by_company', pickup_month, pickup_date, NULL, company,
+  CAST(SUM(trips) AS BIGINT) FROM n GROUP BY ALL
+UNION ALL SELECT 2, 'daily_by_company', pickup_month, pickup_date, NULL, company,
+  CAST(SUM(trips) AS BIGINT) FROM n WHERE company = 'click' GROUP BY ALL""")
+def stored_snapshot(spark, folder):
+    """Two grains before and after the months are refreshed with fewer trips: each
+    snapshot shows both grains of the same refresh."""
+    out = shared_folder(spark, "stored-snapshot")
+    trips = event_trips(spark, folder).drop("event_id", "value")
+    _refresh(spark, folder, trips, out)
+    _refresh(spark, folder, trips.filter("company = 'click'"), out, overwrite=True)
+    first = SnapshotStore(spark, out).latest() - 1  # the months fit one pass
+    found = []
+    for number in (first, first + 1):
+        for grain in ("daily_by_borough", "daily_by_company"):
+            df = stored_grain(spark, out, grain, snapshot=number)
+            area = F.col("borough") if "borough" in df.columns else F.lit(None).cast("string")
+            found.append(df.select(
+                F.lit(number - first + 1).alias("snapshot"), F.lit(grain).alias("table_name"),
+                "pickup_month", "pickup_date", area.alias("borough"), "company", "trips"))
+    return union_sources(found)
+
+
 @query("stream_hourly", f"""WITH {TRIPS}
 SELECT pickup_date, hour, company, COUNT(*) AS trips FROM trips GROUP BY ALL""")
 def stream_hourly(spark, folder):
@@ -254,3 +284,25 @@ def stream_hourly(spark, folder):
     return hourly.stored_hourly(spark, f"{home}/counts")
 
 
+#: Every tenth event lands after the others, most of them hours behind the watermark.
+LATE = "event_id % 10 = 3"
+
+
+@query("stream_corrected", f"""WITH {TRIPS}, seen AS (
+  SELECT MAX(pickup_datetime) - INTERVAL 1 HOUR AS watermark FROM trips WHERE NOT {LATE})
+SELECT pickup_date, hour, company,
+       COUNT(*) FILTER (WHERE NOT behind) AS published, COUNT(*) FILTER (WHERE behind) AS late,
+       COUNT(*) AS trips
+FROM (SELECT *, {LATE} AND date_trunc('hour', pickup_datetime) + INTERVAL 1 HOUR <= watermark AS behind
+      FROM trips, seen) GROUP BY ALL""")
+def stream_corrected(spark, folder):
+    """Event-time hours with a watermark; the late trips land last and come as corrections."""
+    home = shared_folder(spark, "stream-corrected")
+    events = table(spark, folder, "events").select(
+        F.col("ts").alias("pickup_datetime"), F.col("event_type").alias("company"), "event_id")
+    for late in (f"NOT ({LATE})", LATE):
+        events.filter(late).drop("event_id").write.mode("append").parquet(f"{home}/landing")
+        landed = hourly.landed_trips(
+            spark, f"{home}/landing", StructType.fromDDL("pickup_datetime timestamp_ntz, company string"))
+        eventtime.run_corrected_hours(landed, f"{home}/hours", f"{home}/checkpoints")
+    return eventtime.corrected_hours(spark, f"{home}/hours")

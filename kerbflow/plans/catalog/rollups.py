@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from kerbflow.operators import rollup
+from kerbflow.functions.timeparts import month_label
+from kerbflow.operators import rollup, sets
 from kerbflow.operators.market import competitor_rank, trips_per_vehicle
+from kerbflow.operators.unify import union_sources
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.standins import (
     DEMAND,
@@ -18,6 +20,8 @@ from kerbflow.plans.catalog.standins import (
     table,
     zones,
 )
+from kerbflow.session import shared_folder
+from kerbflow.sources.sinks import write_parquet
 
 
 def _base(spark, folder):
@@ -264,3 +268,44 @@ def rollup_five_grains(spark, folder):
         for name, df in _grains(spark, folder).items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _part_days(spark, folder):
+    """Lines as trips: a day, a company and a vehicle number each; sets by day, as stored."""
+    rows = table(spark, folder, "lineitem").select(
+        F.to_date("l_shipdate").alias("pickup_date"), F.col("l_returnflag").alias("company"),
+        F.col("l_partkey").alias("vehicle"))
+    path = f"{shared_folder(spark, 'vehicle-sets')}/daily"
+    write_parquet(sets.set_rollup(rows, ["pickup_date", "company"], "vehicle"), path)
+    return spark.read.parquet(path)
+
+
+@query("vehicles_by_month", """
+SELECT strftime(l_shipdate, '%Y-%m') AS pickup_month, l_returnflag AS company, COUNT(*) AS trips,
+       COUNT(DISTINCT l_partkey) AS vehicles, COUNT(*) / COUNT(DISTINCT l_partkey) AS trips_per_vehicle
+FROM lineitem GROUP BY ALL""")
+def vehicles_by_month(spark, folder):
+    """Distinct vehicles of a month from the stored sets of its days."""
+    days = _part_days(spark, folder)
+    months = days.withColumn("pickup_month", month_label(F.col("pickup_date")))
+    return sets.trips_per_active(months, ["pickup_month", "company"])
+
+
+@query("vehicles_all_grains", """
+SELECT 'year' AS grain, CAST(year(l_shipdate) AS VARCHAR) AS period, COUNT(DISTINCT l_partkey) AS vehicles
+FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'quarter', year(l_shipdate) || 'Q' || quarter(l_shipdate), COUNT(DISTINCT l_partkey)
+FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'all', 'all', COUNT(DISTINCT l_partkey) FROM lineitem""")
+def vehicles_all_grains(spark, folder):
+    """Quarters are united from days, years from quarters, the total from years."""
+    day = F.col("pickup_date")
+    quarters = sets.merge_sets(_part_days(spark, folder).withColumns({
+        "year": F.year(day).cast("string"),
+        "quarter": F.concat(F.year(day), F.lit("Q"), F.quarter(day))}), ["year", "quarter"])
+    years = sets.merge_sets(quarters, ["year"])
+    whole = years.withColumn("all", F.lit("all"))
+    found = [sets.set_sizes(df, [key]).select(
+        F.lit(key).alias("grain"), F.col(key).alias("period"), "vehicles")
+        for df, key in ((years, "year"), (quarters, "quarter"), (whole, "all"))]
+    return union_sources(found)

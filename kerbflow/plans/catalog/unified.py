@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kerbflow.functions.timeparts import month_label
 from kerbflow.operators import unify
 from kerbflow.operators.unify import Source
+from kerbflow.plans import corrections
 from kerbflow.plans.catalog.registry import query
 from kerbflow.plans.catalog.standins import (
     DEMAND,
@@ -20,6 +21,9 @@ from kerbflow.plans.catalog.standins import (
     named_demand,
     table,
 )
+from kerbflow.session import shared_folder
+from kerbflow.sources.incremental import month_span
+from kerbflow.sources.snapshots import SnapshotStore
 
 #: Priority, first day and day after the last; None: open.
 SLICES = {
@@ -290,3 +294,51 @@ def union_shards(spark, folder):
     )
     summed = unify.re_sum(unify.union_sources([narrow, wide]), ["pickup_date", "company"])
     return summed.withColumn("passenger_fare", F.round("passenger_fare", 2))
+
+
+#: Months of two sources that are restated: some days go, of the others some orders.
+RESTATED = {("bases", "1997-03"): "F", ("high_volume", "2000-02"): "O"}
+_RESTATED_SQL = " AND ".join(
+    f"NOT (name = '{n}' AND strftime(d, '%Y-%m') = '{m}' AND (day(d) BETWEEN 10 AND 12 "
+    f"OR day(d) > 27 OR o_orderstatus = '{gone}'))" for (n, m), gone in RESTATED.items())
+_CORRECTED = f"""WITH src AS ({" UNION ALL ".join(
+    f"SELECT '{n}' AS name, {p} AS priority, CAST(o_orderdate AS DATE) AS d, o_orderstatus, "
+    f"CASE WHEN '{n}' = 'high_volume' THEN o_totalprice END AS fare FROM orders "
+    f"WHERE {_between_sql('o_orderdate', lo, hi)}" for n, (p, lo, hi) in SLICES.items())}),
+summed AS (SELECT d, name, priority, COUNT(*) AS trips, SUM(fare) AS fare FROM src
+           WHERE {_RESTATED_SQL} GROUP BY ALL),
+best AS (SELECT * FROM summed QUALIFY ROW_NUMBER() OVER (PARTITION BY d ORDER BY priority DESC) = 1)"""
+
+
+def _corrected_store(spark, folder):
+    """Tables built once, then corrected month by month."""
+    store = SnapshotStore(spark, shared_folder(spark, "corrections"))
+    corrections.build(store, [_order_source(spark, folder, n) for n in SLICES])
+    when = F.col("o_orderdate")
+    for (name, month), gone in RESTATED.items():
+        rows = table(spark, folder, "orders").filter(_slice(name)).filter(
+            _between(when, *month_span(month))).filter(
+            ~(F.dayofmonth(when).between(10, 12) | (F.dayofmonth(when) > 27)
+              | (F.col("o_orderstatus") == gone)))
+        sums = [F.count(F.lit(1)).alias("trips")]
+        if name == "high_volume":
+            sums.append(F.sum("o_totalprice").alias("passenger_fare"))
+        frame = rows.groupBy(F.to_date(when).alias("pickup_date")).agg(*sums)
+        corrections.correct_month(store, Source(name, SLICES[name][0], frame), month)
+    return store
+
+
+@query("unified_after_correction", f"""{_CORRECTED}
+SELECT d AS pickup_date, 'all' AS company, name AS source, priority AS source_priority,
+       strftime(d, '%Y-%m') AS pickup_month, trips, round(fare, 2) AS passenger_fare FROM best""")
+def unified_after_correction(spark, folder):
+    """The merged table after the deltas of two restated months equals a rebuild."""
+    return corrections.unified_daily(_corrected_store(spark, folder)).withColumn(
+        "passenger_fare", F.round("passenger_fare", 2))
+
+
+@query("annual_after_correction", f"""{_CORRECTED}
+SELECT CAST(year(d) AS INTEGER) AS year, 'all' AS company, CAST(SUM(trips) AS BIGINT) AS trips,
+       MIN(d) AS first_date, MAX(d) AS last_date, COUNT(*) AS days FROM best GROUP BY 1""")
+def annual_after_correction(spark, folder):
+    return corrections.annual_summary(_corrected_store(spark, folder))

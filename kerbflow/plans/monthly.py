@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from kerbflow.operators.rollup import GRAINS, base_rollup, five_grains, re_sum, to_grain
 from kerbflow.sources.incremental import pending_months
 from kerbflow.sources.readers import read_optional
-from kerbflow.sources.sinks import manifest, write_months
+from kerbflow.sources.sinks import manifest
+from kerbflow.sources.snapshots import SnapshotStore, local_rows
 
 LOG = ("source string, month string, table_name string, status string, rows long, "
        "message string, finished timestamp")
@@ -49,9 +50,11 @@ def refresh_months(
     months are taken ``batch`` at a time, those with the same columns in one pass: the
     base rollup is written partitioned by month and read back with its schema, then
     each grain is written once, so trips are scanned once and a lost executor costs no
-    second scan. If a pass fails, its months are tried one by one; a month that fails
-    alone is logged with its error and the others go on. A month without rows is logged
-    as ``empty``, keeps what was stored before and stays due.
+    second scan. Base and grains of a pass are published by one commit of the snapshot
+    store, so readers never see half of it. If a pass fails, nothing of it is published
+    and its months are tried one by one; a month that fails alone is logged with its
+    error and the others go on. A month without rows is logged as ``empty``, keeps what
+    was stored before and stays due.
     """
     tables = [g for g in GRAINS if not (skip_zone and g == ZONED)]
     stored = finished_months(spark, out, source)
@@ -99,49 +102,44 @@ def _message(error: Exception) -> str:
 
 
 def _log(spark: SparkSession, out: str, source: str, entries: list[tuple]) -> None:
-    rows = [(source, *e) for e in entries]
-    frame = spark.createDataFrame(rows, LOG.removesuffix(", finished timestamp"))
+    names = ("source", "month", "table_name", "status", "rows", "message")
+    frame = local_rows(spark, [dict(zip(names, (source, *e))) for e in entries],
+                       LOG.removesuffix(", finished timestamp"))
     frame.withColumn("finished", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
         f"{out}/run_log"
     )
 
 
 def _store_months(spark, group, zones, out, source, entity, fill, tables) -> dict:
-    """Write the tables of some months; rows by (month, table)."""
-    labels = [month for month, _ in group]
+    """Write and publish the tables of some months; rows by (month, table)."""
+    store = SnapshotStore(spark, out)
     labelled = reduce(
         DataFrame.unionByName, [t.withColumn("pickup_month", F.lit(m)) for m, t in group]
     )
     base = base_rollup(labelled, entity).withColumn("source", F.lit(source))
-    filled = [m for m, t in group if not t.isEmpty()]
-    mine = (F.col("source") == source) & F.col("pickup_month").isin(filled)
-    if not filled:
-        return {}
-    write_months(base, f"{out}/base")
-    stored = read_optional(spark, f"{out}/base", base.schema).filter(mine)
-    counts: dict[tuple[str, str], int] = {}
-    grains = five_grains(stored.drop("source"), zones, entity, fill, ZONED not in tables)
+    written = [store.write("base", base)]
+    stored = store.written(written[0]).drop("source")
+    grains = five_grains(stored, zones, entity, fill, ZONED not in tables)
     for grain, df in grains.items():
         if "pickup_month" not in df.columns:  # weekdays and hours, month by month
-            df = to_grain(stored.drop("source"), grain, (*entity, "pickup_month"))
-        named = df.withColumn("source", F.lit(source))
-        write_months(named, f"{out}/{grain}")
-        written = read_optional(spark, f"{out}/{grain}", named.schema).filter(mine)
-        for r in written.groupBy("pickup_month").count().collect():  # one row for each month
-            counts[r["pickup_month"], grain] = r["count"]
-    return counts
+            df = to_grain(stored, grain, (*entity, "pickup_month"))
+        written.append(store.write(grain, df.withColumn("source", F.lit(source))))
+    return {(p.pickup_month, p.table_name): p.rows for p in store.commit(written)}
 
 
 def stored_grain(
-    spark: SparkSession, out: str, grain: str, entity: Sequence[str] = ("company",)
+    spark: SparkSession, out: str, grain: str, entity: Sequence[str] = ("company",),
+    snapshot: int | None = None,
 ) -> DataFrame:
-    """A stored grain over all months; weekday-hour rows, all their measures, are summed
-    over months."""
-    df = spark.read.option("mergeSchema", True).parquet(f"{out}/{grain}")
+    """A stored grain over all months at a snapshot (default: the last); weekday-hour
+    rows, all their measures, are summed over months."""
+    df = SnapshotStore(spark, out).read(grain, snapshot)
     if grain != "weekday_hour_by_company":
         return df
     return re_sum(df.drop("pickup_month"), ["source", *GRAINS[grain], *entity])
 
 
 def stored_manifest(spark: SparkSession, out: str, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
-    return manifest({g: stored_grain(spark, out, g) for g in grains})
+    """Row counts and day ranges of all grains, resolved by one snapshot."""
+    snapshot = SnapshotStore(spark, out).latest()
+    return manifest({g: stored_grain(spark, out, g, snapshot=snapshot) for g in grains})

@@ -12,7 +12,9 @@ from kerbflow.plans.catalog import QUERIES
 
 FOLDER = os.environ.get("KERBFLOW_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-STORING = {"stream_hourly", "stored_rollups", "stored_two_sources", "stored_weekday_hour"}
+STORING = {"stream_hourly", "stream_corrected", "stored_rollups", "stored_two_sources",
+           "stored_weekday_hour", "stored_snapshot", "unified_after_correction",
+           "annual_after_correction"}
 BATCH = sorted(set(QUERIES) - STORING)
 
 
