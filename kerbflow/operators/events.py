@@ -129,15 +129,16 @@ def demand_series(by_area: DataFrame, areas: Sequence[str] = CORE_AREAS) -> Data
 
     ``by_area`` is any rollup with a day and an area. One aggregation per day with
     a sum per listed area, then unfolded; an area without rows on a day has no
-    entry there, and rows without an area count nowhere. A rollup without areas is
-    one series 'ALL' of all its rows.
+    entry there. Rows without an area have no series of their own but count in 'ALL'
+    and the total, and so in the control of every area. A rollup without areas is one
+    series 'ALL' of all its rows.
     """
     if "borough" not in by_area.columns:
         total = by_area.dropna(subset=["pickup_date"]).groupBy(
             F.col("pickup_date").alias("date")
         ).agg(F.sum("trips").alias("trips"))
         return total.select("date", F.col("trips").alias("total"), F.lit(ALL).alias("series"), "trips")
-    by_area = by_area.dropna(subset=["pickup_date", "borough"])
+    by_area = by_area.dropna(subset=["pickup_date"])
     sums = [F.sum(F.when(F.col("borough") == a, F.col("trips"))) for a in areas]
     wide = by_area.groupBy(F.col("pickup_date").alias("date")).agg(
         F.sum("trips").alias("total"), F.array(*sums).alias("parts")
@@ -174,6 +175,28 @@ def baseline_days(event_days: DataFrame, exclusions: DataFrame, half_width: int)
     )
 
 
+def with_baselines(series: DataFrame, exclusions: DataFrame, half_width: int) -> DataFrame:
+    """Each day of a series with the means of its nearby days that carry no event.
+
+    Nearby days are those of the same weekday within +/- N days, which are a whole number
+    of weeks away: a frame of weeks within (series, weekday). One window over day rows
+    gives the baseline of every day, however many events fall on it.
+    """
+    free = series.join(
+        exclusions.select("date", F.lit(True).alias("taken")).distinct(), "date", "left")
+    week = F.expr("div(date_diff(date, DATE'1899-12-31') - 1 - weekday(date), 7)")
+    rows = free.withColumn("weekday_", F.weekday("date")).withColumn("week_", week)
+    reach = half_width // 7
+    near = Window.partitionBy("series", "weekday_").orderBy("week_").rangeBetween(-reach, reach)
+    trips = F.when(F.col("taken").isNull(), F.col("trips"))
+    rest = F.when(F.col("taken").isNull(), F.col("total") - F.col("trips"))
+    return rows.select(
+        "series", "date", "trips", (F.col("total") - F.col("trips")).alias("control_trips"),
+        F.avg(trips).over(near).alias("baseline_trips"), F.avg(rest).over(near).alias("control_baseline"),
+        F.count(trips).over(near).alias("baseline_days"),
+    )
+
+
 def event_impact(
     by_area: DataFrame,
     events: DataFrame,
@@ -184,28 +207,12 @@ def event_impact(
     """Event-day trips against nearby same-weekday days without events.
 
     ``control_lift`` is the same measure for the rest of the city and ``did_lift``
-    the difference; both are null for events measured on the whole city. Impacts
-    are computed once per (series, date), so events that share a day do not fan
-    out; the event day and its baseline come from the same join.
+    the difference; both are null for events measured on the whole city. Baselines
+    are a window over the days of each series, so an event is one look-up.
     """
     series = demand_series(by_area, areas)
     placed = with_series(events, series)
-    event_days = placed.select("series", F.col("date").alias("event_date")).distinct()
-    full_calendar = events if exclusions is None else exclusions
-    taken = full_calendar.select("date", F.lit(True).alias("taken")).distinct()
-    measured = nearby_days(event_days, half_width).join(
-        series.join(taken, "date", "left"), ["series", "date"]
-    )
-    rest = F.col("total") - F.col("trips")
-    on_day = F.col("date") == F.col("event_date")
-    free = F.col("taken").isNull()
-    sums = measured.groupBy("series", "event_date").agg(
-        F.max(F.when(on_day, F.col("trips"))).alias("trips"),
-        F.max(F.when(on_day, rest)).alias("control_trips"),
-        F.avg(F.when(free, F.col("trips"))).alias("baseline_trips"),
-        F.avg(F.when(free, rest)).alias("control_baseline"),
-        F.count(F.when(free, True)).alias("baseline_days"),
-    )
+    sums = with_baselines(series, events if exclusions is None else exclusions, half_width)
     lift = F.when(
         F.col("baseline_trips") > 0, F.col("trips") / F.col("baseline_trips") - 1
     )
@@ -213,9 +220,9 @@ def event_impact(
         (F.col("series") != ALL) & (F.col("control_baseline") > 0),
         F.col("control_trips") / F.col("control_baseline") - 1,
     )
-    impact = sums.filter("trips IS NOT NULL").select(
+    impact = sums.select(
         "series",
-        F.col("event_date").alias("date"),
+        "date",
         "trips",
         "baseline_trips",
         lift.alias("lift"),

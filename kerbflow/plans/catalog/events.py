@@ -211,6 +211,23 @@ def event_impact(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in ("baseline_trips", "lift")})
 
 
+_UNPLACED = _IMPACT.replace("demand AS (", "placed AS (", 1).replace(f", {CALENDAR}", f""", demand AS (
+  SELECT * REPLACE (CASE WHEN company IN ('BUILDING', 'MACHINERY') THEN NULL ELSE borough END AS borough)
+  FROM placed), {CALENDAR}""", 1).replace("WHERE borough IS NOT NULL GROUP BY 1)", "GROUP BY 1)", 1)
+
+
+@query("event_impact_unplaced", f"""{_UNPLACED}
+SELECT date, event_name, event_category, series, trips, round(baseline_trips, 6) AS baseline_trips,
+       round(lift, 6) AS lift, round(control_lift, 6) AS control_lift,
+       round(lift - control_lift, 6) AS did_lift, baseline_days FROM impact""")
+def event_impact_unplaced(spark, folder):
+    """Two segments' trips have no area: they count in the city and in every control."""
+    nowhere = F.col("company").isin("BUILDING", "MACHINERY")
+    demand = named_demand(spark, folder).withColumn("borough", F.when(~nowhere, F.col("borough")))
+    out = ev.event_impact(demand, calendar(spark, folder), None, HALF_WIDTH, AREAS).drop("venue", "borough")
+    return out.withColumns({c: F.round(c, 6) for c in ("baseline_trips", "lift", "control_lift", "did_lift")})
+
+
 @query("event_impact_city", f"""WITH {DEMAND}, {CALENDAR},
 s AS (SELECT pickup_date AS d, CAST(SUM(trips) AS BIGINT) AS trips FROM demand GROUP BY 1),
 base AS (

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from kerbflow.functions.categories import event_category
 from kerbflow.functions.cleaning import nulls_from_text, to_day
 from kerbflow.operators.unify import union_sources
+from kerbflow.sources import layouts
 
 Paths = str | Sequence[str]
 
@@ -51,43 +52,66 @@ def read_csv(
     return nulls_from_text(df.withColumnsRenamed(dict(rename or {})))
 
 
+def read_csv_by_name(
+    spark: SparkSession, paths: Paths, schema: StructType | str
+) -> DataFrame:
+    """Headed CSV files of any column order: each layout is read once, by its header.
+
+    Columns that a file lacks are null, those that the schema lacks are not read.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    groups = layouts.by_layout(layouts.file_layouts(spark, paths))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    frames = [layouts.by_name(reader.schema(layouts.in_order(columns, schema)).csv(files), schema)
+              for columns, files in groups.items()]
+    return union_sources(frames) if frames else spark.createDataFrame([], schema)
+
+
 def read_csv_after_preamble(
     spark: SparkSession, paths: Paths, schema: StructType | str, skip: int,
     rename: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """CSV whose header follows ``skip`` lines of preamble in every file.
+    """CSV whose header follows ``skip`` lines of preamble in every file, read by name.
 
-    Lines are numbered as the scan meets them; numbers of one file's first block
-    are consecutive, so its preamble and header are the ``skip + 1`` lowest.
+    The catalogue gives each file's first lines and columns. The text is read once: a
+    line of a file that equals one of its first ``skip + 1`` lines is no row. Files
+    that lack a column of the schema raise an error.
     """
-    lines = spark.read.text(_as_list(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min("line").alias("first_line"))
-    is_head = (F.col("block") == 0) & (F.col("line") <= F.col("first_line") + skip)
-    ddl = schema if isinstance(schema, str) else schema.simpleString()[7:-1]
-    body = lines.join(heads, "file").filter(~is_head & (F.trim("value") != ""))
-    df = body.select(F.from_csv("value", ddl).alias("row")).select("row.*")
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    catalogue = layouts.file_layouts(spark, paths, "csv", skip)
+    filled = catalogue.filter(F.size("columns") > 0)
+    _all_files_have(filled, [f.name for f in schema])
+    heads = catalogue.select("file", F.explode("head").alias("value")).distinct()
+    frames = []
+    for columns, files in layouts.by_layout(catalogue).items():
+        lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
+        body = lines.filter(F.trim("value") != "").join(heads, ["file", "value"], "left_anti")
+        names = layouts.in_order(columns, schema)
+        row = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names))
+        frames.append(layouts.by_name(body.select(row.alias("row")).select("row.*"), schema))
+    df = union_sources(frames) if frames else spark.createDataFrame([], schema)
     return nulls_from_text(df.withColumnsRenamed(dict(rename or {})))
 
 
+def _all_files_have(catalogue: DataFrame, required: Sequence[str]) -> None:
+    bad = layouts.files_lacking(catalogue, required)
+    if bad:
+        raise MissingColumns("; ".join(f"{file} is missing required columns: {c}" for file, c in bad))
+
+
 def read_parquet_columns(
     spark: SparkSession, paths: Paths, wanted: Sequence[str] = (), required: Sequence[str] = (),
     schema: StructType | str | None = None,
 ) -> DataFrame:
     """Parquet with only the wanted columns that exist in some file.
 
-    Names match without regard to case, which also covers spelling variants. Each
-    path must have the ``required`` columns (one footer of it is read). For very many
-    files give a ``schema``: then footers are not merged, and a column of the schema
+    Names match without regard to case, which also covers spelling variants. Every file
+    must have the ``required`` columns: all footers are looked at, in parallel. For very
+    many files give a ``schema``: then footers are not merged, and a column of the schema
     that a file lacks is null.
     """
     if required:
-        for path in _as_list(paths):
-            require_columns(spark.read.parquet(path), required, path)
+        _all_files_have(layouts.file_layouts(spark, paths, "parquet"), required)
     if schema is None:
         df = spark.read.option("mergeSchema", True).parquet(*_as_list(paths))
     else:
@@ -101,12 +125,12 @@ def read_parquet_columns(
 def read_optional(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet"
 ) -> DataFrame:
-    """A table that may not exist yet: an absent path is an empty frame."""
-    reader = spark.read.schema(schema).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    """A table that may not exist yet: an absent path is an empty frame. CSV columns are
+    found by header."""
     try:
-        return reader.load(path)
+        if fmt == "csv":
+            return read_csv_by_name(spark, path, schema)
+        return spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -123,25 +147,10 @@ def read_month_shards(spark: SparkSession, paths: Sequence[Paths], fmt: str = "c
         return union_sources([spark.read.format(fmt).load(p) for p in paths])
     reader = spark.read.option("header", True).option("inferSchema", False)
     files = [x for p in paths for x in _as_list(p)]
-    layouts = csv_layouts(spark, files)
-    if not layouts:
+    groups = layouts.by_layout(layouts.file_layouts(spark, files))
+    if not groups:
         return reader.csv(files)
-    return union_sources([reader.csv(group) for group in layouts.values()])
-
-
-def csv_layouts(spark: SparkSession, paths: Paths) -> dict[str, list[str]]:
-    """Files by header line. One short row for each file comes to the driver."""
-    lines = spark.read.text(_as_list(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
-    out: dict[str, list[str]] = {}
-    for row in heads.orderBy("file").collect():
-        out.setdefault(row["head"], []).append(row["file"])
-    return out
+    return union_sources([reader.csv(group) for group in groups.values()])
 
 
 def typed(df: DataFrame, schema: StructType) -> DataFrame:

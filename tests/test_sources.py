@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 import tempfile
 from pathlib import Path
@@ -15,7 +16,7 @@ from kerbflow.operators.rollup import base_rollup, zone_backfill
 from kerbflow.plans import monthly
 from kerbflow.plans.unified import build_unified
 from kerbflow.operators.unify import Source
-from kerbflow.sources import conform, incremental, links, readers, sinks
+from kerbflow.sources import conform, incremental, layouts, links, readers, sinks
 from kerbflow.session import shared_folder
 from kerbflow.streaming import hourly
 
@@ -68,15 +69,20 @@ def test_dispatch_csv(spark, folder):
 
 
 def test_csv_after_preamble(spark, folder):
-    schema = "`Base Number` string, `Base Name` string, `Pick Up Date` string, n string, v string"
+    schema = ("`Base Number` string, `Base Name` string, `Pick Up Date` string, "
+              "`Number of Trips` string, `Number of Vehicles` string")
     names = {"Base Number": "base", "Base Name": "base_name", "Pick Up Date": "pickup_date",
-             "n": "trips", "v": "vehicles"}
-    for name, base in (("a", " b1 "), ("b", "B2")):
-        Path(folder, f"{name}.csv").write_text(
-            f"Title,{name}\n\nline 3\nline,4,x,1,2\n,,,,\n"
-            "Base Number,Base Name,Pick Up Date,Number of Trips,Number of Vehicles\n"
-            f'{base}, Some Base ,1/2/2015,"1,234",5\nB9,No Date,,1,1\n'
-        )
+             "Number of Trips": "trips", "Number of Vehicles": "vehicles"}
+    top = "Title,{0}\n\nline 3\nline,4,x,1,2\n,,,,\n"
+    Path(folder, "a.csv").write_text(
+        top.format("a") + "Base Number,Base Name,Pick Up Date,Number of Trips,Number of Vehicles\n"
+        ' b1 , Some Base ,1/2/2015,"1,234",5\nB9,No Date,,1,1\n'
+    )
+    Path(folder, "b.csv").write_text(  # other order, a column more, blanks and CRLF
+        (top.format("b") + " number of vehicles,Note,Base Name,Base Number,Number of Trips,Pick Up Date\n"
+         '5,x, Some Base ,B2,"1,234",1/2/2015\n1,,No Date,B9,1,\n').replace("\n", "\r\n")
+    )
+    Path(folder, "c.csv").write_text("")
     raw = readers.read_csv_after_preamble(spark, folder, schema, 5, names)
     got = rows(conform.operator_supply(raw))
     assert got == [
@@ -85,6 +91,43 @@ def test_csv_after_preamble(spark, folder):
     ]
 
 
+def test_a_preamble_file_without_a_column_is_an_error(spark, folder):
+    Path(folder, "a.csv").write_text("t\nx,y\n1,2\n")
+    Path(folder, "b.csv").write_text("t\nx,z\n1,2\n")
+    with pytest.raises(readers.MissingColumns, match=r"b\.csv is missing required columns: \['y'\]"):
+        readers.read_csv_after_preamble(spark, folder, "x int, y int", 1)
+
+
+def test_optional_csv_is_bound_by_header(spark, folder):
+    Path(folder, "one.csv").write_text("b,a\n1,2\n")
+    Path(folder, "two.csv").write_text('A ,c,"b"\n5,x,4\n')
+    Path(folder, "three.csv").write_text("b\n7\n")
+    Path(folder, "empty.csv").write_text("")
+    got = readers.read_optional(spark, folder, "a int, b string", "csv")
+    assert rows(got, "a", "b") == [(None, "7"), (2, "1"), (5, "4")]
+    assert readers.read_optional(spark, f"{folder}/none", "a int", "csv").collect() == []
+
+
+def test_layouts_are_found_from_the_first_lines(spark, folder):
+    Path(folder, "long.csv").write_text(",".join(f"c{i}" for i in range(9000)) + "\n" + "x\n" * 5)
+    Path(folder, "a b%.csv").write_text('\ufeff"p,q",r\n1,2\n', encoding="utf-8")
+    with gzip.open(f"{folder}/z.csv.gz", "wt") as file:
+        file.write("r,s\n1,2\n")
+    found = {r["path"].rsplit("/", 1)[1]: r["columns"] for r in layouts.file_layouts(spark, folder).collect()}
+    assert found["a b%.csv"] == ["p,q", "r"] and found["z.csv.gz"] == ["r", "s"] and len(found["long.csv"]) == 9000
+    text = readers.read_csv_by_name(spark, f"{folder}/a b%.csv", "r int, `p,q` int")
+    assert rows(text, "r", "p,q") == [(2, 1)]
+
+
+def test_every_parquet_file_needs_the_columns(spark, folder):
+    for k in range(3):
+        frame = spark.range(2).withColumn("good" if k != 1 else "other", F.lit(k))
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/t")
+    with pytest.raises(readers.MissingColumns, match="GOOD"):
+        readers.read_parquet_columns(spark, f"{folder}/t", ["id"], required=["ID", "GOOD"])
+    assert readers.read_parquet_columns(spark, f"{folder}/t", ["id"], required=["ID"]).count() == 6
+
+
 def test_base_supply(spark):
     raw = spark.createDataFrame(
         [("b02512", "1/1/2015", "1,234", " 5 "), ("B9", "x", "abc", None)],
