@@ -27,56 +27,97 @@ LAYOUT = {
 }
 
 
+#: Letters of the blocks up to Latin Extended-B, which all versions of Unicode agree on.
+_LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^\x00-\u024f])")
+
+
 class ChunkCache:
     """Ids of stretches of text between two cuts, as little-endian bytes.
 
     The pre-tokenizer never joins a blank that stands before a non-space to what is
     before it, so a text is encoded stretch by stretch, and a stretch that was met
-    before costs a look-up. The tokenizers library encodes what is new, all of a batch
-    in one string; the tokens' lengths tell the stretches apart again. At most ``most``
-    stretches are kept; the first ones met are the frequent ones.
+    before costs a look-up. A new stretch is cut once more, behind its first run of
+    letters, where a token always ends; the tokenizers library encodes the words and
+    ends that are new of a batch, words in one string (the tokens' lengths tell them apart
+    again). At most ``most`` stretches and ``most_parts`` words and ends each are kept; the
+    first ones met are the frequent ones. A text with an added token in it is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000, most_parts: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.most, self.most_parts = most, most_parts
+        self.known, self.words, self.ends = {}, {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for token, k in vocabulary.items():  # one character stands for one byte
             self.bytes_of[k] = len(token)
 
-    def _ids(self, text: str) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(encoded[0].ids, "<i4")
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<i4").tobytes() for e in encoded]
 
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+    def _after_blank(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a blank before it."""
-        ids = self._ids(" " + " ".join(pieces))
+        body = self._ids([" " + " ".join(pieces)])[0]
         sizes = np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces))
-        cuts = 4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), "right")
-        body, at, out = ids.tobytes(), 0, {}
-        for piece, to in zip(pieces, cuts.tolist()):
-            out[piece] = body[at:to]
-            at = to
+        lengths = self.bytes_of[np.frombuffer(body, "<i4")]
+        cuts = (4 * np.searchsorted(np.cumsum(lengths), np.cumsum(sizes), "right")).tolist()
+        return [body[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _look_up(self, known: dict[str, bytes], parts: set[str], encode) -> dict[str, bytes]:
+        """Ids of ``parts``, kept in ``known`` as long as there is room."""
+        new = list(parts.difference(known))
+        fresh = dict(zip(new, encode(new))) if new else {}
+        if len(known) + len(fresh) <= self.most_parts:
+            known.update(fresh)
+            return known
+        return {p: fresh[p] if p in fresh else known[p] for p in parts}
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of each piece with a blank before it."""
+        out, todo, match = {}, [], _LETTERS.match
+        word, end = self.words.get, self.ends.get
+        for piece in pieces:
+            found = match(piece)
+            a = found.group() if found else piece
+            b = piece[len(a):]
+            x, y = word(a), end(b)
+            if x is None or y is None:
+                todo.append((piece, a, b))
+            else:
+                out[piece] = x + y
+        if todo:
+            words = self._look_up(self.words, {a for _, a, _ in todo}, self._after_blank)
+            ends = self._look_up(self.ends, {b for _, _, b in todo}, self._ids)
+            out.update([(piece, words[a] + ends[b]) for piece, a, b in todo])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id."""
-        known, cut = self.known, [stretches(t) for t in texts]
-        new = list(set().union(*(rest for _, rest in cut)).difference(known))
-        if new and len(known) + len(new) <= self.most:
-            known.update(self._new(new))
-            new = []
-        fresh = self._new(new) if new else {}
+        whole = {i for i, t in enumerate(texts) if self.added.search(t)}
+        cut = [stretches("" if i in whole else t) for i, t in enumerate(texts)]
+        get, missing = self.known.get, set()
+        found = [list(map(get, rest)) for _, rest in cut]
+        for (_, rest), ids in zip(cut, found):
+            if None in ids:
+                missing.update([c for c, x in zip(rest, ids) if x is None])
+        if missing:
+            fresh = self._new(missing)
+            if len(self.known) + len(fresh) <= self.most:
+                self.known.update(fresh)
+            found = [[fresh[c] if x is None else x for c, x in zip(rest, ids)] if None in ids else ids
+                     for (_, rest), ids in zip(cut, found)]
+        heads = self._look_up(self.ends, {head for head, _ in cut}, self._ids)
         end = np.array([END], "<i4").tobytes()
-        out = []
-        for head, rest in cut:
-            body = [fresh[c] if c in fresh else known[c] for c in rest] if fresh else map(known.__getitem__, rest)
-            out.append((self._ids(head).tobytes() if head else b"") + b"".join(body) + end)
-        return out
+        return [
+            (self._ids([texts[i]])[0] if i in whole else
+             heads[head] + b"".join(ids)) + end
+            for i, ((head, _), ids) in enumerate(zip(cut, found))
+        ]
 
 
 _ODD = re.compile(r" (?:\s|\Z)")
