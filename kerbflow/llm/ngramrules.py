@@ -15,11 +15,17 @@ WINDOW = 8
 @dataclass(frozen=True)
 class Rules:
     """``buckets`` of hashed n-grams, pseudocount of each bucket, and the least mean
-    ratio (natural log, per n-gram) of a document that is kept."""
+    ratio (natural log, per n-gram) of a document that is kept.
+
+    Documents are scored by the half of the corpus they are not in (two folds by text), so
+    a label never speaks for its own document. The threshold is chosen on such held-out
+    ratios of labelled documents: at least 99.5 % of the good ones are above it from
+    200 documents to 10,000.
+    """
 
     buckets: int = 1 << 16
-    pseudocount: float = 1.0
-    threshold: float = -0.08
+    pseudocount: float = 5.0
+    threshold: float = -0.12
 
 
 def repeated_words(words: Column) -> Column:
@@ -86,28 +92,39 @@ def ngrams(docs: DataFrame, buckets: int, *keep: str) -> DataFrame:
     )
 
 
+def fold(text_hash: Column) -> Column:
+    """The half of the corpus that a text is in; equal texts are in one."""
+    return F.pmod(text_hash, F.lit(2)).cast("int")
+
+
 def ratios(docs: DataFrame, trusted_ids: DataFrame, rules: Rules) -> DataFrame:
-    """(bucket, ratio): log of the bucket's share in trusted texts over its share in
-    all, as a whole number of millionths so that sums don't depend on their order.
+    """(fold, bucket, ratio) for the documents of each fold, from the texts of the other:
+    log of the bucket's share in trusted texts over its share in all, as a whole number
+    of millionths so that sums don't depend on their order.
+
+    Both multinomials are smoothed by the same share for each bucket: ``pseudocount``
+    occurrences in the trusted one, and in the raw one as many more as it is larger. An
+    n-gram that is rare in both says little, whatever the size of the corpus, and one that
+    the other half lacks nothing.
 
-    Counts are added up in the map tasks, so at most ``buckets`` rows of each task are
+    Counts are added up in the map tasks, so at most 2 x ``buckets`` rows of each task are
     shuffled; texts are only moved to find the trusted ones.
     """
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("id_")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text",
+                       fold(F.xxhash64(whole_text())).alias("fold"))
     chosen = sifted(text, F.col("id_"), F.col("id_"), trusted).join(
         trusted.hint("merge"), "id_", "left_semi")
-    raw = ngrams(text, rules.buckets).groupBy("bucket").agg(F.count("*").alias("raw"))
-    good = ngrams(chosen, rules.buckets).groupBy("bucket").agg(F.count("*").alias("good"))
-    counts = stage(raw.join(good, "bucket", "left").fillna(0, ["good"]), "ngram-counts")
-    sums = counts.agg(F.struct(F.sum("raw").alias("raw"), F.sum("good").alias("good")).alias("all"))
-    counts = counts.withColumn("all", sums.scalar())
-    extra = rules.pseudocount * rules.buckets
-    good = (F.col("good") + rules.pseudocount) / (F.col("all.good") + extra)
-    raw = (F.col("raw") + rules.pseudocount) / (F.col("all.raw") + extra)
-    ratio = F.when(F.col("all.good") == 0, F.lit(0.0)).otherwise(F.log(good / raw))
-    return counts.select(
-        "bucket", F.round(ratio * 1_000_000).cast("long").alias("ratio")
+    key = ["fold", "bucket"]
+    raw = ngrams(text, rules.buckets, "fold").groupBy(*key).agg(F.count("*").alias("raw"))
+    good = ngrams(chosen, rules.buckets, "fold").groupBy(*key).agg(F.count("*").alias("good"))
+    counts = stage(raw.join(good, key, "left").fillna(0, ["good"]), "ngram-counts")
+    sums = counts.groupBy("fold").agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
+    expected = F.col("raw") / F.col("all_raw") * F.col("all_good")
+    ratio = F.log((F.col("good") + rules.pseudocount) / (expected + rules.pseudocount))
+    ratio = F.when(F.col("all_good") == 0, F.lit(0.0)).otherwise(ratio)
+    return counts.join(sums, "fold").select(
+        (1 - F.col("fold")).alias("fold"), "bucket", F.round(ratio * 1_000_000).cast("long").alias("ratio")
     )
 
 
@@ -119,16 +136,18 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, rules: Rules = Rules()) -> Da
     mean ratio of its words and word pairs is at least the threshold.
 
     A null text has no words and fails; a null doc_id is never trusted; repeated rows
-    are judged alike; a mean equal to the threshold keeps; without trusted documents
-    all ratios are 0; other columns are not read; no rows give no rows.
+    are judged alike; a mean equal to the threshold keeps; where the other fold has no
+    trusted document, or not the n-gram, ratios are 0; other columns are not read; no rows
+    give no rows.
     """
     text = whole_text()
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
-    table = F.broadcast(ratios(docs, trusted_ids, rules))  # at most ``buckets`` rows
-    keyed = docs.select(*key, "text")
-    sums = ngrams(keyed, rules.buckets, "doc_id", "text_hash").join(table, "bucket").groupBy(
-        F.coalesce("doc_id", F.lit(-1)).alias("id_"), "text_hash"
-    ).agg((F.sum("ratio") / F.count("*") / 1_000_000).alias("mean_ratio"))
+    table = F.broadcast(ratios(docs, trusted_ids, rules))  # at most 2 x ``buckets`` rows
+    keyed = docs.select(*key, "text").withColumn("fold", fold(F.col("text_hash")))
+    scored = ngrams(keyed, rules.buckets, "doc_id", "text_hash", "fold").join(
+        table, ["fold", "bucket"], "left")
+    sums = scored.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id_"), "text_hash").agg(
+        (F.coalesce(F.sum("ratio"), F.lit(0)) / F.count("*") / 1_000_000).alias("mean_ratio"))
     plain = docs.select(*key, *[c.alias(k) for k, c in plain_counts(text).items()])
     rows = plain.withColumn("id_", F.coalesce("doc_id", F.lit(-1))).join(
         sums, ["id_", "text_hash"], "left"

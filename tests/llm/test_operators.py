@@ -431,7 +431,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path(q.TOKENIZER))
-    t.encode_special_tokens = True
     return public.path(q.TOKENIZER), t
 
 
@@ -484,7 +483,9 @@ def test_token_table_and_layout(spark, table, tmp_path):
 
 
 @pytest.mark.parametrize("text", ["a  b", " a", "a \n b", "a\n\n  b c ", "don't  it's", "x  y", "a  b", "\t\t a",
-                                  "<|endoftext|> b", "é \x1c b"])
+                                  "<|endoftext|> b", "é \x1c b",
+                                  "a <|endoftext|> b", "x<|endoftext|>", "ab ba中bb c", "n 1½² o-p.q\nR",
+                                  "a xª.b yº'll z's w\n\nv u\nt"])
 def test_stretches_encode_like_the_whole(text):
     path, t = tokenizer()
     cache = tokenfiles.ChunkCache(path, most=3)
@@ -682,15 +683,23 @@ def naive_ratio(spark, docs, trusted, rules):
                                   "a string, b string, k int")
     h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
     bucket = {every[r[0]]: r[1] for r in frame.select("k", F.pmod(h, F.lit(rules.buckets))).collect()}
-    raw, good = Counter(), Counter()
-    for i, t in docs:
+    texts = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(docs)], "k int, t string")
+    fold = {r[0]: r[1] for r in texts.select("k", F.pmod(F.xxhash64("t"), F.lit(2))).collect()}
+    raw, good = [Counter(), Counter()], [Counter(), Counter()]
+    for k, (i, t) in enumerate(docs):
         for g in grams(t):
-            raw[bucket[g]] += 1
-            good[bucket[g]] += i in trusted
-    extra = rules.pseudocount * rules.buckets
-    ratio = {b: math.log(((good[b] + rules.pseudocount) / (sum(good.values()) + extra))
-                         / ((raw[b] + rules.pseudocount) / (sum(raw.values()) + extra))) for b in raw}
-    return Counter((i, round(np.mean([ratio[bucket[g]] for g in grams(t)]), 4) if grams(t) else 0.0) for i, t in docs)
+            raw[fold[k]][bucket[g]] += 1
+            good[fold[k]][bucket[g]] += i in trusted
+    size = [(sum(raw[f].values()), sum(good[f].values())) for f in (0, 1)]
+
+    def ratio(f, b):
+        if not size[f][1] or not raw[f][b]:
+            return 0.0
+        expected = raw[f][b] * size[f][1] / size[f][0]
+        return math.log((good[f][b] + rules.pseudocount) / (expected + rules.pseudocount))
+
+    return Counter((i, round(np.mean([ratio(1 - fold[k], bucket[g]) for g in grams(t)]), 4) if grams(t) else 0.0)
+                   for k, (i, t) in enumerate(docs))
 
 
 def test_rules_edges(spark, edges, none):
@@ -713,3 +722,22 @@ def test_rules_table(spark, table):
     got = Counter((r["doc_id"], round(r["mean_ratio"], 4)) for r in rows)
     assert got == naive_ratio(spark, docs, trusted, ngramrules.Rules())
     assert all(r["kept"] == (not r["base_failed"] and r["mean_ratio"] >= ngramrules.Rules().threshold) for r in rows)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_rules_keep_labelled_and_other_documents_alike(spark, size):
+    """Shares kept among documents of 20 words or more, by language: good labels against
+    documents without a label (junk that labels would call bad taken out by its share)."""
+    folder = f"/root/testdata/{size}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = q.op10_ngram_rules(spark, folder).join(docs, "doc_id").join(
+        q.read_labels(spark, folder).select("doc_id", "quality"), "doc_id", "left").filter("n_words >= 20")
+    table = rows.groupBy("lang", "quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    share = {(r["lang"], r["quality"]): (r["kept"], r["n"]) for r in table}
+    for lang in ("en", "de", "es", "fr"):
+        (good, a), (bad, b), (other, _) = (share[lang, x] for x in (1, 0, None))
+        assert good >= 0.97 and bad < 0.5
+        assert abs(other - (good * a + bad * b) / (a + b)) < 0.06
