@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OUTSIDE = len(KINDS)
-#: Most tokens of an entity.
-LONGEST = 6
+#: Most tokens of an entity: four numbers and three dots between them.
+LONGEST = 7
 WEIGHTS = 1 << 14
 FOUND = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
          "spans string, n_added long")
@@ -195,6 +195,7 @@ def span_features(text: str, region: Region, i: int, j: int) -> list[int]:
     letters = sum(c.isalpha() for c in span)
     shape = re.sub(r"(.)\1+", r"\1", "".join(
         "9" if c.isdigit() else "a" if c.isalpha() else c for c in span[:48]))
+    form = re.sub(r"[^\W_]+", "w", span[:96])
     before = text[region.starts[i - 1] : region.ends[i - 1]].lower() if i else region.before
     groups = re.findall(r"[0-9]+", span)
     names = [
@@ -207,7 +208,8 @@ def span_features(text: str, region: Region, i: int, j: int) -> list[int]:
         "assigned%d" % bool(re.search(r"[=:]", span)), "mixed%d" % (letters > 2 and len(digits) > 2),
         "sizes" + ",".join(str(len(g)) for g in groups[:6]),
         "words" + " ".join(t for t in span.lower().split() if t.isalpha())[:24],
-        "phone%d" % (8 <= len(digits) <= 15 and not letters),
+        "phone%d" % (8 <= len(digits) <= 15 and not letters), "form" + form,
+        "keyword%d" % bool(_KEYWORD.match(span)), "keyed%d" % bool(_SECRET.fullmatch(span)),
     ]
     return [_bucket(n) for n in names] + [_bucket("bias")]
 
@@ -332,7 +334,8 @@ def gold_segments(text: str, region: Region, spans) -> list[tuple[int, int, int]
 
 
 def respelled(kind: int, span: str, turn: int) -> str | None:
-    """The same datum in a form that no base pattern matches."""
+    """The same datum in a form that no base pattern matches, a secret behind another
+    keyword."""
     digits = "".join(c for c in span if c.isdigit())
     if kind == 0:
         name, _, host = span.partition("@")
@@ -345,27 +348,54 @@ def respelled(kind: int, span: str, turn: int) -> str | None:
     if kind == 3 and len(digits) >= 10:
         d = digits[-10:]
         return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[turn % 3]
+    if kind == 4 and (cut := re.search(r"[=:]", span)):
+        value = span[cut.end() :].strip(' "')
+        return (f"api_key={value.upper()}", f"secret: {value}", f"passwd={value}", f"TOKEN={value}",
+                f"apikey: {value.upper()}", f"password = {value}")[turn % 6]
     return None
 
 
+def harmless(span: str, turn: int) -> str | None:
+    """Numbers that are no personal data, from the digits of one: a version, a date, a
+    time, a price, an assignment."""
+    d = "".join(c for c in span if c.isdigit())
+    if len(d) < 8:
+        return None
+    return (f"{d[0]}.{d[1]}.{d[2]}", f"{d[:2]}.{d[2]}.{d[4:8]}", f"{d[:2]}:{d[2:4]}", f"{d[:3]},{d[3:6]}.{d[6:8]}",
+            f"x={d[:2]}", f"{d[:4]}-{d[4:6]}-{d[6:8]}", f"{d[0]}.{d[1:3]}")[turn % 7]
+
+
+def variants(kind: int, span: str) -> list[str]:
+    """A datum as it is, and an address also with fewer digits or another local part:
+    those of one table look more alike than those elsewhere."""
+    out = [span]
+    if kind == 0:
+        name, _, host = span.partition("@")
+        bare = _DIGIT.sub("", name).strip("._-") or "a"
+        out += [f"{bare}@{_DIGIT.sub('', host)}", f"{bare}.b@{host}", f"{bare}_{len(span)}@{host}"]
+    return [x for x in dict.fromkeys(out) if kind == 4 or base_spans(x) == [(kind, 0, len(x))]]
+
+
 def examples_of(text: str, turn: int) -> list[tuple]:
-    """Training regions of a text: as it stands, and with one datum respelled; an address
-    also without its digits, since most addresses elsewhere have none."""
+    """Training regions of a text: as it stands, and with one datum respelled or replaced
+    by a harmless number."""
     base = base_spans(text)
     taken = [(a, b) for _, a, b in base]
     gold = base + [(4, *trimmed(text, *m.span())) for m in _SECRET.finditer(text)
                    if all(m.end() <= a or m.start() >= b for a, b in taken)]
     texts = [(text, gold)]
-    for kind, a, b in base:
-        bare = _DIGIT.sub("", text[a:b])
-        forms = [text[a:b]] + [bare] * (kind == 0 and bare != text[a:b] and base_spans(bare) == [(0, 0, len(bare))])
-        for form in forms:
+    for kind, a, b in gold:
+        for form in variants(kind, text[a:b]):
             if not (new := respelled(kind, form, turn)):
                 continue
             shift = len(new) - (b - a)
             moved = [(y, s + shift * (s >= b), e + shift * (s >= b)) for y, s, e in gold if (s, e) != (a, b)]
             texts.append((text[:a] + new + text[b:], moved + [(kind, a, a + len(new))]))
             turn += 1
+        if kind in (1, 2, 3) and (new := harmless(text[a:b], turn)):
+            shift = len(new) - (b - a)
+            texts.append((text[:a] + new + text[b:], [
+                (y, s + shift * (s >= b), e + shift * (s >= b)) for y, s, e in gold if (s, e) != (a, b)]))
     out = []
     for body, spans in texts:
         for region in regions(body):
