@@ -81,14 +81,15 @@ def base_failed() -> Column:
 
 
 def ngrams(docs: DataFrame, buckets: int, *keep: str) -> DataFrame:
-    """A row for the bucket of every word and every pair of neighbouring words."""
+    """A row for the bucket of every word and every pair of neighbouring words; ``first``
+    of a document is the number of its first bucket."""
     words = F.regexp_extract_all(whole_text(), F.lit(f"({WORD})"), 1)
     pairs = F.explode(F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")).alias("next")))
-    rows = docs.select(*keep, words.alias("words")).select(*keep, pairs.alias("x"))
+    rows = docs.select(*keep, "first", words.alias("words")).select(*keep, "first", pairs.alias("x"))
     one, two = F.xxhash64("x.words"), F.xxhash64("x.words", "x.next")
     both = F.when(F.col("x.next").isNull(), F.array(one)).otherwise(F.array(one, two))
-    return rows.select(*keep, F.explode(both).alias("h")).select(
-        *keep, F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
+    return rows.select(*keep, "first", F.explode(both).alias("h")).select(
+        *keep, (F.pmod("h", F.lit(buckets)) + F.col("first")).cast("int").alias("bucket")
     )
 
 
@@ -98,9 +99,10 @@ def fold(text_hash: Column) -> Column:
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame, rules: Rules) -> DataFrame:
-    """(fold, bucket, ratio) for the documents of each fold, from the texts of the other:
-    log of the bucket's share in trusted texts over its share in all, as a whole number
-    of millionths so that sums don't depend on their order.
+    """(bucket, ratio) for the documents of each fold, from the texts of the other: log of
+    the bucket's share in trusted texts over its share in all, as a whole number of
+    millionths so that sums don't depend on their order. Buckets are numbered on from
+    fold to fold, so that one small number is the key.
 
     Both multinomials are smoothed by the same share for each bucket: ``pseudocount``
     occurrences in the trusted one, and in the raw one as many more as it is larger. An
@@ -112,20 +114,20 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, rules: Rules) -> DataFrame:
     """
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("id_")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text",
-                       fold(F.xxhash64(whole_text())).alias("fold"))
+                       (fold(F.xxhash64(whole_text())) * rules.buckets).alias("first"))
     chosen = sifted(text, F.col("id_"), F.col("id_"), trusted).join(
         trusted.hint("merge"), "id_", "left_semi")
-    key = ["fold", "bucket"]
-    raw = ngrams(text, rules.buckets, "fold").groupBy(*key).agg(F.count("*").alias("raw"))
-    good = ngrams(chosen, rules.buckets, "fold").groupBy(*key).agg(F.count("*").alias("good"))
-    counts = stage(raw.join(good, key, "left").fillna(0, ["good"]), "ngram-counts")
+    raw = ngrams(text, rules.buckets).groupBy("bucket").agg(F.count("*").alias("raw"))
+    good = ngrams(chosen, rules.buckets).groupBy("bucket").agg(F.count("*").alias("good"))
+    counts = stage(raw.join(good, "bucket", "left").fillna(0, ["good"]), "ngram-counts")
+    counts = counts.withColumn("fold", F.floor(F.col("bucket") / rules.buckets).cast("int"))
     sums = counts.groupBy("fold").agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
     expected = F.col("raw") / F.col("all_raw") * F.col("all_good")
     ratio = F.log((F.col("good") + rules.pseudocount) / (expected + rules.pseudocount))
     ratio = F.when(F.col("all_good") == 0, F.lit(0.0)).otherwise(ratio)
+    other = F.col("bucket") + (1 - 2 * F.col("fold")) * rules.buckets
     return counts.join(sums, "fold").select(
-        (1 - F.col("fold")).alias("fold"), "bucket", F.round(ratio * 1_000_000).cast("long").alias("ratio")
-    )
+        other.cast("int").alias("bucket"), F.round(ratio * 1_000_000).cast("long").alias("ratio"))
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -143,9 +145,9 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, rules: Rules = Rules()) -> Da
     text = whole_text()
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
     table = F.broadcast(ratios(docs, trusted_ids, rules))  # at most 2 x ``buckets`` rows
-    keyed = docs.select(*key, "text").withColumn("fold", fold(F.col("text_hash")))
-    scored = ngrams(keyed, rules.buckets, "doc_id", "text_hash", "fold").join(
-        table, ["fold", "bucket"], "left")
+    first = (fold(F.col("text_hash")) * rules.buckets).alias("first")
+    keyed = docs.select(*key, "text").select("*", first)
+    scored = ngrams(keyed, rules.buckets, "doc_id", "text_hash").join(table, "bucket", "left")
     sums = scored.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id_"), "text_hash").agg(
         (F.coalesce(F.sum("ratio"), F.lit(0)) / F.count("*") / 1_000_000).alias("mean_ratio"))
     plain = docs.select(*key, *[c.alias(k) for k, c in plain_counts(text).items()])
