@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions.categories import direction
 from kerbflow.functions.timeparts import window_label
+from kerbflow.operators.selection import exact_quantile
 from kerbflow.operators.series import day_bounds
+from kerbflow.session import shared_folder
 
 # Comparison horizons in months.
 HORIZONS = {
@@ -105,12 +107,15 @@ def growth_opportunities(
     volume_quantile: float | None = 0.5,
     rank_by: str = "largest_gains",
     complete_days: bool = False,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Ranked groups above a volume quantile; ``months`` may name a horizon.
 
     When the floor leaves nothing, all groups are ranked. ``complete_days``
     empties the result if any day of the windows has no rows. The exact quantile
-    is taken over one value per group (areas or zones), after the aggregation.
+    is taken over one value per group, after the aggregation: for areas or zones in the
+    plan, with ``many_groups`` over stored groups by distributed selection, so that no
+    task has to hold the volumes of all groups.
     """
     if rank_by not in RANKINGS:
         raise ValueError(f"{rank_by!r} is none of {RANKINGS}")
@@ -119,6 +124,12 @@ def growth_opportunities(
     kept = out = compare_groups(daily, group, months)
     current, comparable = F.col("current_trips"), F.col("prior_trips") > 0
     floor = F.percentile(current, F.lit(volume_quantile or 0.0))
+    if many_groups:
+        path = shared_folder(df.sparkSession, "group-volumes")
+        out.write.parquet(path)
+        kept = out = df.sparkSession.read.schema(out.schema).parquet(path)
+        if volume_quantile is not None or rank_by == "growth":
+            floor = F.lit(exact_quantile(out, volume_quantile or 0.0, "current_trips")).cast("double")
     if rank_by == "growth":
         # Null when no comparable group reaches the floor: then all groups stay.
         reached = F.max(F.when(comparable, current)) >= floor

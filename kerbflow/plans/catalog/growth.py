@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbflow.operators import growth, series
+from kerbflow.operators.selection import exact_quantile
 from kerbflow.plans.catalog.registry import query
-from kerbflow.plans.catalog.standins import DEMAND, named_demand
+from kerbflow.plans.catalog.standins import DEMAND, named_demand, table
+from kerbflow.session import shared_folder
+from kerbflow.sources.sinks import write_parquet
 
 _COLUMNS = ("current_trips", "prior_trips", "trip_delta", "growth", "direction")
 
@@ -127,3 +130,26 @@ def growth_meta(spark, folder):
     return growth.growth_meta(
         series.daily_total(named_demand(spark, folder), ["borough"]), ["borough"], 60
     )
+
+
+_SHARES = (0.1, 0.5, 0.9, 0.999)
+
+
+@query("volume_floor_exact", f"""WITH v AS (
+  SELECT l_orderkey, SUM(l_quantity * l_extendedprice) AS volume FROM lineitem GROUP BY 1),
+f AS (SELECT unnest({list(_SHARES)!r}::DOUBLE[]) AS share,
+             unnest((SELECT quantile_cont(volume, {list(_SHARES)!r}) FROM v)) AS floor)
+SELECT share, round(floor, 4) AS floor, COUNT(*) AS groups
+FROM f JOIN v ON volume >= floor GROUP BY ALL""")
+def volume_floor_exact(spark, folder):
+    """Floors over a group of many values, and the groups that reach them."""
+    path = f"{shared_folder(spark, 'volumes')}/by_order"
+    write_parquet(table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.col("l_quantity") * F.col("l_extendedprice")).alias("volume")), path)
+    volumes = spark.read.parquet(path)
+    floors = [(q, exact_quantile(volumes, q, "volume")) for q in _SHARES]
+    counted = volumes.agg(*[F.count_if(F.col("volume") >= floor).alias(f"n{k}")
+                            for k, (_, floor) in enumerate(floors)])
+    rows = F.array(*[F.struct(F.lit(q).alias("share"), F.round(F.lit(floor), 4).alias("floor"),
+                              F.col(f"n{k}").alias("groups")) for k, (q, floor) in enumerate(floors)])
+    return counted.select(F.inline(rows))
