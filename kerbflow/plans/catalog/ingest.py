@@ -82,6 +82,19 @@ def trip_record_links(spark, folder):
     return found.drop(*links.PLACE)
 
 
+@query("link_entities", """
+SELECT p_partkey AS page_id, 0 AS position, '/x?a=1&b=' || p_partkey AS href,
+       'A' || chr(CAST(161 + p_partkey % 400 AS INTEGER)) || chr(CAST(128512 + p_partkey % 60 AS INTEGER))
+       || 'é&lt;&unknown;&' || chr(65533) || '"' || chr(39) AS label FROM part""")
+def link_entities(spark, folder):
+    """References by name, number and hexadecimal number; unknown ones stay."""
+    key = F.col("p_partkey")
+    html = F.format_string(
+        '<p><a href="/x?a=1&amp;b=%d">A&#%d;&#x%x;&eacute;&amp;lt;&unknown;&&#xD800;&quot;&#39;</a>',
+        key, 161 + key % 400, 128512 + key % 60)
+    return links.page_links(table(spark, folder, "part").select(key.alias("page_id"), html.alias("html")))
+
+
 def _all_months(spark, folder):
     return inc.month_range(order_range(spark, folder))
 

@@ -30,6 +30,8 @@ SCHEMAS = {
                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
               "value double, props string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
     "pages": "page_id bigint, url string, html string",
 }
 

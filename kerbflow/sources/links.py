@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ RECORD_TYPES = {
     "yellow_tripdata_": "yellow",
     "green_tripdata_": "green",
 }
-# Entities resolved in links and labels (the ampersand last).
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named characters of HTML as Python knows them.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 #: Where a link stands; the last one by these wins.
 PLACE = ("page_id", "position")
@@ -30,10 +32,34 @@ ANCHOR_WITH_LINK = r"(?i)<a\s(?=[^>]*\bhref\s*=)"
 HREF = r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-def _resolve(text: Column) -> Column:
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    point = F.when(valid, code).when(code.isNotNull(), F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def resolved(text: Column) -> Column:
+    """Character references replaced, in one pass: ``&amp;lt;`` becomes ``&lt;``.
+
+    Named ones are looked up, numbers (decimal, or hexadecimal behind an x) decoded by
+    code point; references without a semicolon or of an unknown name stay.
+    """
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+    def piece(part: Column, k: Column) -> Column:
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{0,31});", 1)
+        number = F.regexp_extract(part, r"^#([0-9]{1,9});", 1)
+        hexed = F.regexp_extract(part, r"^#[xX]([0-9A-Fa-f]{1,7});", 1)
+        code = F.when(number != "", number.try_cast("bigint")).when(
+            hexed != "", F.conv(hexed, 16, 10).try_cast("bigint"))
+        plain = F.coalesce(_character(code), names[name])
+        rest = F.substr(part, F.locate(";", part) + 1)
+        return F.when(k == 0, part).otherwise(
+            F.coalesce(F.concat(plain, rest), F.concat(F.lit("&"), part)))
+
+    pieces = F.transform(F.split(text, "&"), piece)
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def page_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -49,8 +75,8 @@ def page_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("pag
     inside = F.regexp_extract("piece", r"(?is)^([^>]*)>(.*?)</a\s*>", 2)
     attributes = F.regexp_extract("piece", r"(?s)^([^>]*)>", 1)
     quoted = [F.regexp_extract(attributes, HREF, i) for i in (1, 2, 3)]
-    href = _resolve(F.concat(*quoted))
-    label = _resolve(strip(F.regexp_replace(inside, r"(?:<[^>]*>)+", " ")))
+    href = resolved(F.concat(*quoted))
+    label = resolved(strip(F.regexp_replace(inside, r"(?:<[^>]*>)+", " ")))
     closed = F.col("piece").rlike(r"(?is)^[^>]*>.*?</a\s*>")
     return cut.filter(closed).select(
         *keep, "position", href.alias("href"), label.alias("label")

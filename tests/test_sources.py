@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import gzip
+import html
 import json
 import tempfile
 from pathlib import Path
@@ -550,3 +551,12 @@ def test_stream_adds_up_late_files_and_replays(spark, folder):
     hourly.fold_batches(spark, out)
     assert run() == [(1, 2), (5, 3), (6, 1), (7, 2)]
     assert Path(f"{out}_folded/version=3").exists()
+
+
+def test_character_references_are_decoded_once(spark):
+    texts = ["a &amp;lt; b", "&#65;&#x42;&#X43;;", "&eacute;&Eacute;&apos;&nbsp;x", "&nobody; &amp &; &#; &#x;",
+             "&#128512;&#x1F600;&#0;&#xD800;&#x110000;&#999999999;", "", "plain", "&", "&&lt;&"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    got = [r[0] for r in frame.orderBy("i").select(links.resolved(F.col("t"))).collect()]
+    assert got == [html.unescape(t.replace("&amp &", "&amp; &")).replace("&nobody; & &", "&nobody; &amp &")
+                   for t in texts] + [None]
