@@ -80,7 +80,6 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
     binds less follows (WITH before AND before OR). An exception after WITH keeps the
     license's label; it makes a copyleft license no stricter and no permissive one.
     """
-    tokens = TOKEN.findall(expression.lower())
     output: list[tuple[set[str], bool]] = []
     stack: list[str] = []
     best, operand = None, True
@@ -90,7 +89,7 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
         value = {"or": left[1] or right[1], "and": left[1] and right[1], "with": left[1]}[op]
         out.append((left[0] | right[0], value))
 
-    for token in tokens:
+    for token in (m.group() for m in TOKEN.finditer(expression.lower())):
         if operand:
             if token == "(":
                 stack.append(token)
@@ -160,15 +159,16 @@ class Scanner:
 
     def expressions(self, raw: bytes) -> tuple[list[set[str]], bool]:
         """Labels of each tag that is followed by an expression; whether permissive
-        licenses meet them all. A tag within another one counts once."""
-        found, permissive, done = [], True, -1
-        hits = list(self.tags.iter(raw.decode("latin-1")))
-        for end, _ in hits:
-            if end <= done:
-                continue
-            done = end
-            stop = raw.find(b"\n", end)
-            rest = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
+        licenses meet them all.
+
+        An expression ends with its line, and at the colon of the next tag at the latest
+        (no expression goes on behind one), so every byte is looked at for one tag only.
+        """
+        found, permissive = [], True
+        ends = [end for end, _ in self.tags.iter(raw.decode("latin-1"))]
+        for end, limit in zip(ends, [*ends[1:], len(raw)]):
+            stop = raw.find(b"\n", end, limit)
+            rest = raw[end + 1 : stop if stop >= 0 else limit + 1].decode("utf-8", "replace")
             if value := evaluate(rest):
                 found.append(value[0])
                 permissive = permissive and value[1]

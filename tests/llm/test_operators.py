@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -174,6 +175,29 @@ def test_license_expressions_without_a_head(text):
     assert licenses.evaluate(text) is None
 
 
+@pytest.mark.parametrize("text, tags, labels_", [
+    ("license: mit license: apache-2.0\nlicense: gpl-3.0", 3, "apache,gpl,mit"),
+    ("license: mit-license: isc", 2, "isc,mit"),
+    ("license: gpl-2.0 with license: bsd", 2, "bsd,gpl"),
+    ("license: (mit or license: isc)", 1, "isc"),
+    ("license: mit or\nlicence:", 1, "mit"),
+    ("License-Expression: mit\u00a0or isc license:", 1, "isc,mit"),
+])
+def test_license_tags_in_one_line(text, tags, labels_):
+    found = licenses.Scanner().scan(text)
+    assert (found[7], found[5]) == (tags, labels_)
+
+
+def test_license_scan_is_linear_in_tags():
+    """A line of 100,000 tags, and a head of 100,000 operands, in seconds."""
+    begin = time.monotonic()
+    found = licenses.Scanner().scan("license: mit " * 100_000)
+    assert found[7] == 100_000 and found[5] == "mit"
+    found = licenses.Scanner().scan("license: " + "mit or " * 100_000)
+    assert found[7] == 1 and found[5] == "mit"
+    assert time.monotonic() - begin < 10
+
+
 # sharding
 
 def check_shards(rows, docs, n):
