@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbflow.session import shared_folder
@@ -46,6 +46,30 @@ def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row_"), *[c.alias(k) for k, c in columns.items()])
 
 
+def rest_hash(docs: DataFrame) -> Column:
+    """Hash of all columns but the text, nulls told apart from any value."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+
+
+def with_copy_number(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``copy``, which numbers the rows that agree in ``keys`` (not null) from 0.
+
+    ``rows`` has ``row_key`` of monotonically_increasing_id. Equal rows are numbered
+    within each partition they were read in, and the counts of the partitions before give
+    where a partition begins, so no task gets all copies of a frequent row.
+    """
+    part = F.shiftright("row_key", 33).alias("part_")
+    inside = Window.partitionBy(*keys, "part_").orderBy("row_key")
+    placed = rows.select("*", part).withColumn("at_", F.row_number().over(inside))
+    sums = placed.groupBy(*keys, "part_").agg(F.max("at_").alias("n_"))
+    earlier = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("before_", F.sum("n_").over(earlier)).filter("before_ > 0").drop("n_")
+    return placed.join(starts, [*keys, "part_"], "left").withColumn(
+        "copy", F.col("at_") - 1 + F.coalesce("before_", F.lit(0))
+    ).drop("part_", "at_", "before_")
+
+
 #: Distinct marks of a wanted set: the bound of what ``sifted`` broadcasts.
 MARKS = 1 << 21
 

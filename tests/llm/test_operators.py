@@ -448,6 +448,40 @@ def test_index_outlives_its_table_name(spark, tmp_path):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_index_takes_a_batch_twice(spark, tmp_path):
+    """Before the append, after it, and after half of it."""
+    index = exactdedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exactdedup.deduplicate(make([(1, "a")]), index, "first").collect()
+    docs = make([(2, "a"), (3, "b"), (4, "b"), (5, "c c"), (6, "d")])
+    half = exactdedup.groups_of(exactdedup.digests_of(make([(3, "b")])))
+    index.append(half, "second")
+    runs = [sorted(map(tuple, exactdedup.deduplicate(docs, index, "second").collect())) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    assert [(r[0], r[1], r[3]) for r in runs[0]] == [
+        (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True)]
+    assert sorted(r["keep_id"] for r in index.read().collect()) == [1, 3, 5, 6]
+    assert not any(r["kept"] for r in exactdedup.deduplicate(docs, index, "third").collect())
+
+
+def test_index_refuses_another_number_of_buckets(spark, tmp_path):
+    exactdedup.DigestIndex(spark, str(tmp_path / "index"), 4).close()
+    with pytest.raises(ValueError, match="4 buckets"):
+        exactdedup.DigestIndex(spark, str(tmp_path / "index"), 7)
+    exactdedup.DigestIndex(spark, str(tmp_path / "index"), 4).close()
+
+
+def test_kept_documents_tell_null_ids_from_minus_one(spark):
+    docs = spark.createDataFrame(
+        [(None, "a b", "fr"), (-1, "a b", "en"), (None, "c  d", "fr"), (-1, "c d", "en"), (7, "e", "x"), (7, "e", "y")],
+        "doc_id long, text string, lang string")
+    got = [sorted(map(str, exactdedup.kept_documents(d, exactdedup.fresh_index(spark, 4)).collect()))
+           for d in (docs.coalesce(1), docs.repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == 3
+    assert any("doc_id=-1, text='a b', lang='en'" in r for r in got[0])
+    assert any("doc_id=None, text='c  d', lang='fr'" in r for r in got[0])
+
+
 # token files
 
 def tokenizer():
