@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import stage, whole_text
+from kerbflow.llm.common import stage, whole_text, with_copy_number
 from kerbflow.session import shared_folder
 
 SLOTS = 4096
@@ -15,19 +15,27 @@ MAP = "virtual_slot int, shard int, version int"
 def slot_records(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     """(row_key, doc_id, size, text_crc32, virtual_slot) of each record, stored once.
 
-    The slot is a hash of doc_id; records without one are spread by their text.
+    The slot is a hash of doc_id, text and the number of the copy among rows equal in
+    both, so neither a frequent doc_id nor a frequent row fills one slot, and the slots
+    don't depend on how the table is stored.
     """
     text = whole_text()
     body = F.encode(text, "UTF-8")
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
-    return stage(
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    records = stage(
         docs.select(
             F.monotonically_increasing_id().alias("row_key"),
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
-            F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"),
+            F.xxhash64(identity, text).alias("key_hash"),
         ),
+        "shard-rows",
+    )
+    slot = F.pmod(F.xxhash64("key_hash", "copy"), F.lit(n_slots)).cast("int")
+    return stage(
+        with_copy_number(records, ["key_hash"]).select(
+            "row_key", "doc_id", "size", "text_crc32", slot.alias("virtual_slot")),
         "shard-records",
     )
 
@@ -135,9 +143,9 @@ def shard(docs: DataFrame, n_shards: int, n_slots: int = SLOTS, path: str | None
     slots out in turn, version 2 rebalances it by the bytes counted in each slot; both
     are stored below ``path`` (default: a fresh shared folder).
 
-    A null text has size 1 and the checksum of no bytes; null and repeated doc_ids are
-    records like others (rows with one id share a slot); other columns are not read;
-    no rows give no rows.
+    A null text has size 1 and the checksum of no bytes; null and repeated doc_ids and
+    repeated rows are records like others, each with a slot of its own hash; other columns
+    are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "slot-map")
