@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import n_words, packed_rows, stage, whole_text
+from kerbflow.llm.common import n_words, packed_rows, rest_hash, stage, whole_text, with_copy_number
 
 #: The mix is this share of all words, and no word is taken more often than LIMIT.
 SHARE, LIMIT = 1.5, 2
@@ -26,7 +26,8 @@ class Mix:
     """Stored parts of a mix.
 
     ``targets``: source_no, source, source_size, target, blocks, slots. ``words``: row_key,
-    doc_id, text_hash, size, source_no, begin (place in the stream of words of its source).
+    doc_id, text_hash, row_hash (of the other columns), size, source_no, begin (place in the
+    stream of words of its source).
     ``slots``: shard, source_no, pass, block. ``pieces``: row_key, pass, lo, hi, the words
     of a document that a taken block holds.
     """
@@ -43,6 +44,7 @@ def _words(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
+        rest_hash(docs).alias("row_hash"),
         n_words(text).alias("size"),
         F.col("source").cast("string").alias("source"),
     )
@@ -94,20 +96,23 @@ def _streams(words: DataFrame, goals: DataFrame) -> DataFrame:
 
     A source is a chain of RUNS runs to which documents are dealt by hash; a window
     numbers the words within one run, and the sums of the runs (at most RUNS rows a
-    source) give where each run begins. No task gets a whole source.
+    source) give where each run begins. No task gets a whole source. Rows equal in all
+    columns are told apart by the number of the copy, so the streams don't depend on how
+    the table is stored, and a frequent row is dealt over all runs.
     """
     names = goals.select("source_no", F.col("source").alias("s_"))
-    run = F.pmod(F.xxhash64("doc_id", "text_hash", F.col("row_key") % 64), F.lit(RUNS))
-    rows = words.join(names, F.col("source").eqNullSafe(F.col("s_"))).select(
-        "row_key", "doc_id", "text_hash", "size", "source_no", run.alias("run"))
+    run = F.pmod(F.xxhash64("text_hash", "row_hash", "copy"), F.lit(RUNS))
+    each = with_copy_number(words, ["text_hash", "row_hash"])
+    rows = each.join(names, F.col("source").eqNullSafe(F.col("s_"))).select(
+        "row_key", "doc_id", "text_hash", "row_hash", "copy", "size", "source_no", run.alias("run"))
     sums = rows.groupBy("source_no", "run").agg(F.sum("size").alias("run_size"))
     starts = _running(sums, ["source_no"], "run", "run_size")
-    inside = Window.partitionBy("source_no", "run").orderBy("doc_id", "text_hash", "row_key")
+    inside = Window.partitionBy("source_no", "run").orderBy("doc_id", "text_hash", "row_hash", "copy")
     placed = rows.withColumn(
         "begin", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
     return placed.join(starts.hint("merge"), ["source_no", "run"]).select(
-        "row_key", "doc_id", "text_hash", "size", "source_no",
+        "row_key", "doc_id", "text_hash", "row_hash", "size", "source_no",
         (F.col("begin") + F.col("before")).alias("begin"),
     )
 
@@ -118,11 +123,31 @@ def _running(rows: DataFrame, by: list[str], order: str, value: str) -> DataFram
     return rows.select(*by, order, F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("before"))
 
 
-def _draws(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, source_no, drawn): multinomial counts of each output shard.
+def _running_long(rows: DataFrame, by: str, order: str, value: str, span: int = SPAN) -> DataFrame:
+    """Like ``_running`` where ``order`` numbers many rows: sums of ranges of ``span``
+    numbers first, then within each range, so no task gets more than a range of one ``by``."""
+    marked = rows.select(by, order, value, F.expr(f"{order} div {span}").alias("range_"))
+    sums = marked.groupBy(by, "range_").agg(F.sum(value).alias("sum_"))
+    heads = _running(sums, [by], "range_", "sum_").withColumnRenamed("before", "head_")
+    earlier = Window.partitionBy(by, "range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("in_", F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    return placed.join(heads.hint("merge"), [by, "range_"]).select(
+        by, order, (F.col("head_") + F.col("in_")).alias("before"))
 
-    Every shard draws by a generator of its own number, so a repeated task draws the
-    same. Sources without words have no part.
+
+def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``n`` ranges spread over as many tasks, at most the session's number."""
+    if n <= 1:
+        return rows
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(n, most), *keys)
+
+
+def _draws(goals: DataFrame, shard_slots: int, seed: int, span: int = 256) -> DataFrame:
+    """(shard, source_no, drawn): multinomial counts of each output shard, those above 0.
+
+    Ranges of ``span`` shards are dealt to the tasks. Every shard draws by a generator of
+    its own number, so a repeated task draws the same. Sources without words have no part.
     """
     parts = F.array_sort(F.collect_list(F.struct("source_no", "slots")))
     chance = goals.filter("slots > 0").agg(
@@ -130,8 +155,13 @@ def _draws(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         F.transform(parts, lambda x: x["slots"]).alias("slots"),
         F.sum("slots").alias("n_slots"),
     ).filter("n_slots > 0")
-    shards = chance.select("*", F.explode(F.expr(
-        f"sequence(0, (n_slots - 1) div {shard_slots})")).alias("shard"))
+    n_shards = F.expr(f"(n_slots - 1) div {shard_slots} + 1")
+    ranges = chance.select("*", n_shards.alias("n_shards"), F.explode(
+        F.expr(f"sequence(0L, (n_slots - 1) div {shard_slots}, {span}L)")).alias("from"))
+    slots = goals.agg(F.sum("slots")).first()[0] or 0
+    shards = _dealt(ranges, -(-slots // (shard_slots * span)), "from").select(
+        "numbers", "slots", "n_slots",
+        F.explode(F.expr(f"sequence(from, least(from + {span}L, n_shards) - 1)")).alias("shard"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,7 +169,9 @@ def _draws(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
                 share = np.asarray(slots, float)
                 rng = np.random.Generator(np.random.Philox([seed, shard]))
                 counts = rng.multinomial(min(shard_slots, n - shard * shard_slots), share / share.sum())
-                yield pd.DataFrame({"shard": shard, "source_no": np.asarray(numbers), "drawn": counts})
+                hit = counts > 0
+                yield pd.DataFrame(
+                    {"shard": shard, "source_no": np.asarray(numbers)[hit], "drawn": counts[hit]})
 
     return shards.mapInPandas(draw, "shard long, source_no int, drawn long")
 
@@ -152,7 +184,7 @@ def _planned(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     Only that difference, about the square root of a source's slots, is moved.
     """
     drawn = stage(_draws(goals, shard_slots, seed), "mix-draws")
-    starts = _running(drawn, ["source_no"], "shard", "drawn")
+    starts = _running_long(drawn, "source_no", "shard", "drawn")
     rows = drawn.join(starts.withColumnRenamed("before", "from"), ["source_no", "shard"]).join(
         goals.select("source_no", "slots"), "source_no")
     kept = stage(rows.withColumn(
@@ -161,7 +193,8 @@ def _planned(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     surplus = kept.withColumn("extra", F.col("drawn") - F.col("n")).filter("extra > 0").withColumn(
         "base", F.coalesce(F.sum("extra").over(line), F.lit(0))
     ).select("shard", F.explode(F.expr("sequence(base, base + extra - 1)")).alias("place"))
-    short = kept.groupBy("source_no").agg(F.first("slots").alias("slots"), F.sum("n").alias("have"))
+    have = kept.groupBy("source_no").agg(F.sum("n").alias("have"))
+    short = goals.select("source_no", "slots").join(have, "source_no", "left").fillna(0, ["have"])
     line = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     lacking = short.filter("have < slots").withColumn(
         "base", F.coalesce(F.sum(F.col("slots") - F.col("have")).over(line), F.lit(0))
@@ -182,10 +215,7 @@ def _blocks(goals: DataFrame, span: int) -> DataFrame:
         F.explode(F.expr(f"sequence(0L, blocks - 1, {span}L)")).alias("from"),
     )
     n = goals.filter("slots > 0").agg(F.sum(F.ceil(F.col("blocks") / span))).first()[0] or 0
-    if n > 1:
-        most = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = ranges.repartition(min(int(n), most), "source_no", "from")
-    return ranges.select("source_no", "last", F.explode(F.expr(
+    return _dealt(ranges, int(n), "source_no", "from").select("source_no", "last", F.explode(F.expr(
         f"sequence(from, least(from + {span}L, blocks) - 1)")).alias("block"))
 
 
@@ -267,7 +297,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     its text cut down to the words taken (the text itself where all are), ``n_chars``
     counted again.
 
-    Rows that agree in doc_id and text, being the same, share the columns of one.
+    Rows are known by doc_id, text and a hash of all other columns, so null and -1 stay
+    apart; rows equal in all columns, being the same, share those of one. A document of
+    which no word is taken (a null or empty text among them) has no row; columns of any
+    name are kept; no rows give no rows.
     """
     mixed = mix(docs, **options)
     ranges = mixed.pieces.groupBy("row_key", "pass").agg(
@@ -275,18 +308,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.sum(F.col("hi") - F.col("lo")).alias("got"),
     )
     plan = ranges.join(mixed.words, "row_key").select(
-        F.coalesce("doc_id", F.lit(-1)).alias("id_"), "text_hash", "ranges",
+        "text_hash", "row_hash", "ranges",
         (F.col("got") == F.col("size")).alias("all_"),
     )
     rows = packed_rows(
-        docs, id_=F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
-        text_hash=F.xxhash64(whole_text()),
-    ).groupBy("id_", "text_hash").agg(F.first("row_").alias("row_"))
+        docs, text_hash=F.xxhash64(whole_text()), row_hash=rest_hash(docs),
+    ).groupBy("text_hash", "row_hash").agg(F.first("row_").alias("row_"))
     parts = F.regexp_extract_all("row_.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     cut = F.array_join(
         F.flatten(F.transform("ranges", lambda r: F.slice(
             "parts", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
-    joined = plan.join(rows, ["id_", "text_hash"]).withColumn(
+    joined = plan.join(rows, ["text_hash", "row_hash"]).withColumn(
         "parts", F.when(~F.col("all_"), parts))
     text = F.when(F.col("all_"), F.col("row_.text")).otherwise(cut)
     out = joined.withColumn("text_", text)

@@ -227,6 +227,24 @@ def test_sharding_table(spark, table):
     assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
 
 
+def test_sharding_spreads_frequent_ids_and_rows(spark):
+    """A third of the rows share a doc_id, a third are one row; any layout gives the same."""
+    rows = [(7, f"text {k}") for k in range(2000)] + [(8, "same text")] * 2000
+    rows += [(None if k % 5 == 0 else k, f"other {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for parts in (3, 7):
+        out = sharding.shard(docs.repartition(parts), 8, n_slots=512).collect()
+        check_shards(out, rows, 8)
+        load, slots = Counter(), Counter()
+        for r in out:
+            load[r["shard"]] += r["size"]
+            slots[r["virtual_slot"]] += 1
+        assert max(load.values()) - min(load.values()) <= 30 and max(slots.values()) < 60
+        got.append(Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in out))
+    assert got[0] == got[1]
+
+
 def test_map_is_edited_not_redone(spark, tmp_path):
     sizes = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"),
                                    (F.col("id") * 3 + 10).alias("bytes"), F.lit(1).cast("long").alias("rows"))
@@ -389,6 +407,57 @@ def test_blocks_of_a_large_source_are_made_by_many_tasks(spark):
     assert mixing._blocks(goals.limit(0), 16).collect() == []
 
 
+def test_mixing_is_the_same_for_any_layout(spark):
+    rows = [(k, "w " * (k % 90), "abc"[k % 3]) for k in range(300)] + [(5, "same row of words", "a")] * 300
+    rows += [(6, "one id and text", s) for s in "abc"] * 20 + [(None, "no id", "c"), (-1, "no id", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mixing.taken(mixing.mix(docs.repartition(n), block=8, shard_slots=64)).collect() for n in (2, 7)]
+    assert Counter(map(tuple, runs[0])) == Counter(map(tuple, runs[1]))
+    check_mixed(runs[0], [(i, text, source) for i, text, source in rows], 8)
+
+
+def test_draws_are_made_by_many_tasks(spark):
+    """Counts of 1,000 sources: no zeros, whole totals, no source lost."""
+    goals = spark.createDataFrame([(k, 40, 40 if k else 1) for k in range(1000)],
+                                  "source_no int, blocks long, slots long")
+    rows = mixing._draws(goals, 64, 3, span=32).select("*", F.spark_partition_id().alias("p")).collect()
+    assert min(r["drawn"] for r in rows) > 0 and len({r["p"] for r in rows}) > 2
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["drawn"]
+    total = 999 * 40 + 1
+    assert [load[k] for k in range(len(load))] == [64] * (total // 64) + [total % 64]
+    plan = mixing._planned(goals, 64, 3).collect()
+    numbers = Counter((r["source_no"], k) for r in plan for k in range(r["from"], r["from"] + r["n"]))
+    assert numbers == Counter((s, k) for s in range(1000) for k in range(40 if s else 1))
+    assert mixing._draws(goals.limit(0), 64, 3).collect() == []
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.createDataFrame([(s, k, k % 5 + s) for s in range(2) for k in range(0, 100, 3)],
+                                 "s int, k long, v long")
+    got = {(r["s"], r["k"]): r["before"] for r in mixing._running_long(rows, "s", "k", "v", 10).collect()}
+    assert got == {(s, k): sum(j % 5 + s for j in range(0, k, 3)) for s in range(2) for k in range(0, 100, 3)}
+
+
+def test_mixed_documents_keep_identities(spark):
+    rows = [(-1, "a b c d e f", "en", "s"), (None, "a b c d e f", "fr", "s"), (3, "x y z", "de", "s"),
+            (3, "x y z", "de", "t"), (3, "x y z", "de", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mixing.mixed_documents(docs, block=2, shard_slots=4)
+    got = Counter()
+    for r in mixed.collect():
+        got[r["doc_id"], r["lang"], r["source"]] += len(r["text"].split())
+    assert set(got) <= {(i, lang, source) for i, _, lang, source in rows}
+    words = mixing.mix(docs, block=2, shard_slots=4)
+    taken, held = Counter(), Counter()
+    for r in words.pieces.join(words.words, "row_key").join(words.targets, "source_no").collect():
+        taken[r["doc_id"], r["source"]] += r["hi"] - r["lo"]
+    for (doc_id, _, source), n in got.items():
+        held[doc_id, source] += n
+    assert held == taken
+
+
 def test_mixed_documents_hold_the_words_taken(edges):
     mixed = mixing.mix(edges, block=4, shard_slots=16)
     slots = [tuple(r) for r in mixed.slots.select("source_no", "pass", "block").collect()]
