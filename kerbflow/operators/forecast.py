@@ -7,6 +7,7 @@ calendar day, so a group stays small while the number of series is free to grow.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -138,6 +139,78 @@ def regression_frame(
     return joined.select(*by, DATE, "trips", *[made[f].alias(f) for f in FEATURES])
 
 
+def smooth(y: Column, level_weight: Column) -> Column:
+    """The best Holt-Winters state of a series for one level weight: (error, pair, level,
+    trend, cycle), the least one-step squared error over pairs of trend and season weights.
+
+    The recursion is a fold over the days; ``cycle[0]`` is the season of the coming day.
+    """
+    first, second = (
+        F.aggregate(F.slice(y, k, SEASON), F.lit(0.0), lambda a, v: a + v) / SEASON
+        for k in (1, SEASON + 1))
+    begin = F.struct(
+        first.alias("level"), ((second - first) / SEASON).alias("trend"),
+        F.transform(F.slice(y, 1, SEASON), lambda v: v - first).alias("cycle"), F.lit(0.0).alias("error"))
+    pairs = [F.struct(F.lit(k).alias("pair"), F.lit(b).alias("trend"), F.lit(g).alias("season"))
+             for k, (b, g) in enumerate(itertools.product(fitting.TREND_GRID, fitting.SEASON_GRID))]
+
+    def fold(pair: Column) -> Column:
+        def day(s: Column, v: Column) -> Column:
+            guess, now = s["level"] + s["trend"], s["cycle"][0]
+            level = level_weight * (v - now) + (1 - level_weight) * guess
+            miss = v - guess - now
+            return F.struct(
+                level.alias("level"),
+                (pair["trend"] * (level - s["level"]) + (1 - pair["trend"]) * s["trend"]).alias("trend"),
+                F.concat(F.slice(s["cycle"], 2, SEASON - 1),
+                         F.array(pair["season"] * (v - guess) + (1 - pair["season"]) * now)).alias("cycle"),
+                (s["error"] + miss * miss).alias("error"))
+
+        return F.aggregate(y, begin, day, lambda s: F.struct(
+            s["error"].alias("error"), pair["pair"].alias("pair"), s["level"].alias("level"),
+            s["trend"].alias("trend"), s["cycle"].alias("cycle")))
+
+    return F.array_min(F.transform(F.array(*pairs), fold))
+
+
+def smoothed_forecast(rows: DataFrame, by: Sequence[str], seasonal: bool = True) -> DataFrame:
+    """Holt-Winters, or the last week again where a series is shorter than two seasons,
+    its state is not finite or ``seasonal`` is False; built-in expressions only.
+
+    A series is one row with an array of its days; the weights of the level are rows beside
+    it, dealt over the tasks, and the best of them is a partial aggregate.
+    """
+    days = F.array_sort(F.collect_list(F.struct(DATE, "trips")))
+    series = rows.groupBy(*by).agg(days.alias("days_")).select(
+        *by,
+        F.transform(F.filter("days_", lambda d: d["trips"].isNotNull()),
+                    lambda d: d["trips"].cast("double")).alias("y_"),
+        F.transform(F.filter("days_", lambda d: d["trips"].isNull()), lambda d: d[DATE]).alias("ahead_"),
+    )
+    size = F.size("y_")
+    last = F.expr(f"slice(y_, greatest(size(y_) - {SEASON - 1}, 1), {SEASON})")
+    weights = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(a).alias("weight"))
+                        for k, a in enumerate(fitting.LEVEL_GRID[: None if seasonal else 1])])
+    fits = series.select(*by, "y_", "ahead_", F.explode(weights).alias("w_"))
+    if seasonal:
+        fits = fits.repartition(*by, "w_")
+    state = F.when(F.lit(seasonal) & (size >= 2 * SEASON), smooth(F.col("y_"), F.col("w_.weight")))
+    found = fits.select(*by, "ahead_", last.alias("last_"), F.col("w_.at").alias("at_"), state.alias("state_"))
+    order = F.struct("state_.error", "at_", "state_")
+    best = found.groupBy(*by).agg(
+        F.min(F.when(F.col("state_").isNotNull(), order)).alias("best_"),
+        F.first("ahead_").alias("ahead_"), F.first("last_").alias("last_"))
+    s = F.col("best_.state_")
+    fine = F.coalesce(F.abs(s["error"]) + F.abs(s["level"]) + F.abs(s["trend"]) < float("inf"), F.lit(False))
+    out = best.select(*by, "last_", s.alias("state_"), fine.alias("fine_"), F.posexplode("ahead_").alias("h_", DATE))
+    h, s = F.col("h_"), F.col("state_")
+    smoothed = s["level"] + (h + 1) * s["trend"] + s["cycle"][h % SEASON]
+    value = F.when(F.col("fine_"), smoothed).otherwise(F.col("last_")[h % F.size("last_")])
+    return out.select(
+        *by, DATE, F.greatest(value, F.lit(0.0)).alias("trips_forecast"),
+        F.when(F.col("fine_"), "Holt-Winters").otherwise("Seasonal naive").alias("model"))
+
+
 def forecast(
     df: DataFrame,
     by: Sequence[str],
@@ -151,11 +224,13 @@ def forecast(
     """Forecast per series: (series, pickup_date, trips_forecast, model); floor 0.
 
     An unknown model, or one that cannot be fitted, falls back to Holt-Winters and
-    then to the seasonal naive forecast, series by series.
+    then to the seasonal naive forecast, series by series. Only the regression runs in
+    Python, one group a series.
     """
     rows = forecast_rows(df, by, months, start, least)
-    if model == "Regression + seasonality":
-        rows = regression_frame(rows, by, context, flat_rain)
+    if model != "Regression + seasonality":
+        return smoothed_forecast(rows, by, seasonal=model != "Seasonal naive")
+    rows = regression_frame(rows, by, context, flat_rain)
     keys = list(by)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

@@ -83,6 +83,30 @@ def test_holt_winters_grid_is_the_best_of_single_fits():
     assert fitting.holt_winters_predict(y, 10) == pytest.approx(best[1])
 
 
+def test_holt_winters_fold_equals_the_recursion(spark):
+    """The fold over arrays against the vectorized recursion, short and null series too."""
+    rng = np.random.default_rng(11)
+    data, want = [], {}
+    for name, n in (("a", 90), ("b", 14), ("c", 13), ("d", 3), (None, 40)):
+        y = rng.integers(0, 200, n)
+        data += [(name, START + k * DAY, int(v)) for k, v in enumerate(y)]
+        data += [(name, START + k * DAY, None) for k in range(n, n + 11)]
+        values = (fitting.holt_winters_predict(y.astype(float), 11) if n >= 14
+                  else fitting.naive_predict(y.astype(float), 11))
+        want[name] = np.clip(values, 0, None)
+    rows = spark.createDataFrame(data, "s string, pickup_date date, trips bigint").repartition(5)
+    out = fc.smoothed_forecast(rows, ["s"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    got = {}
+    for r in out.orderBy("pickup_date").collect():
+        got.setdefault(r.s, []).append(r.trips_forecast)
+        assert r.model == ("Seasonal naive" if r.s in ("c", "d") else "Holt-Winters")
+    assert set(got) == set(want)
+    for name, values in want.items():
+        assert got[name] == pytest.approx(list(values), abs=1e-6)
+
+
 def test_ridge_picks_the_least_leave_one_out_error():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 6))
