@@ -143,32 +143,32 @@ def smooth(y: Column, level_weight: Column) -> Column:
     """The best Holt-Winters state of a series for one level weight: (error, pair, level,
     trend, cycle), the least one-step squared error over pairs of trend and season weights.
 
-    The recursion is a fold over the days; ``cycle[0]`` is the season of the coming day.
+    The recursion is a fold over the days in its error form: the miss of a day, by the
+    weights, corrects level, trend and season. ``c0`` is the season of the coming day.
     """
     first, second = (
         F.aggregate(F.slice(y, k, SEASON), F.lit(0.0), lambda a, v: a + v) / SEASON
         for k in (1, SEASON + 1))
+    cycle = [f"c{k}" for k in range(SEASON)]
     begin = F.struct(
-        first.alias("level"), ((second - first) / SEASON).alias("trend"),
-        F.transform(F.slice(y, 1, SEASON), lambda v: v - first).alias("cycle"), F.lit(0.0).alias("error"))
-    pairs = [F.struct(F.lit(k).alias("pair"), F.lit(b).alias("trend"), F.lit(g).alias("season"))
+        F.lit(0.0).alias("error"), first.alias("level"), ((second - first) / SEASON).alias("trend"),
+        *[(y[k] - first).alias(c) for k, c in enumerate(cycle)])
+    pairs = [F.struct(F.lit(k).alias("pair"), (level_weight * b).alias("trend"), F.lit(g).alias("season"))
              for k, (b, g) in enumerate(itertools.product(fitting.TREND_GRID, fitting.SEASON_GRID))]
 
     def fold(pair: Column) -> Column:
         def day(s: Column, v: Column) -> Column:
-            guess, now = s["level"] + s["trend"], s["cycle"][0]
-            level = level_weight * (v - now) + (1 - level_weight) * guess
-            miss = v - guess - now
+            miss = v - s["level"] - s["trend"] - s["c0"]
             return F.struct(
-                level.alias("level"),
-                (pair["trend"] * (level - s["level"]) + (1 - pair["trend"]) * s["trend"]).alias("trend"),
-                F.concat(F.slice(s["cycle"], 2, SEASON - 1),
-                         F.array(pair["season"] * (v - guess) + (1 - pair["season"]) * now)).alias("cycle"),
-                (s["error"] + miss * miss).alias("error"))
+                (s["error"] + miss * miss).alias("error"),
+                (s["level"] + s["trend"] + level_weight * miss).alias("level"),
+                (s["trend"] + pair["trend"] * miss).alias("trend"),
+                *[s[later].alias(c) for c, later in zip(cycle, cycle[1:])],
+                (s["c0"] + pair["season"] * miss).alias(cycle[-1]))
 
         return F.aggregate(y, begin, day, lambda s: F.struct(
             s["error"].alias("error"), pair["pair"].alias("pair"), s["level"].alias("level"),
-            s["trend"].alias("trend"), s["cycle"].alias("cycle")))
+            s["trend"].alias("trend"), F.array(*[s[c] for c in cycle]).alias("cycle")))
 
     return F.array_min(F.transform(F.array(*pairs), fold))
 
@@ -192,8 +192,9 @@ def smoothed_forecast(rows: DataFrame, by: Sequence[str], seasonal: bool = True)
     weights = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(a).alias("weight"))
                         for k, a in enumerate(fitting.LEVEL_GRID[: None if seasonal else 1])])
     fits = series.select(*by, "y_", "ahead_", F.explode(weights).alias("w_"))
-    if seasonal:
-        fits = fits.repartition(*by, "w_")
+    if seasonal:  # by number: few rows of much work must not be merged into one task
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        fits = fits.repartition(tasks, *by, "w_")
     state = F.when(F.lit(seasonal) & (size >= 2 * SEASON), smooth(F.col("y_"), F.col("w_.weight")))
     found = fits.select(*by, "ahead_", last.alias("last_"), F.col("w_.at").alias("at_"), state.alias("state_"))
     order = F.struct("state_.error", "at_", "state_")
