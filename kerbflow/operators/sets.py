@@ -1,10 +1,10 @@
-"""Distinct counts that can be summed up again: sets of numbers as bitmap columns.
+"""Distinct counts that can be summed up again: sets of numbers as bit masks.
 
-A rollup keeps, for each key and bucket of 32,768 numbers, a bitmap of the members seen.
-Coarser keys are unions of bitmaps, so months, quarters or areas are counted exactly
+A rollup keeps, for each key and bucket of 256 numbers, the members seen as four masks of
+64 bits. Coarser keys are unions of masks, so months, quarters or areas are counted exactly
 from stored days, without the trips. Members are whole numbers; dense ones (a number for
-each vehicle) fill few buckets. For sparse ones ``sketch_rollup`` keeps an estimate of
-bounded size instead.
+each vehicle) fill few buckets, sparse ones take a narrow row each, never more rows than
+trips. Where an estimate is enough, ``sketch_rollup`` keeps one of bounded size instead.
 """
 
 from __future__ import annotations
@@ -14,31 +14,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET, MEMBERS, SKETCH = "set_bucket", "members", "member_sketch"
+BUCKET, SKETCH = "set_bucket", "member_sketch"
+# Plain numbers, since a hash aggregate holds them in place: bitmap columns of some KB are
+# sorted instead, and pack so well that partitions planned by their size are far too large.
+MEMBERS = tuple(f"members_{i}" for i in range(4))
 
 
 def set_rollup(trips: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """Trips and the set of ``member`` values by key and bucket; rows without a member
-    count as trips under a null bucket with a null set."""
+    count as trips under a null bucket with null masks."""
     number = F.col(member).cast("bigint")
-    rows = trips.withColumn(BUCKET, F.bitmap_bucket_number(number)).withColumn(
-        "position_", F.bitmap_bit_position(number))
-    sums = rows.groupBy(*keys, BUCKET).agg(
-        F.count(F.lit(1)).alias("trips"),
-        F.bitmap_construct_agg(F.coalesce("position_", F.lit(0))).alias(MEMBERS))
-    return sums.withColumn(MEMBERS, F.when(F.col(BUCKET).isNotNull(), F.col(MEMBERS)))
+    word = F.shiftright(number, 6).bitwiseAND(F.lit(3))
+    bit = F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))
+    rows = trips.withColumn(BUCKET, F.shiftright(number, 8))
+    return rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("trips"), *[
+        F.bit_or(F.when(word == i, bit)).alias(m) for i, m in enumerate(MEMBERS)])
 
 
 def merge_sets(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same rollup at a coarser key: trips added, sets united bucket by bucket."""
-    sums = rollup.groupBy(*keys, BUCKET).agg(
-        F.sum("trips").alias("trips"), F.bitmap_or_agg(MEMBERS).alias(MEMBERS))
-    return sums.withColumn(MEMBERS, F.when(F.col(BUCKET).isNotNull(), F.col(MEMBERS)))
+    return rollup.groupBy(*keys, BUCKET).agg(
+        F.sum("trips").alias("trips"), *[F.bit_or(m).alias(m) for m in MEMBERS])
 
 
 def set_sizes(rollup: DataFrame, keys: Sequence[str], name: str = "vehicles") -> DataFrame:
-    """Trips and distinct members by key; the shuffle carries a bitmap a key and bucket."""
-    size = F.coalesce(F.bitmap_count(MEMBERS), F.lit(0))
+    """Trips and distinct members by key; the shuffle carries a row a key and bucket."""
+    size = sum(F.coalesce(F.bit_count(m), F.lit(0)) for m in MEMBERS)
     return merge_sets(rollup, keys).groupBy(*keys).agg(
         F.sum("trips").alias("trips"), F.sum(size).alias(name))
 

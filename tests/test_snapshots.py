@@ -211,6 +211,28 @@ def test_sets_merge_to_exact_counts(spark):
     assert rows(sets.trips_per_active(daily, ["company"]).filter("company = 'c'"), "trips_per_vehicle") == [(None,)]
 
 
+def test_sets_at_the_edges_of_words_and_buckets(spark):
+    edges = [0, 1, 63, 64, 127, 128, 191, 192, 255, 256, 511, 512, 2**40, 2**62, 2**63 - 1]
+    numbers = edges + [-n - 1 for n in edges]
+    found = [(day, n) for day in (1, 2) for n in numbers[day:]] + [(1, n) for n in numbers] + [(3, None)]
+    daily = sets.set_rollup(spark.createDataFrame(found, "day int, vehicle bigint"), ["day"], "vehicle")
+    assert rows(sets.set_sizes(daily, ["day"]), "day", "trips", "vehicles") == [(1, 59, 30), (2, 28, 28), (3, 1, 0)]
+    assert rows(sets.set_sizes(daily, []), "trips", "vehicles") == [(88, 30)]
+
+
+def test_sets_are_narrow_rows_of_hash_aggregates(spark):
+    """A set of few members in a bucket must not take KBs of a task, which sorts them all."""
+    trips = spark.range(3000).selectExpr("id % 30 AS day", "string(id % 2) AS company", "id * 1000 AS vehicle")
+    daily = sets.set_rollup(trips, ["day", "company"], "vehicle")
+    sizes = sets.trips_per_active(daily, ["company"])
+    assert {f.dataType.simpleString() for f in daily.drop("day", "company").schema} == {"bigint"}
+    assert daily.count() == 3000
+    for df in (daily, sets.merge_sets(daily, ["company"]), sizes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert rows(sizes, "trips", "vehicles") == [(1500, 1500)] * 2
+
+
 def test_sketches_estimate_sparse_members(spark):
     trips = spark.range(60000).selectExpr("id % 30 AS day", "id % 2 AS company", "xxhash64(id % 20000) AS vehicle")
     daily = sets.sketch_rollup(trips, ["day", "company"], "vehicle")
