@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from kerbflow.operators import deltas, sets, unify
 from kerbflow.operators.unify import Source
 from kerbflow.plans import corrections, monthly
+from kerbflow.plans.catalog import QUERIES
 from kerbflow.sources.snapshots import SnapshotStore
 from kerbflow.streaming import eventtime, hourly
 
@@ -233,6 +234,24 @@ def test_sets_are_narrow_rows_of_hash_aggregates(spark):
     assert rows(sizes, "trips", "vehicles") == [(1500, 1500)] * 2
 
 
+def test_all_grains_of_vehicles_sort_no_sets(spark, folder):
+    days = [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 3, 31), dt.date(2024, 4, 1)]
+    lines = [(n * 700, days[i], "AN"[n % 2]) for i in range(4) for n in range(i, 40, i + 1)] + [(None, days[3], "A")]
+    spark.createDataFrame(lines, "l_partkey bigint, l_shipdate date, l_returnflag string").withColumn(
+        "l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{folder}/lineitem.parquet")
+    grains = QUERIES["vehicles_all_grains"](spark, folder)
+    plan = grains._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+    def distinct(*which):
+        return len({n for n, day, _ in lines if n is not None and day in {days[i] for i in which}})
+
+    assert rows(grains, "grain", "period", "vehicles") == sorted([
+        ("all", "all", distinct(0, 1, 2, 3)), ("year", "2023", distinct(0)), ("year", "2024", distinct(1, 2, 3)),
+        ("quarter", "2023Q4", distinct(0)), ("quarter", "2024Q1", distinct(1, 2)), ("quarter", "2024Q2", distinct(3))],
+        key=repr)
+
+
 def test_sketches_estimate_sparse_members(spark):
     trips = spark.range(60000).selectExpr("id % 30 AS day", "id % 2 AS company", "xxhash64(id % 20000) AS vehicle")
     daily = sets.sketch_rollup(trips, ["day", "company"], "vehicle")
