@@ -10,6 +10,7 @@ trips. Where an estimate is enough, ``sketch_rollup`` keeps one of bounded size
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,24 @@ BUCKET, SKETCH = "set_bucket", "member_sketch"
 MEMBERS = tuple(f"members_{i}" for i in range(4))
 
 
-def set_rollup(trips: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+def set_rollup(
+    trips: DataFrame, keys: Sequence[str], member: str, passes: int = 1
+) -> DataFrame:
     """Trips and the set of ``member`` values by key and bucket; rows without a member
-    count as trips under a null bucket with null masks."""
+    count as trips under a null bucket with null masks.
+
+    Members spread thin leave a task with nearly as many sets as trips. With more ``passes``
+    the trips are read that often, for a part of the buckets each time. Of a scan, tasks of
+    their own do each pass and hold that part only. Trips must be the same at each reading.
+    """
     number = F.col(member).cast("bigint")
     word = F.shiftright(number, 6).bitwiseAND(F.lit(3))
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))
     rows = trips.withColumn(BUCKET, F.shiftright(number, 8))
+    if passes > 1:
+        part = F.pmod(F.xxhash64(BUCKET), F.lit(passes))
+        rows = reduce(DataFrame.union, [rows.filter(part == i) for i in range(passes)])
     return rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("trips"), *[
         F.bit_or(F.when(word == i, bit)).alias(m) for i, m in enumerate(MEMBERS)])
 

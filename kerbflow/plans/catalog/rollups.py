@@ -270,13 +270,14 @@ def rollup_five_grains(spark, folder):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _part_days(spark, folder):
-    """Lines as trips: a day, a company and a vehicle number each; sets by day, as stored."""
+def _part_days(spark, folder, *others):
+    """Lines as trips: a day, a company and a vehicle number each; sets by day and ``others``,
+    as stored. A key that no reader asks for would multiply the sets that each task holds."""
     rows = table(spark, folder, "lineitem").select(
         F.to_date("l_shipdate").alias("pickup_date"), F.col("l_returnflag").alias("company"),
         F.col("l_partkey").alias("vehicle"))
     path = f"{shared_folder(spark, 'vehicle-sets')}/daily"
-    write_parquet(sets.set_rollup(rows, ["pickup_date", "company"], "vehicle"), path)
+    write_parquet(sets.set_rollup(rows, ["pickup_date", *others], "vehicle", passes=4), path)
     return spark.read.parquet(path)
 
 
@@ -286,7 +287,7 @@ SELECT strftime(l_shipdate, '%Y-%m') AS pickup_month, l_returnflag AS company, C
 FROM lineitem GROUP BY ALL""")
 def vehicles_by_month(spark, folder):
     """Distinct vehicles of a month from the stored sets of its days."""
-    days = _part_days(spark, folder)
+    days = _part_days(spark, folder, "company")
     months = days.withColumn("pickup_month", month_label(F.col("pickup_date")))
     return sets.trips_per_active(months, ["pickup_month", "company"])
 

@@ -252,6 +252,35 @@ def test_all_grains_of_vehicles_sort_no_sets(spark, folder):
         key=repr)
 
 
+def test_sets_made_in_passes_are_those_of_one(spark):
+    """Each task of a pass holds the sets of that pass; one shuffle unites them all."""
+    rng = random.Random(5)
+    found = [(rng.randint(0, 3), rng.choice([rng.randint(0, 5000), rng.randint(-3000, -1), 2**40, None])) for _ in range(3000)]
+    trips = spark.createDataFrame(found, "day int, vehicle bigint")
+    want = rows(sets.set_rollup(trips, ["day"], "vehicle"), "day", sets.BUCKET, "trips", *sets.MEMBERS)
+    for passes in (2, 4, 7):
+        daily = sets.set_rollup(trips, ["day"], "vehicle", passes)
+        assert rows(daily, "day", sets.BUCKET, "trips", *sets.MEMBERS) == want
+        plan = daily._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+        assert plan.count("Scan ExistingRDD") == passes
+        held = trips.select("day", F.shiftright("vehicle", 8).alias(sets.BUCKET)).distinct()
+        most = held.groupBy(F.pmod(F.xxhash64(sets.BUCKET), F.lit(passes))).count().agg(F.max("count")).first()[0]
+        assert most < 2 * len(want) / passes + 4
+    assert rows(sets.set_sizes(daily, []), "trips", "vehicles") == [(3000, len({n for _, n in found} - {None}))]
+
+
+@pytest.mark.parametrize(("name", "others"), [("vehicles_all_grains", []), ("vehicles_by_month", ["company"])])
+def test_stored_sets_have_only_the_keys_that_are_read(spark, folder, name, others):
+    lines = [(n, dt.date(2024, 1, 1 + n % 3), "ANR"[n % 3 - n % 2]) for n in range(600)] * 2
+    spark.createDataFrame(lines, "l_partkey bigint, l_shipdate date, l_returnflag string").withColumn(
+        "l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{folder}/lineitem.parquet")
+    stored = spark.read.parquet(*{f.rpartition("/")[0] for f in QUERIES[name](spark, folder).inputFiles()})
+    assert stored.columns == ["pickup_date", *others, sets.BUCKET, "trips", *sets.MEMBERS]
+    assert stored.count() == len({(day, n // 256, *([flag] if others else [])) for n, day, flag in lines})
+    assert stored.agg(F.sum("trips")).first()[0] == 1200
+
+
 def test_sketches_estimate_sparse_members(spark):
     trips = spark.range(60000).selectExpr("id % 30 AS day", "id % 2 AS company", "xxhash64(id % 20000) AS vehicle")
     daily = sets.sketch_rollup(trips, ["day", "company"], "vehicle")
